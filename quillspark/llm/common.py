@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path under spark.checkpoint.dir; a local folder is set only where that is unset."""
@@ -36,7 +38,8 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Small Arrow batches, so very long texts don't add up in a worker."""
+    """Small Arrow batches, so very long texts don't add up in a worker; workers on this machine find the package."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df
 

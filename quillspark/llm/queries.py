@@ -10,6 +10,32 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def TOKENIZER() -> str:
+    """The vocabulary file's path; the executors have the same public package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_line_dedup(spark, sf_dir):
+    from .linededup import dedup_lines
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op5_packing(spark, sf_dir):
+    from .packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), TOKENIZER())
+
+
+def op8_language_id(spark, sf_dir):
+    from .langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark, sf_dir):
     from .decontam import leaks
 
@@ -23,5 +49,5 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontamination, op5_packing, op8_language_id, op9_simhash)}
 ORACLE_SQL: dict[str, str] = {}
