@@ -36,6 +36,18 @@ def op8_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark, sf_dir):
+    from .kneserney import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
+def op4_embedding_dedup(spark, sf_dir):
+    from .embedrange import link
+
+    return link(read(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark, sf_dir):
     from .decontam import leaks
 
@@ -49,5 +61,15 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_decontamination, op5_packing, op8_language_id, op9_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op4_embedding_dedup, op3_decontamination, op5_packing, op8_language_id, op9_simhash)}
+ORACLE_SQL: dict[str, str] = {
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.vec_id""",
+}
