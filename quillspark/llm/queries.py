@@ -30,6 +30,24 @@ def op5_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), TOKENIZER())
 
 
+def op6_pii(spark, sf_dir):
+    from .pii import pseudonymise
+
+    return pseudonymise(read(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    from .suffixdedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_language_id(spark, sf_dir):
     from .langid import identify
 
@@ -61,7 +79,7 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op4_embedding_dedup, op3_decontamination, op5_packing, op8_language_id, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op4_embedding_dedup, op3_decontamination, op5_packing, op6_pii, op7_suffix_dedup, op8_language_id, op9_simhash, op10_licenses)}
 ORACLE_SQL: dict[str, str] = {
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
