@@ -20,13 +20,19 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def starts(words: Column) -> Column:
-    """Positions where the mask fits."""
-    return F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
+def keys(words: Column) -> Column:
+    """The mask's hash at each position where it fits; null for fewer tokens."""
+    return F.when(F.size(words) >= SPAN, F.transform(F.sequence(F.lit(1), F.size(words) - SPAN + 1), lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in MASK])))
 
 
-def seed(words: str, at: str) -> Column:
-    return F.xxhash64(*[F.element_at(F.col(words), F.col(at) + k + 1) for k in MASK])
+def agreement(words: Column, item: Column, diagonal: Column) -> Column:
+    """The most agreeing tokens in a window of WINDOW (or of the whole item, if shorter) along a diagonal; null if none fits."""
+    low = F.greatest(F.lit(0), -diagonal)
+    high = F.least(F.size(item), F.size(words) - diagonal)
+    size = F.least(F.lit(WINDOW), F.size(item))
+    same = F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda k: (F.element_at(item, k + 1) == F.element_at(words, k + diagonal + 1)).cast("int"))
+    sums = lambda a: F.array_max(F.transform(F.sequence(F.lit(1), F.size(a) - size + 1), lambda k: F.aggregate(F.slice(a, k, size), F.lit(0), lambda s, x: s + x)))
+    return F.when(high - low >= size, sums(same))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -34,25 +40,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limit: int = 100_000) -> DataFr
 
     Items of fewer than 13 tokens are compared over their whole length, with two substitutions at most
     and five agreeing tokens at least; those under 8 tokens hold no seed and are not searched. Null
-    texts have no tokens; repeated ids are told once. The benchmark's seeds are broadcast only if it
-    has no more than limit rows; beyond that the join shuffles."""
+    texts have no tokens; rows with a null id are not told; repeated ids are told once. The benchmark's
+    seeds are broadcast only if it has no more than limit seeds; beyond that the join shuffles."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("item"))
-    seeds = items.select("item_id", "item", F.explode(starts(F.col("item"))).alias("j")).select("item_id", "item", "j", seed("item", "j").alias("key"))
-    if benchmark.limit(limit + 1).count() <= limit:
-        seeds = F.broadcast(seeds)
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("words"))
-    at = words.select("doc_id", "words", F.explode(starts(F.col("words"))).alias("i")).select("doc_id", "words", "i", seed("words", "i").alias("key"))
-    reach = WINDOW - SPAN
-    low = F.greatest(F.lit(0), F.greatest(F.lit(-reach), -F.col("i")) + F.col("j")) - F.col("j")
-    hits = at.join(seeds, "key").withColumn("low", F.greatest(low, -F.col("i"))).select(
-        "doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal"), (F.col("j") + F.col("low")).alias("from"),
-        F.slice("words", F.col("i") + F.col("low") + 1, F.lit(2 * WINDOW - SPAN)).alias("a"),
-        F.slice("item", F.col("j") + F.col("low") + 1, F.lit(2 * WINDOW - SPAN)).alias("b"), F.size("item").alias("n"))
-    same = hits.withColumn("same", F.transform(F.sequence(F.lit(1), F.least(F.size("a"), F.size("b"))), lambda k: (F.element_at("a", k) == F.element_at("b", k)).cast("int")))
-    size = F.least(F.lit(WINDOW), F.col("n"))
-    most = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - size + 1), lambda k: F.aggregate(F.slice("same", k, size), F.lit(0), lambda s, x: s + x)))
-    told = same.where(F.size("same") >= size).withColumn("n_agree", most).where(F.col("n_agree") >= F.greatest(F.lit(5), size - (WINDOW - AGREE)))
-    return told.groupBy("doc_id", "item_id").agg(F.max("n_agree").cast("long").alias("n_agree"))
+    seeds = items.select("item_id", F.posexplode(keys(F.col("item"))).alias("j", "key"))
+    small = seeds.limit(limit + 1).count() <= limit
+    held = F.broadcast if small else lambda df: df
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    at = known.select("doc_id", F.posexplode(keys(tokens(F.col("text")))).alias("i", "key"))
+    hits = at.join(held(seeds), "key").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+    asked = hits.join(held(items), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "item")).alias("asked"))
+    both = known.join(asked, "doc_id").select("doc_id", tokens(F.col("text")).alias("words"), "asked")
+    told = both.select("doc_id", F.explode(F.transform("asked", lambda h: F.struct(h["item_id"].alias("item_id"), agreement(F.col("words"), h["item"], h["diagonal"]).alias("n"), F.least(F.lit(WINDOW), F.size(h["item"])).alias("size")))).alias("h"))
+    good = told.where(F.col("h.n") >= F.greatest(F.lit(5), F.col("h.size") - (WINDOW - AGREE)))
+    return good.groupBy("doc_id", F.col("h.item_id").alias("item_id")).agg(F.max("h.n").cast("long").alias("n_agree"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
