@@ -47,7 +47,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, limit: int = 100_000) -> DataFr
     small = seeds.limit(limit + 1).count() <= limit
     held = F.broadcast if small else lambda df: df
     known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    at = known.select("doc_id", F.posexplode(keys(tokens(F.col("text")))).alias("i", "key"))
+    # tokens are a column of their own: as a nested expression they would be made anew at each position
+    at = known.select("doc_id", tokens(F.col("text")).alias("words")).select("doc_id", F.posexplode(keys(F.col("words"))).alias("i", "key"))
     hits = at.join(held(seeds), "key").select("doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
     asked = hits.join(held(items), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "diagonal", "item")).alias("asked"))
     both = known.join(asked, "doc_id").select("doc_id", tokens(F.col("text")).alias("words"), "asked")
