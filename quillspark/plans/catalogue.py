@@ -1,4 +1,136 @@
 """Registered queries of the transcription operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit, ensemble, evaluation
+
+PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
+ CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_name || ' ' || p_type || ' ' || p_brand
+ WHEN p_partkey % 7 = 2 THEN replace(p_name || ' ' || p_type || ' ' || p_brand, p_type || ' ', '')
+ ELSE replace(replace(p_name || ' ' || p_type || ' ' || p_brand, 'e', 'c'), '#', ' ') END AS prediction FROM part)"""
+SOURCES_SQL = " UNION ALL ".join(f"""SELECT cast(p_partkey AS varchar) AS ID, {k} AS source_idx,
+ CASE WHEN p_partkey % {m} = 0 THEN '' WHEN p_partkey % {m} = 1 THEN replace(p_name, 'e', 'c') WHEN p_partkey % {m} = 2 THEN p_name || '!' ELSE p_name END AS text FROM part""" for k, m in enumerate((3, 4, 5, 7, 11)))
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql(spark, sf_dir, name, text):
+    table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text.replace("varchar", "string"))
+
+
+def pairs(spark, sf_dir):
+    return sql(spark, sf_dir, "part", f"SELECT * FROM {PAIRS_SQL}")
+
+
+def sources(spark, sf_dir):
+    return sql(spark, sf_dir, "part", SOURCES_SQL)
+
+
+def manifest(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("ID"), "doc_id", "lang", F.substring("text", 1, 120).alias("Target"), (267 + (F.col("doc_id") * 7919) % 5785).cast("double").alias("width"), (28 + (F.col("doc_id") * 104729) % 1104).cast("double").alias("height"))
+
+
+MANIFEST_SQL = "(SELECT cast(doc_id AS varchar) AS ID, doc_id, lang, substr(text, 1, 120) AS Target, (267 + (doc_id * 7919) % 5785)::DOUBLE AS width, (28 + (doc_id * 104729) % 1104)::DOUBLE AS height FROM documents)"
+
+
+def a05_corpus_summary(spark, sf_dir):
+    s = evaluation.corpus_summary(evaluation.row_errors(pairs(spark, sf_dir)))
+    return s.select("row_count", "exact_rows", "char_edits", "ref_chars", "cer")
+
+
+def a04_row_errors(spark, sf_dir):
+    return evaluation.row_errors(pairs(spark, sf_dir)).select("ID", "exact_match", "ref_char_len", "pred_char_len", "ref_word_len", "pred_word_len", "char_edits", F.round("row_cer", 6).alias("row_cer"))
+
+
+def a02_edit_counts(spark, sf_dir):
+    return evaluation.edit_counts(pairs(spark, sf_dir))
+
+
+def a06_confusions(spark, sf_dir):
+    return evaluation.confusions(pairs(spark, sf_dir))
+
+
+def a07_grouped_errors(spark, sf_dir):
+    return evaluation.grouped(evaluation.slices(evaluation.row_errors(pairs(spark, sf_dir))), ["length_bin", "shorter", "longer"])
+
+
+def a08_majority_vote(spark, sf_dir):
+    return ensemble.majority(sources(spark, sf_dir))
+
+
+def a10_consensus(spark, sf_dir):
+    return ensemble.consensus(sources(spark, sf_dir))
+
+
+def a11_weighted_vote(spark, sf_dir):
+    return ensemble.weighted(sources(spark, sf_dir), {0: 2.0, 3: 1.5})
+
+
+def a14_char_frequency(spark, sf_dir):
+    return audit.char_frequency(table(spark, sf_dir, "part"), "p_name", "p_partkey")
+
+
+def a17_ngram_counts(spark, sf_dir):
+    return audit.ngram_counts(table(spark, sf_dir, "part"), "p_name", 3)
+
+
+def t13_ctc_alignment(spark, sf_dir):
+    return audit.ctc_alignment(manifest(spark, sf_dir)).drop("needed", "margin", "valid")
+
+
+def w04_quantile_bins(spark, sf_dir):
+    x = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return audit.quantile_bins(x, "c_acctbal", 5, "c").select("c_custkey", "c_acctbal_bin")
+
+
+def w06_fold_sizes(spark, sf_dir):
+    return audit.stratified_folds(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 5).groupBy("c_mktsegment", "fold").agg(F.count("*").alias("n"))
+
+
+def a21_duplicate_groups(spark, sf_dir):
+    return audit.duplicate_groups(table(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def a22_robust_z(spark, sf_dir):
+    return audit.robust_z(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", F.round("z", 6).alias("z"))
+
+
+def t01_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.normalize_text(F.concat(F.lit("  "), "p_name", F.lit(" \t "), "p_type"), lower=True, remove_punctuation=True).alias("text"))
+
+
+def t07_tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.tokenize(F.col("p_name")).alias("tokens"), T.detokenize(T.tokenize(F.col("p_name"))).alias("text"))
+
+
+def d01_greedy_decode(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8)).alias("logits"))
+    return audit.greedy_decode(x, "logits", "ABCDEFG").select("vec_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (a02_edit_counts, a04_row_errors, a05_corpus_summary, a06_confusions, a07_grouped_errors, a08_majority_vote, a10_consensus, a11_weighted_vote, a14_char_frequency, a17_ngram_counts, a21_duplicate_groups, a22_robust_z, d01_greedy_decode, t01_normalize, t07_tokenize, t13_ctc_alignment, w04_quantile_bins, w06_fold_sizes)}
+NORMAL = f"(SELECT ID, trim(regexp_replace(reference, '\\s+', ' ', 'g')) AS r, trim(regexp_replace(prediction, '\\s+', ' ', 'g')) AS p FROM {PAIRS_SQL})"
+ROWS = f"(SELECT ID, r = p AS exact_match, length(r) AS ref_char_len, length(p) AS pred_char_len, len(list_filter(string_split(r, ' '), lambda w: w <> '')) AS ref_word_len, len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS pred_word_len, levenshtein(r, p)::BIGINT AS char_edits, round(levenshtein(r, p) / length(r), 6) AS row_cer FROM {NORMAL})"
+ORACLE_SQL = {
+    "a04_row_errors": f"SELECT * FROM {ROWS}",
+    "a05_corpus_summary": f"SELECT count(*) AS row_count, sum(exact_match::INT)::BIGINT AS exact_rows, sum(char_edits)::BIGINT AS char_edits, sum(ref_char_len)::BIGINT AS ref_chars, round(sum(char_edits) / sum(ref_char_len), 6) AS cer FROM {ROWS}",
+    "a08_majority_vote": f"""WITH s AS ({SOURCES_SQL}), v AS (SELECT ID, text, count(*) AS votes, min(source_idx) AS i FROM s WHERE trim(text) <> '' GROUP BY ALL),
+ b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY ID ORDER BY votes DESC, i) = 1)
+ SELECT k.ID, coalesce(b.text, '') AS text, coalesce(b.votes, 0)::BIGINT AS votes FROM (SELECT DISTINCT ID FROM s) k LEFT JOIN b ON b.ID = k.ID""",
+    "a11_weighted_vote": f"""WITH s AS ({SOURCES_SQL}), v AS (SELECT ID, text, sum(CASE source_idx WHEN 0 THEN 2.0 WHEN 3 THEN 1.5 ELSE 1.0 END)::DOUBLE AS score, min(source_idx) AS i FROM s WHERE trim(text) <> '' GROUP BY ID, text),
+ b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY ID ORDER BY score DESC, i) = 1)
+ SELECT a.ID, coalesce(b.text, a.text) AS text, coalesce(b.score, 0)::DOUBLE AS score FROM s a LEFT JOIN b ON b.ID = a.ID WHERE a.source_idx = 0""",
+    "a14_char_frequency": "SELECT ch, count(*)::BIGINT AS n, count(DISTINCT p_partkey)::BIGINT AS n_rows FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part) GROUP BY ch",
+    "a21_duplicate_groups": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "a22_robust_z": "WITH m AS (SELECT median(p_retailprice) AS med FROM part), d AS (SELECT median(abs(p_retailprice - med)) AS mad FROM part, m) SELECT p_partkey, round(CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (p_retailprice - med) / mad END, 6) AS z FROM part, m, d",
+    "t01_normalize": "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace('  ' || p_name || ' ' || chr(9) || ' ' || p_type, '\\s+', ' ', 'g'))), '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM part",
+    "t13_ctc_alignment": f"SELECT ID, r::BIGINT AS rw, greatest(1, floor(r / 4))::BIGINT AS steps, raw > 2048 AS clipped FROM (SELECT ID, round_even(width * (96.0::DOUBLE / height), 0) AS raw, least(greatest(1, round_even(width * (96.0::DOUBLE / height), 0)), 2048) AS r FROM {MANIFEST_SQL})",
+    "w04_quantile_bins": "WITH e AS (SELECT list_distinct(quantile_cont(c_acctbal, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges FROM customer) SELECT c_custkey, 'c' || greatest(0, len(list_filter(edges, lambda x: x < c_acctbal)) - 1) AS c_acctbal_bin FROM customer, e",
+}
