@@ -1,0 +1,226 @@
+import hashlib
+import random
+import zlib
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+
+import corpus_pipeline
+from quillspark.llm import common, decontam, embedrange, kneserney, langid, licenses, linededup, packing, pii, simhash, suffixdedup
+from quillspark.llm.queries import TOKENIZER
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, rng.randint(1, 150)), "en", "s", 1) for k in range(60)]
+    for k in range(60, 80):
+        w = rows[k % 20][1].split()
+        rows.append((k, " ".join([*w[: len(w) // 2], "zz", *w[len(w) // 2 :]]), "en", "s", 1))
+    rows += [(80, None, None, None, None), (81, "", "en", "s", 0), (82, rows[3][1], "en", "s", 1), (None, rows[4][1], "en", "s", 1), (83, "é" * 300, "fr", "s", 1), (84, " \n\t", "en", "s", 1), (85, rows[5][1], "en", "s", 1), (85, rows[5][1], "en", "s", 1)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_suffix_dedup_brute(docs):
+    rows = sorted(((r.doc_id if r.doc_id is not None else suffixdedup.LAST, (r.text or "").encode()) for r in docs.collect()), key=lambda r: r[0])
+    starts: dict = {}
+    for d, b in rows:
+        for k in range(len(b) - 49):
+            starts.setdefault(b[k : k + 50], d)
+    want = Counter()
+    for d, b in rows:
+        cov = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if starts[b[k : k + 50]] < d:
+                cov[k : k + 50] = b"\1" * 50
+        want[(d, sum(cov), hashlib.sha256(bytes(x for x, c in zip(b, cov) if not c)).hexdigest())] += 1
+    got = Counter((r.doc_id if r.doc_id is not None else suffixdedup.LAST, r.n_removed, r.kept_sha256) for r in suffixdedup.dedup(docs).collect())
+    assert got == want
+
+
+def test_suffix_sort_is_sorted():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(97, 99, (300, 20)).astype(np.uint8)
+    sizes = rng.integers(0, 21, 300)
+    rows[np.arange(20) >= sizes[:, None]] = 0
+    order = suffixdedup.Suffixes(rows, sizes).sort()
+    texts = [rows[k, : sizes[k]].tobytes() for k in order]
+    assert texts == sorted(texts)
+
+
+def test_simhash_brute(docs):
+    def one(t):
+        w = (t or "").encode().lower().split()
+        n = min(3, len(w))
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + n]), 42) for k in range(len(w) - n + 1)] if w else []
+        return sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)) if h else 0
+
+    got = simhash.near_duplicates(docs).collect()
+    rows = docs.collect()
+    assert Counter((r.doc_id, r.fp & (2**64 - 1)) for r in got) == Counter((r.doc_id, one(r.text)) for r in rows)
+    fps = sorted({one(r.text) for r in rows})
+    lab = common.stars(len(fps), *map(np.array, zip(*[(a, b) for a in range(len(fps)) for b in range(len(fps)) if bin(fps[a] ^ fps[b]).count("1") <= 2])))
+    low: dict = {}
+    for r in rows:
+        if r.doc_id is not None:
+            c = lab[fps.index(one(r.text))]
+            low[c] = min(low.get(c, r.doc_id), r.doc_id)
+    assert all(r.component_id == low[lab[fps.index(r.fp & (2**64 - 1))]] for r in got)
+
+
+def test_keep_one(docs):
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert 82 not in ids and ids.count(85) == 0 and 3 in ids and len(ids) == len(set(ids))
+
+
+def test_mask_covers_two_substitutions():
+    for bad in combinations(range(decontam.WINDOW), 2):
+        assert any(not {k + m for m in decontam.MASK} & set(bad) for k in range(decontam.WINDOW - decontam.SPAN + 1))
+
+
+def test_leaks(spark):
+    rng = random.Random(3)
+    item = prose(rng, 20).split()
+    changed = list(item)
+    changed[4] = changed[12] = "zzz"
+    rows = [(1, prose(rng, 50) + " " + " ".join(changed) + " " + prose(rng, 9)), (2, prose(rng, 90)), (3, None), (4, ""), (None, " ".join(item)), (5, " ".join(item)), (5, " ".join(item))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(9, " ".join(item)), (8, None), (7, "short one")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()) == [(1, 9), (5, 9)]
+    assert [r.doc_id for r in decontam.clean(d, b).orderBy("doc_id").collect()] == [2, 3, 4]
+
+
+def test_packing_round_trip(docs):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER())
+    want = Counter((r.doc_id, np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for r in docs.collect())
+    ids = {d: b for d, b in want}
+    pieces = packing.pack(docs, TOKENIZER(), window=256).collect()
+    for p in pieces:
+        assert any(d == p.doc_id and zlib.crc32(b[4 * p.start : 4 * (p.start + p.length)]) == p.ids_crc32 and len(b) == 4 * p.doc_tokens for d, b in want), p
+    assert sum(p.length for p in pieces) == sum(len(b) // 4 * n for (_, b), n in want.items())
+    by: dict = {}
+    for p in pieces:
+        by.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for x in by.values():
+        at = 0
+        for o, n in sorted(x):
+            assert o == at
+            at += n
+        assert at <= 256
+    assert ids
+
+
+def test_language_model(docs):
+    rows = kneserney.score_documents(docs).collect()
+    train = [r for r in docs.collect() if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 != 2]
+    c: Counter = Counter()
+    for r in train:
+        c.update([*(r.text or "").encode().lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for r in docs.collect():
+        t = [*(r.text or "").encode().lower().split(), None]
+        want[(r.doc_id, len(t), sum(x in c for x in t), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in t), 6))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == want
+    assert all(np.isfinite(r.score) and r.score <= 0 for r in rows)
+
+
+def test_model_sums_to_one(spark):
+    d = spark.createDataFrame([(1, "a b a c"), (2, "a b b"), (3, "c a b d")], "doc_id long, text string")
+    tokens = ["a", "b", "c", "d", "unseen"]
+    probe = spark.createDataFrame([(k, t) for k, t in enumerate(tokens)] + [(9, "")], "doc_id long, text string")
+    assert kneserney.perplexity(probe, d).count() == 6
+    folder, buckets = kneserney.local(common.shared_dir(spark)), 3
+    model = kneserney.Model(folder, buckets, kneserney.count(d, folder, buckets))
+    h = [np.uint64(xxhash.xxh64_intdigest(t)) for t in tokens] + [kneserney.END]
+    for before in (kneserney.BEGIN, h[0], h[4]):
+        total = sum(10 ** model.scores(np.array([before, x], np.uint64))[2][0] for x in h)
+        assert abs(total - 1) < 1e-9
+
+
+def test_embeddings_brute(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 8))
+    rows = [(k, (base[k % 30] + rng.normal(size=8) * 0.05).tolist(), int(k % 3)) for k in range(200)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, rows[0][1], 0), (204, rows[0][1], None), (205, [1.0, None], 1), (206, [], 0)]
+    got = {r.vec_id: r for r in embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    v = {k: np.array(np.float32(e), float) for k, e, lab in rows if e and None not in e and lab is not None and np.isfinite(e).all() and np.any(e)}
+    lab = {k: x for k, _, x in rows}
+    link = {k: [j for j in v if j != k and lab[j] == lab[k] and len(v[j]) == len(v[k]) and v[j] @ v[k] / np.linalg.norm(v[j]) / np.linalg.norm(v[k]) >= 0.98] for k in v}
+    assert len(got) == len(rows)
+    for k, _, _ in rows:
+        seen, todo = {k}, [k]
+        while todo:
+            for j in link.get(todo.pop(), []):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        assert (got[k].n_links, got[k].component_id, got[k].kept) == (len(link.get(k, [])), min(seen), k == min(seen))
+
+
+def test_language_id(spark):
+    rng = random.Random(2)
+    words = {"en": "the and with thing that", "de": "der und nicht für schön", "fr": "le est où être déjà"}
+    rows = [(k, " ".join(rng.choices(words[c].split(), k=30)), c, "s", 1) for k, c in enumerate(rng.choices(list(words), k=200))] + [(900, None, "en", "s", 1), (901, "12 !", "en", "s", 1), (None, "the and", "en", "s", 1)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in langid.identify(d).collect()}
+    assert got[900].lang_pred == got[901].lang_pred == "und"
+    assert all(got[k].lang_pred == c for k, _, c, _, _ in rows[:200])
+    kept = {r.doc_id for r in langid.keep_known(d).collect()}
+    assert kept == {r[0] for r in rows} - {900, 901}
+
+
+def test_line_dedup(spark):
+    rng = random.Random(4)
+    rows = [(k, f"{prose(rng, 12)}\nPage {k} of 99 printed here\n{prose(rng, 9)}") for k in range(12)] + [(50, None), (51, "")]
+    out = {r.doc_id: r for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows[:12]:
+        lines = t.split("\n")
+        assert out[k].text == (t if k == 0 else f"{lines[0]}\n{lines[2]}")
+    assert out[50].text is None and out[51].text == "" and out[5].n_dropped == 1
+
+
+def test_pseudonyms():
+    key = b"k" * 32
+    assert sorted(pii.permute(x, 97, key, "t") for x in range(97)) == list(range(97))
+    card = pii.pseudonym("card", "4111111111111111", key)
+    assert pii.luhn(card) and card != "4111111111111111" and pii.pseudonym("card", "4111-1111-1111-1111", key).replace("-", "") == card
+    assert pii.pseudonym("date", "2024-02-30", key) is None
+    text, spans = pii.rewrite("mail a.b@c.de on 2024-02-29\nfrom 10.0.0.1", key, {})
+    assert [s[0] for s in spans] == ["email", "date", "ip"] and "a.b@c.de" not in text
+
+
+def test_licenses(spark):
+    rows = [(1, "words\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "a driving licence costs more"), (4, None), (5, "")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: [], 4: [], 5: []}
+
+
+def test_empty_tables(spark, empty):
+    none = spark.createDataFrame([], "item_id long, text string")
+    for df in (suffixdedup.dedup(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), decontam.leaks(empty, none), decontam.clean(empty, none), packing.pack(empty, TOKENIZER()), langid.identify(empty), linededup.dedup_lines(empty), pii.pseudonymise(empty), licenses.scan(empty), kneserney.score_documents(empty)):
+        assert df.count() == 0
+    assert embedrange.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_pipeline(spark):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "decontamination", "packing"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
