@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, shared_dir, table
+from .common import id_and_bytes, shared_dir
 
 END, BEGIN = np.uint64(1), np.uint64(2)  # words are non-empty, and their hashes are not expected here
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +150,7 @@ def count(docs: DataFrame, folder: str, buckets: int):
         return pa.table({"kind": ["words"], "n": pa.array([[int(n.sum()), int((n > 0).sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4)), int((before > 2).sum())]], pa.list_(pa.int64()))})
 
     counted = id_and_bytes(docs).mapInArrow(pairs, "bucket int, blob binary")
-    partial = table(counted.groupBy("bucket").applyInArrow(merge, "bucket int, blob binary"))
+    partial = counted.groupBy("bucket").applyInArrow(merge, "bucket int, blob binary")
     sums = partial.groupBy("bucket").applyInArrow(words, "kind string, n array<long>").collect()  # one row a bucket
     two = np.sum([r["n"] for r in sums if r["kind"] == "pairs"], axis=0).tolist() if sums else [0] * 4
     one = np.sum([r["n"] for r in sums if r["kind"] == "words"], axis=0).tolist() if sums else [0] * 8
