@@ -22,27 +22,60 @@ class Encoder:
     """Token ids of whole texts. White space separates what is encoded apart, so each chunk between
     ASCII white space is encoded once and kept in a bounded cache."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.most, self.known = Tokenizer.from_file(path), most, {}
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # of ids that end a word
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def __call__(self, bodies: list[bytes], end: int) -> list[np.ndarray]:
         split = [b.split() for b in bodies]
         if len(self.known) > self.most:
             self.known.clear()
-        new = list({w for s in split for w in s if w not in self.known})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.learn({w for s in split for w in s if w not in self.known})
         get, last = self.known.__getitem__, np.array([end], "<u4").tobytes()
         return [np.frombuffer(b"".join(map(get, s)) + last, "<u4") for s in split]
 
 
+    def learn(self, new: set[bytes]) -> None:
+        """Letters alone are one piece before BPE, and so is closing punctuation: such chunks are encoded
+        many at a time and told apart by the ends of words; all others are encoded one by one."""
+        letters, tailed, rest = set(), [], []
+        for w in new:
+            s = w.decode()
+            if s.isalpha():
+                letters.add(s)
+            elif (head := s.rstrip(".,;:!?")).isalpha():
+                letters.add(head)
+                tailed.append((w, head.encode(), s[len(head) :].encode()))
+            else:
+                rest.append(w)
+        rest += list({t for _, _, t in tailed if t not in self.known})
+        letters = sorted(x for x in letters if x.encode() not in self.known)
+        parts = [letters[k : k + 512] for k in range(0, len(letters), 512)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cut = np.nonzero(self.last[ids])[0] + 1
+            if len(cut) != len(part):
+                rest += [x.encode() for x in part]
+                continue
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(part, (4 * cut).tolist()):
+                self.known[x.encode()] = raw[at:end]
+                at = end
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
+            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        for w, head, tail in tailed:
+            self.known[w] = self.known[head] + self.known[tail]
+
+
 def bm25(docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
     """Postings by term: (start of each term, document, weight), idf and each document's distinct terms."""
     length = np.array([len(d) for d in docs], float)
