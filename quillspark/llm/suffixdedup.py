@@ -242,11 +242,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         rid, doc, h, at, bl, fl = (np.concatenate(c) for c in cols[:6])
         text = np.concatenate([c.reshape(-1, wide) for c in cols[6]])
         order = np.argsort(doc, kind="stable")
-        rid, doc, at, bl, fl, text = (c[order] for c in (rid, doc, at, bl, fl, text))
+        rid, doc, h, at, bl, fl, text = (c[order] for c in (rid, doc, h, at, bl, fl, text))
         # anchors with the same bytes around share a class; its smallest id alone goes on to the sort
         packed = np.ascontiguousarray(np.concatenate([text, bl[:, None], fl[:, None]], axis=1)).view(f"V{wide + 2}").ravel()
         _, first, inv = np.unique(packed, return_index=True, return_inverse=True)
-        got = judged(doc[first], Suffixes(np.ascontiguousarray(text[first, :REACH][:, ::-1]), bl[first]), Suffixes(text[first, REACH:], fl[first]))
+        # strings can be equal only where their anchors are: a class alone with its anchor needs no sort
+        _, again, n = np.unique(h[first], return_inverse=True, return_counts=True)
+        on = first[n[again] > 1]
+        got = np.zeros(len(first), np.int64)
+        got[n[again] > 1] = judged(doc[on], Suffixes(np.ascontiguousarray(text[on, :REACH][:, ::-1]), bl[on]), Suffixes(text[on, REACH:], fl[on]))
         o = np.arange(REACH + 1)
         whole = ((o <= bl[:, None]) & (LENGTH - o <= fl[:, None])).astype(np.int64) @ (1 << o)
         mask = np.where(doc > doc[first][inv], whole, got[inv])
