@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from .. import ship
 from ..functions.text import normalize_text, words
 
-SCRIPT = "array<struct<op string, ref string, pred string>>"
+SCRIPT = ArrayType(StructType([StructField(c, StringType()) for c in ("op", "ref", "pred")]))
 
 
 def require_columns(df: DataFrame, names: list[str], label: str) -> DataFrame:
