@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +67,21 @@ def resized_width(w: Column, h: Column, height: int, most: int) -> Column:
 def ctc_collapse(ids: Column, blank: int = 0) -> Column:
     """W-08: drops repeats, then blanks."""
     return F.filter(ids, lambda x, i: (x != blank) & ((i == 0) | (x != F.get(ids, i - 1))))
+
+
+def unicode_form(c: Column, form: str = "NFC") -> Column:
+    """T-03: the text in a Unicode form (NFC, NFD, NFKC, NFKD), or as it is (preserve). ASCII texts don't go to Python."""
+    if form == "preserve":
+        return c
+
+    @F.pandas_udf("string")
+    def change(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return F.when(c.rlike(r"[^\x00-\x7F]"), change(F.when(c.rlike(r"[^\x00-\x7F]"), c))).otherwise(c)
+
+
+def symbol_list(alphabet: Column, unknown: bool = True) -> Column:
+    """T-09: the blank, the sorted characters without the space, the unknown symbol if wanted, the space."""
+    plain = F.array_sort(F.array_except(alphabet, F.array(F.lit(" "))))
+    return F.concat(F.array(F.lit("<ctc>")), plain, F.array(*[F.lit(x) for x in (["<unk>"] if unknown else []) + ["<space>"]]))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, ensemble, evaluation
+from ..operators import audit, decoding, ensemble, evaluation, profile, relations
+from ..sources import readers
 
 PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_name || ' ' || p_type || ' ' || p_brand
@@ -115,7 +116,111 @@ def d01_greedy_decode(spark, sf_dir):
     return audit.greedy_decode(x, "logits", "ABCDEFG").select("vec_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (a02_edit_counts, a04_row_errors, a05_corpus_summary, a06_confusions, a07_grouped_errors, a08_majority_vote, a10_consensus, a11_weighted_vote, a14_char_frequency, a17_ngram_counts, a21_duplicate_groups, a22_robust_z, d01_greedy_decode, t01_normalize, t07_tokenize, t13_ctc_alignment, w04_quantile_bins, w06_fold_sizes)}
+def a13_source_scores(spark, sf_dir):
+    truth = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ID"), F.col("p_name").alias("reference"))
+    return relations.source_scores(sources(spark, sf_dir), truth)
+
+
+def a19_token_summary(spark, sf_dir):
+    x = table(spark, sf_dir, "part")
+    return profile.token_summary(profile.token_audit(x, F.length("p_name") + 2, 16))
+
+
+def a23_residuals(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    return profile.residuals(x, "p_retailprice", ["p_size"]).select("p_partkey", F.round("residual", 4).alias("residual"))
+
+
+def a24_overview(spark, sf_dir):
+    return profile.overview(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).drop("kind")
+
+
+def a25_describe(spark, sf_dir):
+    return profile.describe(table(spark, sf_dir, "customer"), "c_acctbal")
+
+
+def a25_correlations(spark, sf_dir):
+    return profile.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+
+
+def a26_top_words(spark, sf_dir):
+    return profile.top_words(table(spark, sf_dir, "part"), "p_name", 20)
+
+
+def a27_label_integrity(spark, sf_dir):
+    return profile.label_integrity(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+
+
+def a29_best_epoch(spark, sf_dir):
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n"))
+    return relations.best_epoch(x).select("epoch")
+
+
+def d02_beam_search(spark, sf_dir):
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, 8)).alias("logits"))
+    return decoding.beam_decode(x, "logits", "ABCDEFG", candidates=3, beam=10).select("vec_id", decoding.payload(F.col("candidates")).alias("candidates"))
+
+
+def j09_submission(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return relations.submission(o.select("o_custkey").distinct(), o, "o_custkey", "o_orderpriority", "o_orderkey")
+
+
+def o04_overfit_sample(spark, sf_dir):
+    return relations.overfit_sample(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 32)
+
+
+def p02_fold_split(spark, sf_dir):
+    x = table(spark, sf_dir, "part").withColumn("fold", F.col("p_partkey") % 5)
+    return relations.split_fold(x, 2).groupBy("split").agg(F.count("*").alias("n"))
+
+
+def p11_label_features(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_name", F.lit("  "), "p_brand", F.lit(" ")).alias("Target"))
+    return profile.label_features(x, "Target").select("p_partkey", "char_len", F.col("word_len").cast("long").alias("word_len"), "edge_space", "repeated_space", "empty", F.round("digit_ratio", 6).alias("digit_ratio"), F.round("alpha_ratio", 6).alias("alpha_ratio"), "non_ascii")
+
+
+def p12_label_flags(spark, sf_dir):
+    x = manifest(spark, sf_dir).select("ID", "Target")
+    return profile.label_flags(profile.label_features(x, "Target")).select("ID", "max_run", "n_flags", "flag_repeated_chars", "flag_repeated_marks")
+
+
+def s10_decoder_lines(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select(F.concat(F.lit("test/a/"), F.col("p_partkey").cast("string"), F.lit(".v1.jpg "), T.tokenize(F.col("p_name"))).alias("value"))
+    return readers.decoder_lines(x, "test/")
+
+
+def s12_path_lines(spark, sf_dir):
+    p = F.col("p_partkey")
+    payload = F.when(p % 3 == 0, F.col("p_name")).when(p % 3 == 1, F.concat(F.lit("[('"), "p_name", F.lit("', 0.99)]"))).otherwise(F.concat(F.lit('{"text": "'), "p_name", F.lit('"}')))
+    return readers.path_lines(table(spark, sf_dir, "part").select(F.concat(F.lit("/tmp/"), p.cast("string"), F.lit(".jpg\t"), payload).alias("value")))
+
+
+def t03_unicode_form(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.unicode_form(F.col("text"))).alias("digest"))
+
+
+def t04_encode(spark, sf_dir):
+    x = F.lower("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(decoding.encode(x, "abcdefghijklm "), " ").alias("ids"), F.array_join(decoding.unknown(x, "abcdefghijklm "), "").alias("unknown"))
+
+
+def t16_rerank_score(spark, sf_dir):
+    t = F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, "!!").when(F.col("p_partkey") % 3 == 1, "  x ").otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(decoding.reranked_score(t, F.col("p_retailprice"), 20, 0.5, 1.0, 2.0, 4.0), 6).alias("score"))
+
+
+def u02_id_difference(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select((F.col("o_custkey") + 10).alias("k"))
+    return relations.id_difference(c, o, "k")
+
+
+def w05_coarsen(spark, sf_dir):
+    x = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("-", "p_brand", "p_size").alias("label"), "p_brand")
+    return relations.coarsen(x, "label", 3, F.col("p_brand")).select("p_partkey", "label")
+
+
+QUERIES = {f.__name__: f for f in (a13_source_scores, a19_token_summary, a23_residuals, a24_overview, a25_correlations, a25_describe, a26_top_words, a27_label_integrity, a29_best_epoch, d02_beam_search, j09_submission, o04_overfit_sample, p02_fold_split, p11_label_features, p12_label_flags, s10_decoder_lines, s12_path_lines, t03_unicode_form, t04_encode, t16_rerank_score, u02_id_difference, w05_coarsen, a02_edit_counts, a04_row_errors, a05_corpus_summary, a06_confusions, a07_grouped_errors, a08_majority_vote, a10_consensus, a11_weighted_vote, a14_char_frequency, a17_ngram_counts, a21_duplicate_groups, a22_robust_z, d01_greedy_decode, t01_normalize, t07_tokenize, t13_ctc_alignment, w04_quantile_bins, w06_fold_sizes)}
 NORMAL = f"(SELECT ID, trim(regexp_replace(reference, '\\s+', ' ', 'g')) AS r, trim(regexp_replace(prediction, '\\s+', ' ', 'g')) AS p FROM {PAIRS_SQL})"
 ROWS = f"(SELECT ID, r = p AS exact_match, length(r) AS ref_char_len, length(p) AS pred_char_len, len(list_filter(string_split(r, ' '), lambda w: w <> '')) AS ref_word_len, len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS pred_word_len, levenshtein(r, p)::BIGINT AS char_edits, round(levenshtein(r, p) / length(r), 6) AS row_cer FROM {NORMAL})"
 ORACLE_SQL = {
@@ -133,4 +238,23 @@ ORACLE_SQL = {
     "t01_normalize": "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace('  ' || p_name || ' ' || chr(9) || ' ' || p_type, '\\s+', ' ', 'g'))), '[^A-Za-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM part",
     "t13_ctc_alignment": f"SELECT ID, r::BIGINT AS rw, greatest(1, floor(r / 4))::BIGINT AS steps, raw > 2048 AS clipped FROM (SELECT ID, round_even(width * (96.0::DOUBLE / height), 0) AS raw, least(greatest(1, round_even(width * (96.0::DOUBLE / height), 0)), 2048) AS r FROM {MANIFEST_SQL})",
     "w04_quantile_bins": "WITH e AS (SELECT list_distinct(quantile_cont(c_acctbal, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges FROM customer) SELECT c_custkey, 'c' || greatest(0, len(list_filter(edges, lambda x: x < c_acctbal)) - 1) AS c_acctbal_bin FROM customer, e",
+    "a13_source_scores": f"WITH s AS ({SOURCES_SQL}) SELECT source_idx, count(*) AS n, sum(levenshtein(p_name, text))::BIGINT AS char_edits, sum(length(p_name))::BIGINT AS ref_chars, round(sum(levenshtein(p_name, text)) / sum(length(p_name)), 6) AS cer FROM s JOIN part ON cast(p_partkey AS varchar) = ID GROUP BY source_idx",
+    "a19_token_summary": "SELECT count(*) AS n, min(t) AS least, median(t)::DOUBLE AS middle, quantile_cont(t, 0.95)::DOUBLE AS p95, max(t) AS most, count(*) FILTER (t > 16) AS n_over FROM (SELECT length(p_name) + 2 AS t FROM part)",
+    "a23_residuals": "WITH m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part) SELECT p_partkey, round(p_retailprice - a - b * p_size, 4) AS residual FROM part, m",
+    "a24_overview": " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS distinct FROM documents" for c in ("doc_id", "text", "lang", "source")),
+    "a25_describe": "SELECT count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS deviation, min(c_acctbal) AS least, quantile_cont(c_acctbal, 0.25) AS p25, quantile_cont(c_acctbal, 0.5) AS p50, quantile_cont(c_acctbal, 0.75) AS p75, max(c_acctbal) AS most FROM customer",
+    "a25_correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in ("l_quantity", "l_extendedprice", "l_discount") for b in ("l_quantity", "l_extendedprice", "l_discount")),
+    "a26_top_words": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 20",
+    "a27_label_integrity": "SELECT count(*) AS n, count(*) FILTER (trim(p_name) = '') AS n_empty, count(*) - count(DISTINCT p_name) AS n_repeated_text, count(*) - count(DISTINCT p_partkey) AS n_repeated_key FROM part",
+    "a29_best_epoch": "SELECT l_linenumber AS epoch FROM lineitem GROUP BY 1 ORDER BY sum(l_discount * l_quantity) / sum(l_quantity), 1 LIMIT 1",
+    "j09_submission": "SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1",
+    "p02_fold_split": "SELECT CASE WHEN p_partkey % 5 = 2 THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM part GROUP BY 1",
+    "p11_label_features": "SELECT p_partkey, length(t) AS char_len, len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS word_len, true AS edge_space, true AS repeated_space, false AS empty, round(length(regexp_replace(t, '[^0-9]', '', 'g')) / length(t), 6) AS digit_ratio, round(length(regexp_replace(t, '[^A-Za-z]', '', 'g')) / length(t), 6) AS alpha_ratio, false AS non_ascii FROM (SELECT p_partkey, trim(regexp_replace(p_name || ' ' || p_brand, '\\s+', ' ', 'g')) AS t FROM part)",
+    "s10_decoder_lines": "SELECT p_partkey || '.v1' AS ID, p_name AS Target FROM part",
+    "s12_path_lines": "SELECT cast(p_partkey AS varchar) AS ID, p_name AS Target FROM part",
+    "t03_unicode_form": "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents",
+    "t04_encode": "SELECT p_partkey, list_aggregate(list_transform(string_split(lower(p_name), ''), lambda c: instr('abcdefghijklm ', c)), 'string_agg', ' ') AS ids, coalesce(list_aggregate(list_sort(list_distinct(list_filter(string_split(lower(p_name), ''), lambda c: instr('abcdefghijklm ', c) = 0))), 'string_agg', ''), '') AS unknown FROM part",
+    "t16_rerank_score": "SELECT p_partkey, round(p_retailprice - 0.5 * greatest(0, 20 - length(t)) - CASE p_partkey % 3 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 5.0 ELSE 0 END, 6) AS score FROM (SELECT *, p_name || CASE p_partkey % 3 WHEN 0 THEN '!!' WHEN 1 THEN '  x ' ELSE '' END AS t FROM part)",
+    "u02_id_difference": "SELECT c_custkey AS k, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 10 FROM orders) UNION ALL SELECT DISTINCT o_custkey + 10, 'extra' FROM orders WHERE o_custkey + 10 NOT IN (SELECT c_custkey FROM customer)",
+    "w05_coarsen": "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand, p_size) < 3 THEN p_brand ELSE p_brand || '-' || p_size END AS label FROM part",
 }

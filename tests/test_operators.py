@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_same_rows_as_sql(spark, name):
-    for t in ("part", "customer", "documents", "embeddings"):
+    for t in ("part", "customer", "documents", "embeddings", "orders", "lineitem"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = catalogue.QUERIES[name](spark, SF).toPandas(), duckdb.sql(catalogue.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
