@@ -48,7 +48,8 @@ def lines(docs: DataFrame, depth: int) -> DataFrame:
 
 def templates(rows: DataFrame, min_docs: int, alike: float) -> DataFrame:
     """(line, template) of the lines in leaves that min_docs documents reach; others can't recur enough."""
-    busy = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    # written, so that its size is known: a small one is broadcast by Spark's own limit before any line is dealt
+    busy = table(rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     own = rows.join(busy, "leaf", "left_semi").groupBy("leaf", "line", "words").agg(F.count("*").alias("n"))
 
     def run(frames):
