@@ -157,15 +157,18 @@ def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row.
 
     Null text is empty; a null id counts as larger than all others; rows with equal ids don't remove
-    from each other; texts under 50 bytes stay whole."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from each other; texts under 50 bytes stay whole. Anchors are dealt by their hash into a bucket for
+    each bucket_bytes of text, so that a task's memory doesn't grow with the input."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumn("rid", F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), "body"))
 
+    size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+
     def find(batches):
         for b in batches:
             for k in range(0, b.num_rows, 100):
@@ -181,13 +184,15 @@ def dedup(docs: DataFrame) -> DataFrame:
                 at = (at - (ends - sizes)[who]).astype(np.uint32)
                 own = (h >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(own, kind="stable")
-                cut = np.searchsorted(own[order], np.arange(buckets + 1, dtype=np.uint64))
-                put = [x for x in range(buckets) if cut[x] < cut[x + 1]]
-                blobs = []
-                for x in put:
-                    i = order[cut[x] : cut[x + 1]]
-                    blobs.append(h[i].tobytes() + at[i].tobytes() + who[i].astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array([rid.tobytes() + doc.tobytes()] * len(put), pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "docs", "blob"])
+                put, begin = np.unique(own[order], return_index=True)
+                blobs, named = [], []
+                for x, a, z in zip(put, begin, [*begin[1:], len(own)]):
+                    i = order[a:z]
+                    new = np.concatenate([[True], who[i[1:]] != who[i[:-1]]])  # who ascends within a bucket
+                    mine = who[i[new]]
+                    named.append(rid[mine].tobytes() + doc[mine].tobytes())
+                    blobs.append(h[i].tobytes() + at[i].tobytes() + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(named, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "docs", "blob"])
 
     def repeated(key, t):
         """The anchors whose hash is in two documents or more, by row."""
@@ -220,8 +225,9 @@ def dedup(docs: DataFrame) -> DataFrame:
                 hits = [np.frombuffer(x, np.uint32, len(x) // 12) for x in hits], [np.frombuffer(x, np.uint64, len(x) // 12, len(x) // 3) for x in hits]
                 at, h = np.concatenate(hits[0]).astype(np.int64), np.concatenate(hits[1])
                 own = (h >> np.uint64(40)) % np.uint64(buckets)
-                for x in np.unique(own):
-                    i = own == x
+                order = np.argsort(own, kind="stable")
+                each, first = np.unique(own[order], return_index=True)
+                for x, i in zip(each, np.split(order, first[1:])):
                     p = at[i][:, None] + offs
                     inside = (p >= 0) & (p < len(buf))
                     text = np.where(inside, buf[np.clip(p, 0, len(buf) - 1)], 0).astype(np.uint8)
