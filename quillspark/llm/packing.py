@@ -76,6 +76,16 @@ class Encoder:
             self.known[w] = self.known[head] + self.known[tail]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """A worker process's encoder, whose cache outlives its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def bm25(docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
     """Postings by term: (start of each term, document, weight), idf and each document's distinct terms."""
     length = np.array([len(d) for d in docs], float)
@@ -131,18 +141,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end: int = 2, shar
     size = rows.agg(F.sum(F.length("body") + 64)).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "body"), F.lit(shards)).cast("long"))
-    kept: dict = {}
 
     def run(key, t):
-        if "encoder" not in kept:
-            kept["encoder"] = Encoder(tokenizer)
         shard = key[0].as_py()
         t = t.combine_chunks()
         bodies, ids = t.column("body").to_pylist(), t.column("doc_id").to_pylist()
         tied = [(i is None, i or 0, b) for i, b in zip(ids, bodies)]
         order = sorted(range(len(ids)), key=tied.__getitem__)
         bodies, ids = [bodies[k] for k in order], [ids[k] for k in order]
-        got = kept["encoder"](bodies, end)
+        got = encoder(tokenizer)(bodies, end)
         rows = [(ids[d], s, n, zlib.crc32(got[d][s : s + n].tobytes()), len(got[d]), (shard << 32) + q, o) for d, s, n, q, o in fill(got, window)]
         return pa.table({c.split()[0]: pa.array(v, pa.int64()) for c, v in zip(SCHEMA.split(", "), zip(*rows))})
 
