@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table
+from .common import arrow_rows
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -40,6 +40,20 @@ def sliding(a: np.ndarray, width: int, least) -> np.ndarray:
     return least(a[: len(a) - (width - have)], a[width - have :]) if width > have else a
 
 
+def mixed(g: np.ndarray) -> np.ndarray:
+    g = (g ^ (g >> np.uint64(31))) * BASE
+    return g ^ (g >> np.uint64(33))
+
+
+def hashes(text: np.ndarray) -> np.ndarray:
+    """The hash of the anchor in each row of bytes around it; equals what anchors gives."""
+    p = powers(GRAM)
+    g = np.zeros(len(text), np.uint64)
+    for k in range(GRAM):
+        g += (text[:, REACH + k].astype(np.uint64) + np.uint64(1)) * p[k]
+    return mixed(g)
+
+
 def anchors(buf: np.ndarray, ends: np.ndarray):
     """(position, hash) of the anchors in texts joined one after another; ends: where each text ends."""
     width = REACH + 1
@@ -48,9 +62,7 @@ def anchors(buf: np.ndarray, ends: np.ndarray):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     p = powers(len(buf))
     h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p, dtype=np.uint64)])
-    g = (h[GRAM:] - h[:-GRAM]) * powers(n, INVERSE)
-    g = (g ^ (g >> np.uint64(31))) * BASE
-    g ^= g >> np.uint64(33)
+    g = mixed((h[GRAM:] - h[:-GRAM]) * powers(n, INVERSE))
     over = np.zeros(n + GRAM, bool)
     for k in range(1, GRAM):
         at = ends - k
@@ -62,6 +74,15 @@ def anchors(buf: np.ndarray, ends: np.ndarray):
     return at, g[at]
 
 
+def deflated(b: bytes) -> bytes:
+    """Its size, then the compressed bytes: what goes through an exchange is mostly text."""
+    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
+
+
+def inflated(b: bytes) -> bytes:
+    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
+
+
 class Suffixes:
     """Strings of bounded length in the rows of a matrix, with prefix hashes for common extensions."""
 
@@ -173,8 +194,7 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 100):
                 rid = b.column(0).slice(k, 100).to_numpy()
-                doc = b.column(1).slice(k, 100).to_numpy()
-                bodies = b.column(2).slice(k, 100).to_pylist()
+                bodies = b.column(1).slice(k, 100).to_pylist()
                 sizes = np.array([len(x) for x in bodies])
                 ends = np.cumsum(sizes)
                 at, h = anchors(np.frombuffer(b"".join(bodies), np.uint8), ends)
@@ -189,31 +209,29 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
                 for x, a, z in zip(put, begin, [*begin[1:], len(own)]):
                     i = order[a:z]
                     new = np.concatenate([[True], who[i[1:]] != who[i[:-1]]])  # who ascends within a bucket
-                    mine = who[i[new]]
-                    named.append(rid[mine].tobytes() + doc[mine].tobytes())
+                    named.append(rid[who[i[new]]].tobytes())
                     blobs.append(h[i].tobytes() + at[i].tobytes() + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(named, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "docs", "blob"])
 
     def repeated(key, t):
-        """The anchors whose hash is in two documents or more, by row."""
-        h, at, rid, doc = [], [], [], []
+        """The anchors whose hash is in two rows or more, by row."""
+        h, at, rid = [], [], []
         for d, x in zip(t.column("docs").to_pylist(), t.column("blob").to_pylist()):
-            n, m = len(x) // 13, len(d) // 16
-            who = np.frombuffer(x, np.uint8, n, 12 * n)
+            n = len(x) // 13
             h.append(np.frombuffer(x, np.uint64, n)), at.append(np.frombuffer(x, np.uint32, n, 8 * n))
-            rid.append(np.frombuffer(d, np.int64, m)[who]), doc.append(np.frombuffer(d, np.int64, m, 8 * m)[who])
-        h, at, rid, doc = map(np.concatenate, (h, at, rid, doc))
+            rid.append(np.frombuffer(d, np.int64)[np.frombuffer(x, np.uint8, n, 12 * n)])
+        h, at, rid = map(np.concatenate, (h, at, rid))
         order = np.argsort(h)
-        h, at, rid, doc = h[order], at[order], rid[order], doc[order]
+        h, at, rid = h[order], at[order], rid[order]
         first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-        many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        many = np.minimum.reduceat(rid, first) < np.maximum.reduceat(rid, first)
         on = np.repeat(many, np.diff(np.append(first, len(h))))
-        h, at, rid = h[on], at[on], rid[on]
+        at, rid = at[on], rid[on]
         order = np.argsort(rid, kind="stable")
-        h, at, rid = h[order], at[order], rid[order]
+        at, rid = at[order], rid[order]
         each, first = np.unique(rid, return_index=True)
         cut = np.append(first, len(rid))
-        return pa.table({"rid": pa.array(each, pa.int64()), "hits": pa.array([at[a:b].tobytes() + h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+        return pa.table({"rid": pa.array(each, pa.int64()), "hits": pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
     def around(batches):
         """Each repeated anchor with the bytes around it, by bucket."""
@@ -222,38 +240,40 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
             out: dict[int, list] = {}
             for rid, doc, body, hits in zip(*(c.to_pylist() for c in b.columns)):
                 buf = np.frombuffer(body, np.uint8)
-                hits = [np.frombuffer(x, np.uint32, len(x) // 12) for x in hits], [np.frombuffer(x, np.uint64, len(x) // 12, len(x) // 3) for x in hits]
-                at, h = np.concatenate(hits[0]).astype(np.int64), np.concatenate(hits[1])
-                own = (h >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(own, kind="stable")
-                each, first = np.unique(own[order], return_index=True)
-                for x, i in zip(each, np.split(order, first[1:])):
-                    p = at[i][:, None] + offs
+                at = np.frombuffer(b"".join(hits), np.uint32).astype(np.int64)
+                for k in range(0, len(at), 50_000):  # bounds what a very long text takes
+                    p = at[k : k + 50_000, None] + offs
                     inside = (p >= 0) & (p < len(buf))
                     text = np.where(inside, buf[np.clip(p, 0, len(buf) - 1)], 0).astype(np.uint8)
-                    n = len(text)
-                    out.setdefault(int(x), []).append((np.full(n, rid), np.full(n, doc), h[i], at[i].astype(np.uint32), inside[:, :REACH].sum(axis=1).astype(np.uint8), inside[:, REACH:].sum(axis=1).astype(np.uint8), text))
+                    own = (hashes(text) >> np.uint64(40)) % np.uint64(buckets)
+                    order = np.argsort(own, kind="stable")
+                    each, first = np.unique(own[order], return_index=True)
+                    bl, fl = (inside[:, c].sum(axis=1).astype(np.uint8) for c in (slice(REACH), slice(REACH, None)))
+                    for x, i in zip(each, np.split(order, first[1:])):
+                        n = len(i)
+                        out.setdefault(int(x), []).append((np.full(n, rid), np.full(n, doc), at[k + i].astype(np.uint32), bl[i], fl[i], text[i]))
             put = sorted(out)
-            blobs = [b"".join(np.concatenate(c).tobytes() for c in zip(*out[x])) for x in put]
+            blobs = [deflated(b"".join(np.concatenate(c).tobytes() for c in zip(*out[x]))) for x in put]
             yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def judge(key, t):
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(6)]
         wide = REACH + LENGTH
         for x in t.column("blob").to_pylist():
-            n, at = len(x) // (30 + wide), 0
-            for k, (kind, w) in enumerate(((np.int64, 8), (np.int64, 8), (np.uint64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1), (np.uint8, wide))):
+            x = inflated(x)
+            n, at = len(x) // (22 + wide), 0
+            for k, (kind, w) in enumerate(((np.int64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1), (np.uint8, wide))):
                 cols[k].append(np.frombuffer(x, kind, n * w // np.dtype(kind).itemsize, at))
                 at += n * w
-        rid, doc, h, at, bl, fl = (np.concatenate(c) for c in cols[:6])
-        text = np.concatenate([c.reshape(-1, wide) for c in cols[6]])
+        rid, doc, at, bl, fl = (np.concatenate(c) for c in cols[:5])
+        text = np.concatenate([c.reshape(-1, wide) for c in cols[5]])
         order = np.argsort(doc, kind="stable")
-        rid, doc, h, at, bl, fl, text = (c[order] for c in (rid, doc, h, at, bl, fl, text))
+        rid, doc, at, bl, fl, text = (c[order] for c in (rid, doc, at, bl, fl, text))
         # anchors with the same bytes around share a class; its smallest id alone goes on to the sort
         packed = np.ascontiguousarray(np.concatenate([text, bl[:, None], fl[:, None]], axis=1)).view(f"V{wide + 2}").ravel()
         _, first, inv = np.unique(packed, return_index=True, return_inverse=True)
         # strings can be equal only where their anchors are: a class alone with its anchor needs no sort
-        _, again, n = np.unique(h[first], return_inverse=True, return_counts=True)
+        _, again, n = np.unique(hashes(text[first]), return_inverse=True, return_counts=True)
         on = first[n[again] > 1]
         got = np.zeros(len(first), np.int64)
         got[n[again] > 1] = judged(doc[on], Suffixes(np.ascontiguousarray(text[on, :REACH][:, ::-1]), bl[on]), Suffixes(text[on, REACH:], fl[on]))
@@ -283,11 +303,12 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    keyed = rows.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "body")
-    found = arrow_rows(keyed).mapInArrow(find, "bucket int, docs binary, blob binary")
+    found = arrow_rows(rows.select("rid", "body")).mapInArrow(find, "bucket int, docs binary, blob binary")
     hits = found.groupBy("bucket").applyInArrow(repeated, "rid long, hits binary").groupBy("rid").agg(F.collect_list("hits").alias("hits"))
+    dealt = rows.repartition("rid")  # both joins read this one exchange
+    keyed = dealt.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "body")
     near = keyed.dropDuplicates(["rid"]).join(hits, "rid").select("rid", "doc", "body", "hits")
     context = arrow_rows(near, 200).mapInArrow(around, "bucket int, blob binary")
-    spans = table(context.groupBy("bucket").applyInArrow(judge, "rid long, spans binary")).groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    last = rows.join(spans, "rid", "left").select("doc_id", "body", "spans")
+    spans = context.groupBy("bucket").applyInArrow(judge, "rid long, spans binary").groupBy("rid").agg(F.collect_list("spans").alias("spans"))
+    last = dealt.join(spans, "rid", "left").select("doc_id", "body", "spans")
     return arrow_rows(last).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
