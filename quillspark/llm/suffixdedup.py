@@ -178,7 +178,7 @@ def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
+def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row.
 
     Null text is empty; a null id counts as larger than all others; rows with equal ids don't remove
@@ -205,21 +205,24 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
                 own = (h >> np.uint64(40)) % np.uint64(buckets)
                 order = np.argsort(own, kind="stable")
                 put, begin = np.unique(own[order], return_index=True)
+                short = h.view(np.uint8).reshape(-1, 8)[:, :5]  # the bucket tells the upper bits' part
                 blobs, named = [], []
                 for x, a, z in zip(put, begin, [*begin[1:], len(own)]):
                     i = order[a:z]
                     new = np.concatenate([[True], who[i[1:]] != who[i[:-1]]])  # who ascends within a bucket
                     named.append(rid[who[i[new]]].tobytes())
-                    blobs.append(h[i].tobytes() + at[i].tobytes() + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
+                    blobs.append(short[i].tobytes() + at[i].tobytes() + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(named, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "docs", "blob"])
 
     def repeated(key, t):
         """The anchors whose hash is in two rows or more, by row."""
         h, at, rid = [], [], []
         for d, x in zip(t.column("docs").to_pylist(), t.column("blob").to_pylist()):
-            n = len(x) // 13
-            h.append(np.frombuffer(x, np.uint64, n)), at.append(np.frombuffer(x, np.uint32, n, 8 * n))
-            rid.append(np.frombuffer(d, np.int64)[np.frombuffer(x, np.uint8, n, 12 * n)])
+            n = len(x) // 10
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
+            h.append(wide.view(np.uint64).ravel()), at.append(np.frombuffer(x, np.uint32, n, 5 * n))
+            rid.append(np.frombuffer(d, np.int64)[np.frombuffer(x, np.uint8, n, 9 * n)])
         h, at, rid = map(np.concatenate, (h, at, rid))
         order = np.argsort(h)
         h, at, rid = h[order], at[order], rid[order]
@@ -238,20 +241,25 @@ def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
         offs = np.arange(-REACH, LENGTH)
         for b in batches:
             out: dict[int, list] = {}
-            for rid, doc, body, hits in zip(*(c.to_pylist() for c in b.columns)):
-                buf = np.frombuffer(body, np.uint8)
-                at = np.frombuffer(b"".join(hits), np.uint32).astype(np.int64)
-                for k in range(0, len(at), 50_000):  # bounds what a very long text takes
-                    p = at[k : k + 50_000, None] + offs
-                    inside = (p >= 0) & (p < len(buf))
-                    text = np.where(inside, buf[np.clip(p, 0, len(buf) - 1)], 0).astype(np.uint8)
-                    own = (hashes(text) >> np.uint64(40)) % np.uint64(buckets)
-                    order = np.argsort(own, kind="stable")
-                    each, first = np.unique(own[order], return_index=True)
-                    bl, fl = (inside[:, c].sum(axis=1).astype(np.uint8) for c in (slice(REACH), slice(REACH, None)))
-                    for x, i in zip(each, np.split(order, first[1:])):
-                        n = len(i)
-                        out.setdefault(int(x), []).append((np.full(n, rid), np.full(n, doc), at[k + i].astype(np.uint32), bl[i], fl[i], text[i]))
+            rids, docs = (b.column(k).to_numpy() for k in (0, 1))
+            bodies = b.column(2).to_pylist()
+            hits = [b"".join(x) for x in b.column(3).to_pylist()]
+            ends = np.cumsum([len(x) for x in bodies])
+            begins = ends - [len(x) for x in bodies]
+            buf = np.frombuffer(b"".join(bodies), np.uint8)
+            who = np.repeat(np.arange(len(hits)), [len(x) // 4 for x in hits])
+            at = np.frombuffer(b"".join(hits), np.uint32)
+            for k in range(0, len(at), 20_000):  # bounds what very long texts take
+                w, a = who[k : k + 20_000], at[k : k + 20_000]
+                p = (a + begins[w])[:, None] + offs
+                inside = (p >= begins[w][:, None]) & (p < ends[w][:, None])
+                text = buf[np.clip(p, 0, len(buf) - 1)] * inside
+                own = (hashes(text) >> np.uint64(40)) % np.uint64(buckets)
+                order = np.argsort(own, kind="stable")
+                each, first = np.unique(own[order], return_index=True)
+                bl, fl = (inside[:, c].sum(axis=1, dtype=np.uint8) for c in (slice(REACH), slice(REACH, None)))
+                for x, i in zip(each, np.split(order, first[1:])):
+                    out.setdefault(int(x), []).append((rids[w[i]], docs[w[i]], a[i], bl[i], fl[i], text[i]))
             put = sorted(out)
             blobs = [deflated(b"".join(np.concatenate(c).tobytes() for c in zip(*out[x]))) for x in put]
             yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
