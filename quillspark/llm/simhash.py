@@ -21,23 +21,32 @@ from .common import arrow_rows, components, fresh, id_and_bytes, stars, table
 TILE = 4096
 
 
-def fingerprint(body: bytes, width: int = 3) -> int:
-    """Signed 64-bit value; a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+def hashes(body: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles; a shorter text is one shingle, a blank one has none."""
     words = body.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     width = min(width, len(words))
     h = xxhash.xxh64_intdigest
-    got = np.array([h(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+    return np.array([h(joined[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+
+
+def majority(got: np.ndarray) -> int:
+    """Signed 64-bit value; a bit is 1 if it is set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(got), 8192):
         ones += np.unpackbits(got[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(got), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(body: bytes, width: int = 3) -> int:
+    """Signed 64-bit value; a bit is 1 if it is set in over half of the shingles' XXH64 (seed 42)."""
+    return majority(hashes(body, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp): one row per document; null and blank texts get zero."""
     def run(batches):
@@ -96,11 +105,131 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return rows.join(classes.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(body: bytes, width: int) -> np.ndarray:
+    """The distinct hashes, sorted."""
+    return np.unique(hashes(body, width))
+
+
+def sketch(body: bytes, width: int) -> tuple[int, int, int]:
+    """(number of distinct shingles, two signed 64-bit halves of their fingerprint)."""
+    got = shingles(body, width)
+    return len(got), majority(got), majority(mixed(got))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash (the finaliser of SplitMix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n / (len(a) + len(b) - n) if len(a) + len(b) else 1.0
+
+
+def candidates(nodes: DataFrame, least: float, radius: int, both: int, every: bool) -> DataFrame:
+    """(src, dst): keys of nodes (key, n, f0, f1, comp) whose halves differ in radius bits at most in the first and
+    in both at most in all, and whose counts n allow the similarity. Pairs of one comp are left out; with every all
+    the others are told, else stars per tile pair.
+
+    Similar sets have counts within the factor 1 / least, so cells of the count's logarithm to that base
+    meet themselves and the next cell alone; that loses no pair."""
+    cell = F.when(F.col("n") == 0, -9).otherwise(F.floor(F.log("n") / float(-np.log(least)) + 1e-9)).cast("int")
+    cells = nodes.withColumn("cell", cell)
+    sized = cells.join(F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / TILE).alias("tiles"))), "cell")
+    five = ("key", "n", "f0", "f1", "comp")
+    tiles = sized.withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).groupBy("cell", "t").agg(F.collect_list(F.struct(*five)).alias("r"))
+    tiles = table(tiles.select("cell", "t", *[F.col(f"r.{c}").alias(c) for c in five]))
+    left = tiles.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), *[F.col(c).alias(f"{c}_a") for c in ("cell", "t", *five)]).withColumn("cell", F.col("cell_a") + F.col("d"))
+    pairs = left.join(tiles, "cell").where("d = 1 or t_a <= t").select((F.expr("d = 0 and t_a = t")).alias("own"), *[f"{c}_a" for c in five], *five)
+
+    def run(batches):
+        for batch in batches:
+            own, src, dst = batch.column(0).to_pylist(), [], []
+            for k, same in enumerate(own):
+                (ka, na, xa, ya, ca), (kb, nb, xb, yb, cb) = ([np.asarray(batch.column(c)[k].values) for c in range(s, s + 5)] for s in (1, 6))
+                i, j = [], []
+                for s in range(0, len(ka), 256):
+                    x, y = np.nonzero(np.bitwise_count(xa[s : s + 256, None].view(np.uint64) ^ xb[None, :].view(np.uint64)) <= radius)
+                    x += s
+                    ok = (np.bitwise_count((xa[x] ^ xb[y]).view(np.uint64)) + np.bitwise_count((ya[x] ^ yb[y]).view(np.uint64)) <= both) & (np.minimum(na[x], nb[y]) >= least * np.maximum(na[x], nb[y]) - 1e-9) & (ca[x] != cb[y])
+                    if same:
+                        ok &= x < y
+                    i.append(x[ok]), j.append(y[ok])
+                i, j = np.concatenate(i), np.concatenate(j)
+                if len(i) and every:
+                    src.append(ka[i]), dst.append(kb[j])
+                elif len(i):
+                    keys = ka if same else np.concatenate([ka, kb])
+                    lab = stars(len(keys), i, j if same else j + len(ka))
+                    on = np.nonzero(lab != np.arange(len(keys)))[0]
+                    src.append(keys[on]), dst.append(keys[lab[on]])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
+
+    return arrow_rows(pairs, 20).mapInArrow(run, "src long, dst long")
+
+
+def confirmed(found: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (src, dst) whose texts (key, body) have a shingle similarity of least or more, exactly."""
+    edges = table(found.distinct())
+    ends = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key"))).distinct()
+    own = table(texts.join(ends, "key", "left_semi"))
+    a, b = (own.select(F.col("key").alias(k), F.col("body").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
+
+    def run(batches):
+        known: dict = {}
+        for batch in batches:
+            src, dst = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = []
+            for pair in zip(src, dst, batch.column(2), batch.column(3)):
+                for key, body in zip(pair[:2], pair[2:]):
+                    if key not in known:
+                        if len(known) > 500:
+                            known.clear()
+                        known[key] = shingles(body.as_py(), width)
+                x, y = (known[k] if k in known else shingles(v.as_py(), width) for k, v in zip(pair[:2], pair[2:]))
+                ok.append(alike(x, y) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    return table(arrow_rows(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b"), 200).mapInArrow(run, "src long, dst long"))
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, both: int = 38) -> DataFrame:
+    """(doc_id, component_id) by links of texts with a word-shingle Jaccard similarity of least or more.
+
+    Candidates are 128-bit fingerprints of the distinct shingles within both bits, and within radius of the first
+    64; at similarity 0.8 about 10 and 20 bits differ. Every link is then checked on the shingles themselves. First
+    the stars of each tile pair are checked, then all candidates that these left in different components.
+    Null and blank texts are alike; null ids take part but are no component's name."""
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("body"))
+
+    def run(batches):
+        for b in batches:
+            got = [sketch(x, width) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([g[k] for g in got], pa.int64()) for k in range(3)]], ["doc_id", "key", "n", "f0", "f1"])
+
+    rows = table(arrow_rows(keyed).mapInArrow(run, "doc_id long, key long, n long, f0 long, f1 long"))
+    # equal texts are one node, named by the text's hash
+    own = table(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
+    texts = keyed.groupBy("key").agg(F.first("body").alias("body"))
+    near = confirmed(candidates(own.withColumn("comp", F.col("key")), least, radius, both, False), texts, width, least)
+    parts = own.join(components(near), own.key == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+    rest = confirmed(candidates(parts, least, radius, both, True), texts, width, least)
+    classes = own.join(components(near.unionByName(rest)), own.key == F.col("node"), "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+    lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
+    return rows.join(classes.join(lows, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those whose component has a smaller doc_id; of rows with that same id, one stays.
+    """The documents without those whose component (see similar) has a smaller doc_id; of rows with that same id, one stays.
 
     Rows with a null id stay."""
-    found = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    found = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
     rank = fresh(docs, "rank_in_id")
     left = docs.join(found, docs.doc_id.cast("long") == found.gone, "left_anti")
     again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))

@@ -89,6 +89,23 @@ def test_keep_one(docs):
     assert 82 not in ids and ids.count(85) == 0 and 3 in ids and len(ids) == len(set(ids))
 
 
+def test_keep_one_brute(spark):
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):
+        w = prose(rng, rng.randint(3, 300)).split()
+        rows.append((len(rows), " ".join(w)))
+        for _ in range(k % 4):
+            for _ in range(rng.choice((1, 1, 2, 4, 8))):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            rows.append((len(rows), " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    link = [(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    lab = common.stars(len(rows), *map(np.array, zip(*link)))
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert len(link) > 30 and kept == [k for k in range(len(rows)) if lab[k] == k]
+
+
 def test_mask_covers_two_substitutions():
     for bad in combinations(range(decontam.WINDOW), 2):
         assert any(not {k + m for m in decontam.MASK} & set(bad) for k in range(decontam.WINDOW - decontam.SPAN + 1))
