@@ -55,8 +55,8 @@ def digit_ratio(c: Column) -> Column:
 
 def repeats(c: Column) -> Column:
     """W-07: adjacent equal characters."""
-    x = chars(c)
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda k: (k < F.size(x)) & (F.get(x, k - 1) == F.get(x, k))))
+    runs = F.regexp_replace(c, r"(?s)(.)\1+", "$1")
+    return F.coalesce(F.length(c) - F.length(runs), F.lit(0))
 
 
 def resized_width(w: Column, h: Column, height: int, most: int) -> Column:

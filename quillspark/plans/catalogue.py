@@ -35,7 +35,7 @@ def sources(spark, sf_dir):
 
 def manifest(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("ID"), "doc_id", "lang", F.substring("text", 1, 120).alias("Target"), (267 + (F.col("doc_id") * 7919) % 5785).cast("double").alias("width"), (28 + (F.col("doc_id") * 104729) % 1104).cast("double").alias("height"))
+    return d.select(F.col("doc_id").cast("string").alias("ID"), "doc_id", "lang", F.col("text").alias("Target"), (267 + (F.col("doc_id") * 7919) % 5785).cast("double").alias("width"), (28 + (F.col("doc_id") * 104729) % 1104).cast("double").alias("height"))
 
 
 MANIFEST_SQL = "(SELECT cast(doc_id AS varchar) AS ID, doc_id, lang, substr(text, 1, 120) AS Target, (267 + (doc_id * 7919) % 5785)::DOUBLE AS width, (28 + (doc_id * 104729) % 1104)::DOUBLE AS height FROM documents)"
@@ -86,6 +86,11 @@ def t13_ctc_alignment(spark, sf_dir):
     return audit.ctc_alignment(manifest(spark, sf_dir)).drop("needed", "margin", "valid")
 
 
+def t13_ctc_lengths(spark, sf_dir):
+    """The columns of the alignment that depend on the text, which t13_ctc_alignment's SQL doesn't give."""
+    return audit.ctc_alignment(manifest(spark, sf_dir)).select("ID", "steps", "needed", "margin", "valid")
+
+
 def w04_quantile_bins(spark, sf_dir):
     x = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     return audit.quantile_bins(x, "c_acctbal", 5, "c").select("c_custkey", "c_acctbal_bin")
@@ -220,7 +225,7 @@ def w05_coarsen(spark, sf_dir):
     return relations.coarsen(x, "label", 3, F.col("p_brand")).select("p_partkey", "label")
 
 
-QUERIES = {f.__name__: f for f in (a13_source_scores, a19_token_summary, a23_residuals, a24_overview, a25_correlations, a25_describe, a26_top_words, a27_label_integrity, a29_best_epoch, d02_beam_search, j09_submission, o04_overfit_sample, p02_fold_split, p11_label_features, p12_label_flags, s10_decoder_lines, s12_path_lines, t03_unicode_form, t04_encode, t16_rerank_score, u02_id_difference, w05_coarsen, a02_edit_counts, a04_row_errors, a05_corpus_summary, a06_confusions, a07_grouped_errors, a08_majority_vote, a10_consensus, a11_weighted_vote, a14_char_frequency, a17_ngram_counts, a21_duplicate_groups, a22_robust_z, d01_greedy_decode, t01_normalize, t07_tokenize, t13_ctc_alignment, w04_quantile_bins, w06_fold_sizes)}
+QUERIES = {f.__name__: f for f in (a13_source_scores, a19_token_summary, a23_residuals, a24_overview, a25_correlations, a25_describe, a26_top_words, a27_label_integrity, a29_best_epoch, d02_beam_search, j09_submission, o04_overfit_sample, p02_fold_split, p11_label_features, p12_label_flags, s10_decoder_lines, s12_path_lines, t03_unicode_form, t04_encode, t16_rerank_score, u02_id_difference, w05_coarsen, a02_edit_counts, a04_row_errors, a05_corpus_summary, a06_confusions, a07_grouped_errors, a08_majority_vote, a10_consensus, a11_weighted_vote, a14_char_frequency, a17_ngram_counts, a21_duplicate_groups, a22_robust_z, d01_greedy_decode, t01_normalize, t07_tokenize, t13_ctc_alignment, t13_ctc_lengths, w04_quantile_bins, w06_fold_sizes)}
 NORMAL = f"(SELECT ID, trim(regexp_replace(reference, '\\s+', ' ', 'g')) AS r, trim(regexp_replace(prediction, '\\s+', ' ', 'g')) AS p FROM {PAIRS_SQL})"
 ROWS = f"(SELECT ID, r = p AS exact_match, length(r) AS ref_char_len, length(p) AS pred_char_len, len(list_filter(string_split(r, ' '), lambda w: w <> '')) AS ref_word_len, len(list_filter(string_split(p, ' '), lambda w: w <> '')) AS pred_word_len, levenshtein(r, p)::BIGINT AS char_edits, round(levenshtein(r, p) / length(r), 6) AS row_cer FROM {NORMAL})"
 ORACLE_SQL = {

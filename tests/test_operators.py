@@ -1,4 +1,5 @@
 import random
+from itertools import groupby
 
 import duckdb
 import pytest
@@ -26,6 +27,18 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_whole_texts(spark):
+    texts = {str(r.doc_id): r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(len(t or "") > 120 for t in texts.values())
+    for r in catalogue.QUERIES["t13_ctc_lengths"](spark, SF).collect():
+        t = texts[r.ID]
+        needed = len(t) + sum(a == b for a, b in zip(t, t[1:]))
+        assert (r.needed, r.margin, r.valid) == (needed, r.steps - needed, r.steps >= needed)
+    for r in catalogue.QUERIES["p12_label_flags"](spark, SF).collect():
+        t = " ".join(texts[r.ID].split())
+        assert r.max_run == max((len(list(g)) for _, g in groupby(t)), default=0)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
 
