@@ -29,7 +29,8 @@ SSN = r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
 PHONE = r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3,4}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d))"
 CARD = r"(?P<card>(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-]))"
 FOUND = re.compile("|".join((EMAIL, SECRET, DATE, ADDRESS, SSN, PHONE, CARD)))
-HINT = re.compile(r"[\d@]|password|secret|token|AKIA|ASIA", re.I)
+#: A line with a match of FOUND holds one of these.
+HINT = re.compile(r"[\d@]|password|passwd|secret|token|key|AKIA|ASIA", re.I)
 FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
 
 
