@@ -2,8 +2,9 @@
 
 The tree has a fixed depth: a line's token count, then its leading tokens, with variable fields
 (tokens that hold digits) generalised. In a leaf, lines join the first template that agrees in
-enough positions, and differing positions become wildcards. A template in min_docs documents or
-more is boilerplate: its lines go from all documents but the one with the smallest id."""
+enough positions, and differing positions become wildcards. A template in two documents or more
+recurs: its lines go from all documents but the one with the smallest id. Lines of no more words
+than the tree's depth are common phrases and headings, and go at a higher count alone."""
 
 from __future__ import annotations
 
@@ -47,7 +48,7 @@ def lines(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_docs: int, alike: float) -> DataFrame:
-    """(line, template) of the lines in leaves that min_docs documents reach; others can't recur enough."""
+    """(line, template) of the lines in leaves that min_docs rows reach; others can't recur enough."""
     # written, so that its size is known: a small one is broadcast by Spark's own limit before any line is dealt
     busy = table(rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     own = rows.join(busy, "leaf", "left_semi").groupBy("leaf", "line", "words").agg(F.count("*").alias("n"))
@@ -75,11 +76,14 @@ def templates(rows: DataFrame, min_docs: int, alike: float) -> DataFrame:
     return dealt.mapInPandas(run, "line long, template long")
 
 
-def boilerplate(docs: DataFrame, min_docs: int = 8, depth: int = 3, alike: float = 0.75) -> DataFrame:
-    """(doc_id, drop array<long>): hashes of the masked lines to drop from each document that has any."""
+def boilerplate(docs: DataFrame, min_docs: int = 2, short_docs: int = 8, depth: int = 3, alike: float = 0.75) -> DataFrame:
+    """(doc_id, drop array<long>): hashes of the masked lines to drop from each document that has any.
+
+    A template of up to depth words must recur in short_docs documents, a longer one in min_docs."""
     rows = table(lines(docs, depth))
-    slim = rows.select("doc_id", "line").join(templates(rows, min_docs, alike), "line")
-    hot = slim.groupBy("template").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
+    short = F.size(F.split("words", " ")) <= depth
+    slim = rows.select("doc_id", "line", short.alias("short")).join(templates(rows, min_docs, alike), "line")
+    hot = slim.groupBy("template").agg(F.countDistinct("doc_id").alias("n"), F.min("doc_id").alias("first"), F.first("short").alias("brief")).where(F.col("n") >= F.when(F.col("brief"), short_docs).otherwise(min_docs))
     return slim.join(hot, "template").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
 
 

@@ -215,6 +215,15 @@ def test_line_dedup(spark):
     assert out[50].text is None and out[51].text == "" and out[5].n_dropped == 1
 
 
+def test_lines_in_two_documents(spark):
+    rng = random.Random(6)
+    long, middle = prose(rng, 60), prose(rng, 20)
+    rows = [(1, f"{prose(rng, 9)}\n{long}\nthe end"), (2, f"{long}\n{prose(rng, 9)}\nthe end"), (3, f"{middle}\n{prose(rng, 30)}"), (4, f"{prose(rng, 8)}\nx {middle}"), (5, f"{middle}\n{prose(rng, 7)}")]
+    out = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = {2: long, 5: middle}
+    assert out == {k: "\n".join(x for x in t.split("\n") if x != gone.get(k)) for k, t in rows}
+
+
 def test_pseudonyms():
     key = b"k" * 32
     assert sorted(pii.permute(x, 97, key, "t") for x in range(97)) == list(range(97))
