@@ -250,6 +250,21 @@ def test_licenses(spark):
     assert got == {1: ["Apache-2.0"], 2: ["MIT"], 3: [], 4: [], 5: []}
 
 
+def test_every_license_of_a_block(spark):
+    t = licenses.TEMPLATES
+    rows = [
+        (1, "Released under the MIT License. All rights reserved.", ["All-rights-reserved", "MIT"]),
+        (2, "Released under the MIT License. Documentation: Licensed under CC BY 4.0.", ["CC-BY-4.0", "MIT"]),
+        (3, "some words\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.\nmore", ["MPL-2.0"]),
+        (4, " words here ".join([prose(random.Random(1), 800), *t.values(), prose(random.Random(2), 800)]), sorted(t)),
+        (5, "\n".join([t["MIT"], prose(random.Random(3), 900), t["MIT"], t["ISC"].replace(" ", "\n")]), ["ISC", "MIT"]),
+        (6, t["CC-BY-SA-4.0"], ["CC-BY-SA-4.0"]),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {k: want for k, _, want in rows}
+    assert [(x.license, x.line) for x in got[5].found] == [("MIT", 0), ("MIT", 2), ("ISC", 3)] and got[3].found[0].line == 1
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     for df in (suffixdedup.dedup(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), decontam.leaks(empty, none), decontam.clean(empty, none), packing.pack(empty, TOKENIZER()), langid.identify(empty), linededup.dedup_lines(empty), pii.pseudonymise(empty), licenses.scan(empty), kneserney.score_documents(empty)):
