@@ -27,6 +27,15 @@ def matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def distinct(units: np.ndarray) -> np.ndarray:
+    """The unit vectors without those parallel to an earlier one, whose cells rounding would part."""
+    kept: list = []
+    for u in units:
+        if all(np.linalg.norm(u - p) > 1e-6 for p in kept):
+            kept.append(u)
+    return np.array(kept)
+
+
 def link(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVOTS) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors (vec_id, embedding, label).
 
@@ -46,7 +55,7 @@ def link(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVOTS) -> Data
         ranked = classes.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where(F.col("r") <= pivots)
         for r in ranked.select("kind", "v", "r").orderBy("kind", "r").collect():  # at most 1000 x pivots vectors
             chosen.setdefault(r["kind"], []).append(r["v"])
-    units = {k: (p := np.array(v)) / np.linalg.norm(p, axis=1)[:, None] for k, v in chosen.items()}
+    units = {k: distinct((p := np.array(v)) / np.linalg.norm(p, axis=1)[:, None]) for k, v in chosen.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(units)
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-7
 
@@ -67,8 +76,7 @@ def link(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVOTS) -> Data
                 apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
                 gap = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * apart[home], 1e-12)
                 for i, c in zip(*np.nonzero(gap <= reach)):
-                    if c == home[i] or apart[home[i], c] > 1e-9:
-                        out.append((int(ids[on[i]]), int(counts[on[i]]), int(k), int(c), bool(c == home[i]), x[i]))
+                    out.append((int(ids[on[i]]), int(counts[on[i]]), int(k), int(c), bool(c == home[i]), x[i]))
             cols = list(zip(*out)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_()), pa.array([v.tolist() for v in cols[5]], pa.list_(pa.float64()))], ["id", "n", "kind", "cell", "home", "v"])
 

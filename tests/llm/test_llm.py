@@ -193,6 +193,14 @@ def test_embeddings_brute(spark):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (len(link.get(k, [])), min(seen), k == min(seen))
 
 
+def test_parallel_pivots(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 30, 8))
+    rows = [(3 * (30 * g + k) + s, (base[g, k] * scale).tolist(), g) for g in range(40) for k in range(30) for s, scale in enumerate((1.0, 3.0, 0.7))]
+    got = embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivots=90).collect()
+    assert len(got) == 3600 and all(r.n_links >= 2 and r.component_id <= r.vec_id // 3 * 3 for r in got)
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     words = {"en": "the and with thing that", "de": "der und nicht für schön", "fr": "le est où être déjà"}
