@@ -1,4 +1,4 @@
-"""Vocabularies, geometry, folds, integrity: A-14, A-17, A-18, A-21, A-22, P-11, W-04 to W-06, T-11, T-13, O-05, D-01."""
+"""Vocabularies, geometry, folds, integrity: A-14, A-17, A-21, A-22, P-11, W-04 to W-06, T-11, T-13, O-05, D-01."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evaluation: alignment, row errors, corpus rates, grouped slices (J-02 to J-04, A-01 to A-07, P-07 to P-09)."""
+"""Evaluation: alignment, row errors, corpus rates, grouped slices (J-02 to J-04, A-01 to A-07, P-07, of P-09 shorter and longer)."""
 
 from __future__ import annotations
 
@@ -103,7 +103,7 @@ def corpus_summary(rows: DataFrame) -> DataFrame:
 
 
 def slices(rows: DataFrame) -> DataFrame:
-    """P-07, P-09: the columns by which errors are grouped."""
+    """P-07, of P-09 shorter and longer: the columns by which errors are grouped."""
     n = F.col("ref_char_len")
     return rows.withColumns({"length_bin": F.when(n <= 39, "short").when(n <= 80, "medium").when(n <= 10000, "long").otherwise("nan"), "shorter": F.col("pred_char_len") < n, "longer": F.col("pred_char_len") > n})
 

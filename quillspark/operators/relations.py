@@ -1,4 +1,4 @@
-"""Joins, sets, checks of ids and samples: J-01, J-08, J-09, J-12, U-01 to U-03, W-01, W-05, W-10, P-02, O-04, A-13, A-29."""
+"""Joins, sets, checks of ids and samples: J-01, J-08, J-09, J-12, U-01 to U-03, W-01, W-05, P-02, O-04, A-13, A-29."""
 
 from __future__ import annotations
 
