@@ -14,9 +14,11 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; a local folder is set only where that is unset."""
+    """A fresh path under spark.checkpoint.dir; in local mode, as in tests, a folder is set where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
@@ -37,10 +39,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Small Arrow batches, so very long texts don't add up in a worker; workers on this machine find the package."""
+def arrow_rows(df: DataFrame) -> DataFrame:
+    """Arrow batches of bounded rows and bytes, so very long texts don't add up in a worker; the bounds are the
+    same for all operators, since Spark reads them when a query runs. Workers on this machine find the package."""
     df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     return df
 
 

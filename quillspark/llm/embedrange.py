@@ -1,9 +1,12 @@
 """Embedding near-dedup by an exact metric range join.
 
 Unit vectors of one label within Euclidean distance r = sqrt(2 - 2 c) have cosine c or more. Pivots
-part the vectors; a vector is in the cell of its nearest pivot, and is copied to every cell whose
+part a label's vectors; a vector is in the cell of its nearest pivot, and is copied to every cell whose
 bisecting hyperplane is within r and whose radius plus r reaches it, which the triangle inequality
-shows to lose no pair. Cells are cut into tiles and join independently."""
+shows to lose no pair. Cells are cut into tiles of bounded bytes and join independently. A label's
+number of cells is the one that promises the least comparing with at most COPIES copies of a vector,
+told from sampled vectors; where none does, as with vectors spread evenly in many dimensions, the label
+is one cell by the same code."""
 
 from __future__ import annotations
 
@@ -11,20 +14,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_rows, components, stars, table
 
-TILE, PIVOTS = 2048, 64
+TILE_BYTES, PIVOTS, COPIES, PROBES = 2 << 20, 64, 4.0, 4
+KEYS = ["label", "size", "cell"]
+PIECE = "label string, size int, cell int, ids binary, ns binary, homes binary, vs binary"
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+def matrix(blob: bytes, size: int, kind) -> np.ndarray:
+    """The vectors as doubles; those of very large or small components are scaled, which keeps their cosines."""
+    x = np.frombuffer(blob, kind).reshape(-1, size // np.dtype(kind).itemsize).astype(np.float64)
+    big = np.abs(x).max(axis=1, keepdims=True)
+    return np.where((big > 1e100) | (big < 1e-100), x / big, x)
 
 
-def matrix(column) -> np.ndarray:
-    n = len(column)
-    return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
 def distinct(units: np.ndarray) -> np.ndarray:
@@ -36,88 +42,180 @@ def distinct(units: np.ndarray) -> np.ndarray:
     return np.array(kept)
 
 
-def link(vectors: DataFrame, cosine: float = 0.98, pivots: int = PIVOTS) -> DataFrame:
+def dealt(u: np.ndarray, p: np.ndarray, reach: float, radii=None):
+    """(distance to the nearest pivot, its cell, whether each vector goes to each cell)."""
+    d = np.maximum(2 - 2 * u @ p.T, 0)
+    home = d.argmin(axis=1)
+    near = d[np.arange(len(u)), home]
+    apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+    to = (d - near[:, None]) / np.maximum(2 * apart[home], 1e-12) <= reach
+    if radii is not None:
+        to &= np.sqrt(d) <= radii[None, :] + reach
+    to[np.arange(len(u)), home] = True
+    return np.sqrt(near), home, to
+
+
+def chosen(heads: list[bytes], size: int, kind, reach: float) -> np.ndarray:
+    """The pivots of a label: as many of the tiles' first vectors as compare least, by the other sampled vectors."""
+    sample = [unit(matrix(h, size, kind)) for h in heads]
+    units, probes = distinct(np.array([s[0] for s in sample])), np.concatenate([s[1:] for s in sample])
+    best, least, k = 1, 1.0, 2
+    while k <= len(units) and len(probes):
+        copies = dealt(probes, units[:k], reach)[2].sum(axis=1).mean()
+        if copies <= COPIES and copies * copies / k < least:  # what a cell of n copies / k vectors compares, over k cells
+            best, least = k, copies * copies / k
+        k *= 2
+    return units[:best]
+
+
+def packed(pieces: DataFrame, room: int) -> DataFrame:
+    """Pieces (see PIECE) joined to tiles of about room bytes. The exchange is by ranges, so a hot label has
+    many tasks, and a task holds one tile at a time."""
+    def run(batches):
+        key, parts, held = None, [], 0
+
+        def tile():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*key, *(b"".join(c) for c in zip(*parts))), (pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 4))], [c.split()[0] for c in PIECE.split(", ")])
+
+        for b in batches:
+            for *new, ids, ns, homes, vs in zip(*(c.to_pylist() for c in b.columns[1:])):
+                if parts and (new != key or held + len(vs) > room):
+                    yield tile()
+                    parts, held = [], 0
+                key, held = new, held + len(vs)
+                parts.append((ids, ns, homes, vs))
+        if parts:
+            yield tile()
+
+    ranged = pieces.repartitionByRange(*KEYS, "first").sortWithinPartitions(*KEYS, "first").select("first", *[c.split()[0] for c in PIECE.split(", ")])
+    return table(arrow_rows(ranged).mapInArrow(run, PIECE).withColumn("t", F.monotonically_increasing_id()))
+
+
+def link(vectors: DataFrame, cosine: float = 0.98, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per row of vectors (vec_id, embedding, label).
 
     Vectors that are null, empty, zero or hold null or non-finite components, or that have no label,
-    link with nothing. Vectors of different lengths are apart. Equal vectors are joined once as a
-    class with its count. A null vec_id counts as a link but names no component. PIVOTS pivots a
-    label and length are chosen by hash; a run takes at most 1,000 labels' pivots (the proven bound
-    of what is broadcast, by a check), and beyond that all vectors of a label form one cell."""
-    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("label").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding").withColumn("ok", good)
-    rows = table(rows.withColumn("v", F.when(F.col("ok"), F.transform("embedding", lambda x: x.cast("double")))).drop("embedding"))
-    classes = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
-    classes = table(classes.withColumn("id", F.xxhash64("label", "v")).withColumn("kind", F.xxhash64("label", F.size("v"))))
-    kinds = classes.select("kind").distinct().limit(1001).count()
-    chosen: dict = {}
-    if kinds <= 1000:
-        ranked = classes.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).where(F.col("r") <= pivots)
-        for r in ranked.select("kind", "v", "r").orderBy("kind", "r").collect():  # at most 1000 x pivots vectors
-            chosen.setdefault(r["kind"], []).append(r["v"])
-    units = {k: distinct((p := np.array(v)) / np.linalg.norm(p, axis=1)[:, None]) for k, v in chosen.items()}
-    shared = vectors.sparkSession.sparkContext.broadcast(units)
+    link with nothing. Vectors of different lengths are apart. Equal vectors (verified, not hashed) are
+    joined once as a class with its count. A null vec_id counts as a link but names no component.
+    Nothing is broadcast: at most PIVOTS pivots of a label travel with its tiles."""
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-7
 
+    def blobs(batches):
+        for b in batches:
+            out = []
+            for label, e in zip(b.column(1).to_pylist(), b.column(2)):
+                x = None
+                if label is not None and e.is_valid and len(e.values) and not e.values.null_count:
+                    x = e.values.to_numpy(zero_copy_only=False).astype(kind) + kind(0)  # no negative zeros
+                    x = x.tobytes() if np.isfinite(x).all() and x.any() else None
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
+
+    given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<float>" if kind is np.float32 else "array<double>").alias("embedding"))
+    rows = table(arrow_rows(given).mapInArrow(blobs, "vec_id long, label string, v binary"))
+    ok = F.col("v").isNotNull()
+    classes = table(rows.where(ok).groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+
+    def single(batches):
+        """Classes as pieces, one for each batch of a label and length."""
+        for b in batches:
+            where: dict = {}
+            for k, (label, v) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                where.setdefault((label, len(v)), []).append(k)
+            ids, ns, vs = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_pylist()
+            out = [(label, size, 0, ids[on].tobytes(), ns[on].tobytes(), b"\1" * len(on), b"".join(vs[k] for k in on), int(ids[on[0]])) for (label, size), on in where.items()]
+            yield pieces_of(out)
+
+    def pieces_of(out):
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 8, kinds)], [*[c.split()[0] for c in PIECE.split(", ")], "first"])
+
+    whole = packed(arrow_rows(classes.select("id", "n", "label", "v")).mapInArrow(single, PIECE + ", first long"), tile_bytes)
+    # one sampled tile for each of PIVOTS hashes at most, whatever the label's size
+    heads = whole.select("label", "size", F.pmod(F.xxhash64("t"), F.lit(PIVOTS)).alias("h"), "t", F.expr(f"substring(vs, 1, {PROBES} * size)").alias("head")).groupBy("label", "size", "h").agg(F.min_by("head", "t").alias("head"))
+    heads = heads.groupBy("label", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "head"))), lambda x: x["head"]).alias("heads"))
+    # chosen once for each label, so that all of its tiles have the same pivots
+    def choose(batches):
+        for b in batches:
+            got = [chosen(h, size, kind, reach).astype(np.float64).tobytes() for size, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], ["label", "size", "pivots"])
+
+    pivots = table(arrow_rows(heads).mapInArrow(choose, "label string, size int, pivots binary"))
+
+    def placed(b, r, radii=None):
+        p = np.frombuffer(b["pivots"][r].as_py(), np.float64)
+        size = b["size"][r].as_py()
+        p = p.reshape(-1, size // np.dtype(kind).itemsize)
+        return dealt(unit(matrix(b["vs"][r].as_py(), size, kind)), p, reach, radii)
+
+    def reaches(batches):
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                far, home, to = placed(b, r)
+                most = np.full(to.shape[1], -1.0)
+                np.maximum.at(most, home, far)
+                out += [(b["label"][r].as_py(), b["size"][r].as_py(), k, float(x)) for k, x in enumerate(most)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.string(), pa.int32(), pa.int32(), pa.float64()))], ["label", "size", "cell", "radius"])
+
+    near = whole.join(pivots, ["label", "size"])
+    radii = arrow_rows(near).mapInArrow(reaches, "label string, size int, cell int, radius double").groupBy("label", "size", "cell").agg(F.max("radius").alias("radius"))
+    radii = radii.groupBy("label", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "radius"))), lambda x: x["radius"]).alias("radii"))
+
     def deal(batches):
         for b in batches:
-            ids, counts, kind = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
             out = []
-            for k in np.unique(kind):
-                on = np.nonzero(kind == k)[0]
-                x = matrix(b.column(3).take(pa.array(on)))
-                u = x / np.linalg.norm(x, axis=1)[:, None]
-                p = shared.value.get(int(k))
-                if p is None:
-                    out += [(int(ids[i]), int(counts[i]), int(k), 0, True, v) for i, v in zip(on, x)]
-                    continue
-                d = np.maximum(2 - 2 * u @ p.T, 0)
-                home = d.argmin(axis=1)
-                apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
-                gap = (d - d[np.arange(len(x)), home][:, None]) / np.maximum(2 * apart[home], 1e-12)
-                for i, c in zip(*np.nonzero(gap <= reach)):
-                    out.append((int(ids[on[i]]), int(counts[on[i]]), int(k), int(c), bool(c == home[i]), x[i]))
-            cols = list(zip(*out)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.bool_()), pa.array([v.tolist() for v in cols[5]], pa.list_(pa.float64()))], ["id", "n", "kind", "cell", "home", "v"])
-
-    dealt = table(arrow_rows(classes.select("id", "n", "kind", "v")).mapInArrow(deal, "id long, n long, kind long, cell int, home boolean, v array<double>"))
-    # one short row for each cell; tiles keep every task's share bounded
-    sized = dealt.join(dealt.groupBy("kind", "cell").agg(F.ceil(F.count("*") / TILE).alias("tiles")), ["kind", "cell"]).withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    tiles = sized.groupBy("kind", "cell", "home", "t").agg(F.collect_list(F.struct("id", "n", "v")).alias("rows"))
-    tiles = table(tiles.select("kind", "cell", "home", "t", F.transform("rows", lambda r: r["id"]).alias("ids"), F.transform("rows", lambda r: r["n"]).alias("ns"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("vs")))
-    a = tiles.where("home").select("kind", "cell", F.col("t").alias("ta"), F.col("ids").alias("ia"), F.col("vs").alias("va"))
-    pairs = a.join(tiles, ["kind", "cell"]).select("ia", "va", "ids", "ns", "vs")
+            for r in range(b.num_rows):
+                label, size = b["label"][r].as_py(), b["size"][r].as_py()
+                _, home, to = placed(b, r, np.array(b["radii"][r].as_py()))
+                ids, ns, vs = np.frombuffer(b["ids"][r].as_py(), np.int64), np.frombuffer(b["ns"][r].as_py(), np.int64), np.frombuffer(b["vs"][r].as_py(), f"V{size}")
+                for c in range(to.shape[1]):
+                    on = np.nonzero(to[:, c])[0]
+                    if len(on):
+                        out.append((label, size, c, ids[on].tobytes(), ns[on].tobytes(), (home[on] == c).astype(np.uint8).tobytes(), vs[on].tobytes(), int(ids[on[0]])))
+            yield pieces_of(out)
+
+    tiles = packed(arrow_rows(near.join(radii, ["label", "size"])).mapInArrow(deal, PIECE + ", first long"), tile_bytes)
+    names = tiles.select(*KEYS, "t")
+    pairs = names.join(names.withColumnRenamed("t", "u"), KEYS).where("t <= u").select("t", "u")
+    side = lambda s: tiles.select(F.col("t").alias(s), "size", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "homes", "vs")])
+    pairs = pairs.join(side("t"), "t").join(side("u").drop("size"), "u")
 
     def compare(batches):
-        """Links of home vectors of one tile to all of another: counts for each, and stars."""
+        """Links between two tiles of a cell that one vector at least is at home in: counts for each at home, and stars."""
         for b in batches:
             src, dst, n = [], [], []
             for r in range(b.num_rows):
-                ia, ib, nb = (np.asarray(b.column(c)[r].values) for c in (0, 2, 3))
-                va, vb = np.asarray(b.column(1)[r].values).reshape(len(ia), -1), np.asarray(b.column(4)[r].values).reshape(len(ib), -1)
+                own, size = b["t"][r] == b["u"][r], b["size"][r].as_py()
+                (ia, na, ha, va), (ib, nb, hb, vb) = ((np.frombuffer(b[f"ids_{s}"][r].as_py(), np.int64), np.frombuffer(b[f"ns_{s}"][r].as_py(), np.int64), np.frombuffer(b[f"homes_{s}"][r].as_py(), bool), matrix(b[f"vs_{s}"][r].as_py(), size, kind)) for s in "tu")
+                la, lb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
                 i, j = [], []
-                for s in range(0, len(ia), 512):
-                    x, y = np.nonzero((cosines(va[s : s + 512], vb) >= cosine) & (ia[s : s + 512, None] != ib[None, :]))
-                    i.append(x + s), j.append(y)
+                for s in range(0, len(ia), 256):
+                    hit = va[s : s + 256] @ vb.T / (la[s : s + 256, None] * lb[None, :]) >= cosine
+                    x, y = np.nonzero(hit & (ha[s : s + 256, None] | hb[None, :]))
+                    on = ia[x + s] != ib[y]
+                    i.append(x[on] + s), j.append(y[on])
                 i, j = np.concatenate(i), np.concatenate(j)
-                if len(i):
-                    both = np.concatenate([ia, ib])
-                    lab = stars(len(both), i, j + len(ia))
-                    on = np.nonzero(lab != np.arange(len(both)))[0]
-                    got = np.bincount(i, nb[j], minlength=len(ia)).astype(np.int64)
-                    hit = np.nonzero(got)[0]
-                    src += [both[on], ia[hit]]
-                    dst += [both[lab[on]], ia[hit]]
-                    n += [np.zeros(len(on), np.int64), got[hit]]
+                if not len(i):
+                    continue
+                both = ia if own else np.concatenate([ia, ib])
+                lab = stars(len(both), i, j if own else j + len(ia))
+                on = np.nonzero(lab != np.arange(len(both)))[0]
+                src.append(both[on]), dst.append(both[lab[on]]), n.append(np.zeros(len(on), np.int64))
+                for ids, home, at, far in [(ia, ha, i, nb[j])] + ([] if own else [(ib, hb, j, na[i])]):
+                    got = np.bincount(at, far, minlength=len(ids)).astype(np.int64)
+                    hit = np.nonzero(home & (got > 0))[0]
+                    src.append(ids[hit]), dst.append(ids[hit]), n.append(got[hit])
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (src, dst, n)], ["src", "dst", "n"])
 
-    found = table(arrow_rows(pairs, 20).mapInArrow(compare, "src long, dst long, n long"))
+    found = table(arrow_rows(pairs).mapInArrow(compare, "src long, dst long, n long"))
     roots = components(found.where("n = 0").select("src", "dst"))
     links = found.where("n > 0").groupBy(F.col("src").alias("id")).agg(F.sum("n").alias("far"))
     known = classes.select("label", "v", "id", "low", "n").join(links, "id", "left").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     lows = known.groupBy("root").agg(F.min("low").alias("component"))
     known = known.join(lows, "root").select("label", "v", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).cast("long").alias("n_links"), "component")
-    fine = rows.where("ok").join(known, ["label", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
-    rest = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    fine = rows.where(ok).join(known, ["label", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    rest = rows.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fine.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -170,7 +170,7 @@ def candidates(nodes: DataFrame, least: float, radius: int, both: int, every: bo
             if src:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-    return arrow_rows(pairs, 20).mapInArrow(run, "src long, dst long")
+    return arrow_rows(pairs).mapInArrow(run, "src long, dst long")
 
 
 def confirmed(found: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -195,7 +195,7 @@ def confirmed(found: DataFrame, texts: DataFrame, width: int, least: float) -> D
                 ok.append(alike(x, y) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
 
-    return table(arrow_rows(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b"), 200).mapInArrow(run, "src long, dst long"))
+    return table(arrow_rows(edges.join(a, "src").join(b, "dst").select("src", "dst", "a", "b")).mapInArrow(run, "src long, dst long"))
 
 
 def similar(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 22, both: int = 38) -> DataFrame:

@@ -316,7 +316,7 @@ def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     dealt = rows.repartition("rid")  # both joins read this one exchange
     keyed = dealt.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "body")
     near = keyed.dropDuplicates(["rid"]).join(hits, "rid").select("rid", "doc", "body", "hits")
-    context = arrow_rows(near, 200).mapInArrow(around, "bucket int, blob binary")
+    context = arrow_rows(near).mapInArrow(around, "bucket int, blob binary")
     spans = context.groupBy("bucket").applyInArrow(judge, "rid long, spans binary").groupBy("rid").agg(F.collect_list("spans").alias("spans"))
     last = dealt.join(spans, "rid", "left").select("doc_id", "body", "spans")
     return arrow_rows(last).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -173,12 +173,7 @@ def test_model_sums_to_one(spark):
         assert abs(total - 1) < 1e-9
 
 
-def test_embeddings_brute(spark):
-    rng = np.random.default_rng(5)
-    base = rng.normal(size=(30, 8))
-    rows = [(k, (base[k % 30] + rng.normal(size=8) * 0.05).tolist(), int(k % 3)) for k in range(200)]
-    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, rows[0][1], 0), (204, rows[0][1], None), (205, [1.0, None], 1), (206, [], 0)]
-    got = {r.vec_id: r for r in embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+def linked_brute(rows, got):
     v = {k: np.array(np.float32(e), float) for k, e, lab in rows if e and None not in e and lab is not None and np.isfinite(e).all() and np.any(e)}
     lab = {k: x for k, _, x in rows}
     link = {k: [j for j in v if j != k and lab[j] == lab[k] and len(v[j]) == len(v[k]) and v[j] @ v[k] / np.linalg.norm(v[j]) / np.linalg.norm(v[k]) >= 0.98] for k in v}
@@ -191,13 +186,53 @@ def test_embeddings_brute(spark):
                     seen.add(j)
                     todo.append(j)
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (len(link.get(k, [])), min(seen), k == min(seen))
+    return sum(map(len, link.values()))
+
+
+@pytest.mark.parametrize("tile_bytes", [64, 640, 2 << 20])
+def test_embeddings_brute(spark, tile_bytes):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 8))
+    rows = [(k, (base[k % 30] + rng.normal(size=8) * 0.05).tolist(), int(k % 3)) for k in range(200)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, rows[0][1], 0), (204, rows[0][1], None), (205, [1.0, None], 1), (206, [], 0), (207, [float("inf"), 1.0], 0), (208, [1.0, -0.0], 0), (209, [1.0, 0.0], 0), (210, [3.0, 0.0], 0)]
+    got = {r.vec_id: r for r in embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile_bytes=tile_bytes).collect()}
+    assert linked_brute(rows, got) > 100
+
+
+def test_embeddings_on_the_boundary(spark):
+    """Cells of few dimensions: chains of vectors a little nearer or farther than the limit, over all bisecting lines."""
+    rng = np.random.default_rng(9)
+    limit = np.arccos(0.98)
+    at = np.cumsum(rng.choice([0.5, 0.999, 1.001], 400) * limit) % (2 * np.pi)
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))], 0) for k, a in enumerate(at)]
+    got = {r.vec_id: r for r in embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tile_bytes=64).collect()}
+    assert linked_brute(rows, got) > 1000
+
+
+def test_cells_of_a_label():
+    rng = np.random.default_rng(3)
+    reach = float(np.sqrt(2 - 2 * 0.98))
+    spread = [np.float32(rng.normal(size=(4, 64))).tobytes() for _ in range(64)]
+    assert len(embedrange.chosen(spread, 256, np.float32, reach)) == 1  # copies would be too many
+    base = rng.normal(size=(64, 64))
+    apart = [np.float32(base[k] + 0.01 * rng.normal(size=(4, 64))).tobytes() for k in range(64)]
+    pivots = embedrange.chosen(apart, 256, np.float32, reach)
+    x = embedrange.unit(np.float64(base.repeat(3, axis=0)))
+    assert len(pivots) > 8 and embedrange.dealt(x, pivots, reach)[2].sum(axis=1).mean() <= embedrange.COPIES
+
+
+def test_clashing_columns(spark):
+    names = "vec_id long, embedding array<double>, label int, id long, v string, n_links long, cell string, kept int"
+    rows = [(1, [1.0, 0.0], 1, 0, "", 9, "", 1), (2, [1.0, 0.01], 1, 0, "", 9, "", 1), (None, [1.0, 0.0], 1, 0, "", 9, "", 1), (2, [1e300, 0.0], 1, 0, "", 9, "", 1)]
+    got = embedrange.link(spark.createDataFrame(rows, names)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 3, 1), (1, 3, 1), (2, 3, 1), (2, 3, 1)]
 
 
 def test_parallel_pivots(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(40, 30, 8))
     rows = [(3 * (30 * g + k) + s, (base[g, k] * scale).tolist(), g) for g in range(40) for k in range(30) for s, scale in enumerate((1.0, 3.0, 0.7))]
-    got = embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivots=90).collect()
+    got = embedrange.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile_bytes=128).collect()
     assert len(got) == 3600 and all(r.n_links >= 2 and r.component_id <= r.vec_id // 3 * 3 for r in got)
 
 
