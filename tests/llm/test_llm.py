@@ -267,6 +267,59 @@ def test_lines_in_two_documents(spark):
     assert out == {k: "\n".join(x for x in t.split("\n") if x != gone.get(k)) for k, t in rows}
 
 
+def lines_brute(rows, min_docs=2, short_docs=8, depth=3, alike=0.75):
+    """The tree in plain Python; where no leaf is cut into chunks."""
+    times, leaves = Counter(), {}
+    own = [(d, [linededup.masked(x) for x in t.split("\n")]) for d, t in rows if d is not None and t is not None]
+    for d, ls in own:
+        for w in filter(None, ls):
+            times[tuple(w)] += 1
+            leaves.setdefault((len(w), *w[:depth]), set()).add(tuple(w))
+    by_line, docs_of = {}, {}
+    for key, ls in leaves.items():
+        known = []
+        for w in sorted(ls, key=lambda w: (-times[w], " ".join(w))):
+            for k, t in enumerate(known):
+                if sum(a == b for a, b in zip(t, w)) >= alike * len(w):
+                    known[k] = [a if a == b else linededup.WILD for a, b in zip(t, w)]
+                    break
+            else:
+                k = len(known)
+                known.append(list(w))
+            by_line[w] = (key, k)
+    for d, ls in own:
+        for w in filter(None, ls):
+            docs_of.setdefault(by_line[tuple(w)], set()).add(d)
+    out = Counter()
+    for d, t in rows:
+        kept = [x for x in (t or "").split("\n") if not (d is not None and (w := tuple(linededup.masked(x))) and len(on := docs_of[by_line[w]]) >= (short_docs if len(w) <= depth else min_docs) and d > min(on))]
+        out[(d, t if t is None else "\n".join(kept))] += 1
+    return out
+
+
+def test_lines_brute(spark, monkeypatch):
+    rng = random.Random(12)
+    shared = [prose(rng, rng.choice((1, 2, 3, 5, 8, 30))) for _ in range(25)]
+    rows = []
+    for k in range(60):
+        out = []
+        for _ in range(rng.randint(1, 12)):
+            w = rng.choice([*shared, prose(rng, 6), f"page {k} of {rng.randint(1, 99)} in all", "", "  "]).split()
+            if len(w) > 4 and rng.random() < 0.4:
+                w[-1] = prose(rng, 1)
+            out.append(" ".join(w))
+        rows.append((k, "\n".join(out)))
+    rows += [(None, rows[0][1]), (70, None), (71, ""), (72, "\n\n"), (3, rows[5][1]), (4, rows[4][1]), (73, " ".join(shared) * 300 + "\n" + shared[5])]
+    d = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, doc int, mark string, n_lines int")
+    got = linededup.dedup_lines(d)
+    assert got.columns == ["doc_id", "text", "doc", "mark", "n_lines", "n_lines_", "n_dropped"]
+    want = lines_brute(rows)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want and sum(n for (d, t), n in want.items() if (d, t) not in rows) > 20
+    monkeypatch.setattr(linededup, "CHUNK", 20)  # chunks of a leaf are merged again
+    many = Counter((r.doc_id, r.text) for r in linededup.dedup_lines(d).collect())
+    assert sum((many & want).values()) >= 0.9 * len(rows)
+
+
 def test_pseudonyms():
     key = b"k" * 32
     assert sorted(pii.permute(x, 97, key, "t") for x in range(97)) == list(range(97))
