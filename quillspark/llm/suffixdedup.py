@@ -74,12 +74,12 @@ def anchors(buf: np.ndarray, ends: np.ndarray):
     return at, g[at]
 
 
-def deflated(b: bytes) -> bytes:
+def packed(b: bytes) -> bytes:
     """Its size, then the compressed bytes: what goes through an exchange is mostly text."""
     return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
 
 
-def inflated(b: bytes) -> bytes:
+def unpacked(b: bytes) -> bytes:
     return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
 
 
@@ -114,43 +114,48 @@ class Suffixes:
         y = np.where(n < self.sizes[b], self.rows[b, np.minimum(n, wide)].astype(np.int64), -1)
         return x < y
 
-    def sort(self) -> np.ndarray:
-        """Bottom-up mergesort; all merges of a level run together, each by ranks in the other half."""
-        n = len(self.rows)
-        order, run = np.arange(n), 1
-        while run < n:
-            pos = np.arange(n)
-            block = pos // (2 * run) * (2 * run)
+    def sort(self, group: np.ndarray) -> np.ndarray:
+        """By group, and within each by a bottom-up mergesort; all merges of a level run together, each by
+        ranks in the other half. A group that is one run has no more part in it."""
+        order = np.argsort(group, kind="stable")
+        _, first, many = np.unique(group[order], return_index=True, return_counts=True)
+        begin, end = np.repeat(first, many), np.repeat(first + many, many)
+        run = 1
+        while (pos := np.nonzero(end - begin > run)[0]).size:
+            a, e = begin[pos], end[pos]
+            block = a + (pos - a) // (2 * run) * (2 * run)
             left = pos - block < run
-            mid = np.minimum(block + run, n)
+            mid = np.minimum(block + run, e)
             low = np.where(left, mid, block)
-            high = np.where(left, np.minimum(block + 2 * run, n), mid)
-            first = low.copy()
+            high = np.where(left, np.minimum(block + 2 * run, e), mid)
+            start = low.copy()
             while (on := np.nonzero(low < high)[0]).size:
                 m = (low[on] + high[on]) // 2
-                mine, other = order[on], order[m]
+                mine, other = order[pos[on]], order[m]
                 ahead = np.zeros(len(on), bool)
                 le = left[on]
                 ahead[le] = self.less(other[le], mine[le])
                 ahead[~le] = ~self.less(mine[~le], other[~le])
                 low[on] = np.where(ahead, m + 1, low[on])
                 high[on] = np.where(ahead, high[on], m)
-            new = np.empty_like(order)
-            new[block + (pos - np.where(left, block, mid)) + (low - first)] = order
+            new = order.copy()
+            new[block + (pos - np.where(left, block, mid)) + (low - start)] = order[pos]
             order, run = new, 2 * run
         return order
 
 
-def judged(doc: np.ndarray, back: Suffixes, front: Suffixes) -> np.ndarray:
-    """For each anchor the bits o of strings that start o bytes before it and also start in a smaller doc."""
-    n = len(doc)
-    mask = np.zeros(n, np.int64)
-    if n < 2:
-        return mask
+def judged(low: np.ndarray, group: np.ndarray, back: Suffixes, front: Suffixes) -> np.ndarray:
+    """For each class of equal contexts and each o the smallest doc that holds the string starting o bytes
+    before its anchor (the greatest number where there is none); low: the class's smallest doc. group: by the
+    anchor's hash; equal strings have equal anchors, so only those are sorted together."""
+    n = len(low)
+    best = np.full((n, REACH + 1), np.iinfo(np.int64).max)
+    if not n:
+        return best
     ranks = []
     for s in (back, front):
-        order = s.sort()
-        lcp = s.verified(order[:-1], order[1:])
+        order = s.sort(group)
+        lcp = np.where(group[order[:-1]] == group[order[1:]], s.verified(order[:-1], order[1:]), -1)
         ranks.append((order, lcp))
 
     def classes(k: int, depth: int) -> np.ndarray:
@@ -159,14 +164,14 @@ def judged(doc: np.ndarray, back: Suffixes, front: Suffixes) -> np.ndarray:
         out[order] = np.concatenate([[0], np.cumsum(lcp < depth)])
         return out
 
-    by = np.argsort(doc, kind="stable")
     for o in range(REACH + 1):
-        on = by[(back.sizes[by] >= o) & (front.sizes[by] >= LENGTH - o)]
+        on = np.nonzero((back.sizes >= o) & (front.sizes >= LENGTH - o))[0]
         if len(on):
-            both = classes(0, o)[on] * n + classes(1, LENGTH - o)[on]
-            _, first, inv = np.unique(both, return_index=True, return_inverse=True)
-            mask[on] |= (doc[on] > doc[on[first]][inv]).astype(np.int64) << o
-    return mask
+            _, inv = np.unique(classes(0, o)[on] * n + classes(1, LENGTH - o)[on], return_inverse=True)
+            least = np.full(inv.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, inv, low[on])
+            best[on, o] = least[inv]
+    return best
 
 
 def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -178,123 +183,148 @@ def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of the numbers by place, all lowest first, so that they compress."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def unplaned(b: bytes, at: int, n: int, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel()
+
+
+def split(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+    """The places of each value of key, which is below n."""
+    order = np.argsort(key, kind="stable")
+    cut = np.searchsorted(key[order], np.arange(n + 1, dtype=key.dtype))
+    return [(k, order[cut[k] : cut[k + 1]]) for k in np.nonzero(cut[1:] > cut[:-1])[0].tolist()]
+
+
 def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) for every row.
 
     Null text is empty; a null id counts as larger than all others; rows with equal ids don't remove
-    from each other; texts under 50 bytes stay whole. Anchors are dealt by their hash into a bucket for
-    each bucket_bytes of text, so that a task's memory doesn't grow with the input."""
+    from each other; texts under 50 bytes stay whole. A document is told by its id and a hash of its
+    text. Anchors are dealt by their hash into a bucket for each bucket_bytes of text, so that a task's
+    memory doesn't grow with the input, but for an anchor that very many documents share: all its
+    contexts meet in one bucket. What a bucket finds is dealt by document into as many parts, so that it
+    has a row for each part and not for each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    rows = rows.withColumn("rid", F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), "body"))
+    rows = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "mark": F.xxhash64("body")})
 
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    part_of = lambda doc, mark: ((doc.view(np.uint64) * BASE ^ mark.view(np.uint64)) * BASE >> np.uint64(33)) % np.uint64(buckets)
 
     def find(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 100):
-                rid = b.column(0).slice(k, 100).to_numpy()
-                bodies = b.column(1).slice(k, 100).to_pylist()
-                sizes = np.array([len(x) for x in bodies])
+            bodies = b.column(2).to_pylist()
+            name = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
+            for k in range(0, len(bodies), 100):
+                part = bodies[k : k + 100]
+                sizes = np.array([len(x) for x in part])
                 ends = np.cumsum(sizes)
-                at, h = anchors(np.frombuffer(b"".join(bodies), np.uint8), ends)
+                at, h = anchors(np.frombuffer(b"".join(part), np.uint8), ends)
                 who = np.searchsorted(ends, at, side="right")
                 on = sizes[who] >= LENGTH
                 at, h, who = at[on], h[on], who[on]
                 at = (at - (ends - sizes)[who]).astype(np.uint32)
-                own = (h >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(own, kind="stable")
-                put, begin = np.unique(own[order], return_index=True)
-                short = h.view(np.uint8).reshape(-1, 8)[:, :5]  # the bucket tells the upper bits' part
-                blobs, named = [], []
-                for x, a, z in zip(put, begin, [*begin[1:], len(own)]):
-                    i = order[a:z]
+                put, named, blobs = [], [], []
+                for x, i in split((h >> np.uint64(40)) % np.uint64(buckets), buckets):
                     new = np.concatenate([[True], who[i[1:]] != who[i[:-1]]])  # who ascends within a bucket
-                    named.append(rid[who[i[new]]].tobytes())
-                    blobs.append(short[i].tobytes() + at[i].tobytes() + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(named, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "docs", "blob"])
+                    put.append(x), named.append(name[k + who[i[new]]].tobytes())
+                    # the bucket tells some upper bits; what 32 others confuse is parted by the bytes later
+                    blobs.append(h[i].astype(np.uint32).tobytes() + planes(at[i]) + (np.cumsum(new) - 1).astype(np.uint8).tobytes())
+                if put:
+                    yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(named, pa.binary()), pa.array([packed(x) for x in blobs], pa.binary())], ["bucket", "docs", "blob"])
+
+    def by_part(doc, mark, *cols):
+        """Rows (part, blob) of what was found, in the order of documents; the numbers in planes, compressed."""
+        parts = split(part_of(doc, mark), buckets)
+        blobs = []
+        for _, i in parts:
+            i = i[np.lexsort((cols[0][i], mark[i], doc[i]))]
+            blobs.append(packed(planes(doc[i]) + planes(mark[i]) + b"".join(planes(c[i]) for c in cols)))
+        return pa.table({"part": pa.array([k for k, _ in parts], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+    def joined(kinds, name):
+        """Rows (doc, mark, name) from those of by_part."""
+        def run(key, t):
+            cols: list[list] = [[] for _ in range(2 + len(kinds))]
+            for x in map(unpacked, t.column("blob").to_pylist()):
+                wide = 16 + sum(np.dtype(k).itemsize for k in kinds)
+                n, at = len(x) // wide, 0
+                for c, k in zip(cols, (np.int64, np.int64, *kinds)):
+                    c.append(unplaned(x, at, n, k))
+                    at += n * np.dtype(k).itemsize
+            doc, mark, *rest = map(np.concatenate, cols)
+            order = np.lexsort((mark, doc))
+            doc, mark, rest = doc[order], mark[order], [c[order] for c in rest]
+            first = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]))[0]
+            cut = np.append(first, len(doc))
+            return pa.table({"doc": doc[first], "mark": mark[first], name: pa.array([b"".join(c[a:b].tobytes() for c in rest) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+        return run
 
     def repeated(key, t):
-        """The anchors whose hash is in two rows or more, by row."""
-        h, at, rid = [], [], []
-        for d, x in zip(t.column("docs").to_pylist(), t.column("blob").to_pylist()):
-            n = len(x) // 10
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(x, np.uint8, 5 * n).reshape(n, 5)
-            h.append(wide.view(np.uint64).ravel()), at.append(np.frombuffer(x, np.uint32, n, 5 * n))
-            rid.append(np.frombuffer(d, np.int64)[np.frombuffer(x, np.uint8, n, 9 * n)])
-        h, at, rid = map(np.concatenate, (h, at, rid))
+        """The anchors whose hash is in two documents or more, by part."""
+        h, at, doc, mark = [], [], [], []
+        for d, x in zip(t.column("docs").to_pylist(), map(unpacked, t.column("blob").to_pylist())):
+            n = len(x) // 9
+            own = np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(x, np.uint8, n, 8 * n)]
+            h.append(np.frombuffer(x, np.uint32, n)), at.append(unplaned(x, 4 * n, n, np.uint32))
+            doc.append(own[:, 0]), mark.append(own[:, 1])
+        h, at, doc, mark = map(np.concatenate, (h, at, doc, mark))
         order = np.argsort(h)
-        h, at, rid = h[order], at[order], rid[order]
+        h, at, doc, mark = h[order], at[order], doc[order], mark[order]
         first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-        many = np.minimum.reduceat(rid, first) < np.maximum.reduceat(rid, first)
-        on = np.repeat(many, np.diff(np.append(first, len(h))))
-        at, rid = at[on], rid[on]
-        order = np.argsort(rid, kind="stable")
-        at, rid = at[order], rid[order]
-        each, first = np.unique(rid, return_index=True)
-        cut = np.append(first, len(rid))
-        return pa.table({"rid": pa.array(each, pa.int64()), "hits": pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+        on = np.repeat(np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first), np.diff(np.append(first, len(h))))
+        return by_part(doc[on], mark[on], at[on])
 
     def around(batches):
         """Each repeated anchor with the bytes around it, by bucket."""
         offs = np.arange(-REACH, LENGTH)
         for b in batches:
-            out: dict[int, list] = {}
-            rids, docs = (b.column(k).to_numpy() for k in (0, 1))
-            bodies = b.column(2).to_pylist()
-            hits = [b"".join(x) for x in b.column(3).to_pylist()]
+            docs, marks = (b.column(k).to_numpy() for k in (0, 1))
+            bodies, hits = b.column(2).to_pylist(), b.column(3).to_pylist()
             ends = np.cumsum([len(x) for x in bodies])
             begins = ends - [len(x) for x in bodies]
             buf = np.frombuffer(b"".join(bodies), np.uint8)
             who = np.repeat(np.arange(len(hits)), [len(x) // 4 for x in hits])
             at = np.frombuffer(b"".join(hits), np.uint32)
-            for k in range(0, len(at), 20_000):  # bounds what very long texts take
-                w, a = who[k : k + 20_000], at[k : k + 20_000]
+            for k in range(0, len(at), 100_000):  # bounds what very long texts take
+                w, a = who[k : k + 100_000], at[k : k + 100_000]
                 p = (a + begins[w])[:, None] + offs
                 inside = (p >= begins[w][:, None]) & (p < ends[w][:, None])
                 text = buf[np.clip(p, 0, len(buf) - 1)] * inside
-                own = (hashes(text) >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(own, kind="stable")
-                each, first = np.unique(own[order], return_index=True)
                 bl, fl = (inside[:, c].sum(axis=1, dtype=np.uint8) for c in (slice(REACH), slice(REACH, None)))
-                for x, i in zip(each, np.split(order, first[1:])):
-                    out.setdefault(int(x), []).append((rids[w[i]], docs[w[i]], a[i], bl[i], fl[i], text[i]))
-            put = sorted(out)
-            blobs = [deflated(b"".join(np.concatenate(c).tobytes() for c in zip(*out[x]))) for x in put]
-            yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                put, blobs = [], []
+                for x, i in split((hashes(text) >> np.uint64(40)) % np.uint64(buckets), buckets):
+                    put.append(x)
+                    blobs.append(packed(planes(docs[w[i]]) + planes(marks[w[i]]) + planes(a[i]) + bl[i].tobytes() + fl[i].tobytes() + text[i].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(put, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def judge(key, t):
         cols: list[list] = [[] for _ in range(6)]
         wide = REACH + LENGTH
-        for x in t.column("blob").to_pylist():
-            x = inflated(x)
-            n, at = len(x) // (22 + wide), 0
-            for k, (kind, w) in enumerate(((np.int64, 8), (np.int64, 8), (np.uint32, 4), (np.uint8, 1), (np.uint8, 1), (np.uint8, wide))):
-                cols[k].append(np.frombuffer(x, kind, n * w // np.dtype(kind).itemsize, at))
-                at += n * w
-        rid, doc, at, bl, fl = (np.concatenate(c) for c in cols[:5])
-        text = np.concatenate([c.reshape(-1, wide) for c in cols[5]])
-        order = np.argsort(doc, kind="stable")
-        rid, doc, at, bl, fl, text = (c[order] for c in (rid, doc, at, bl, fl, text))
-        # anchors with the same bytes around share a class; its smallest id alone goes on to the sort
-        packed = np.ascontiguousarray(np.concatenate([text, bl[:, None], fl[:, None]], axis=1)).view(f"V{wide + 2}").ravel()
-        _, first, inv = np.unique(packed, return_index=True, return_inverse=True)
-        # strings can be equal only where their anchors are: a class alone with its anchor needs no sort
-        _, again, n = np.unique(hashes(text[first]), return_inverse=True, return_counts=True)
-        on = first[n[again] > 1]
-        got = np.zeros(len(first), np.int64)
-        got[n[again] > 1] = judged(doc[on], Suffixes(np.ascontiguousarray(text[on, :REACH][:, ::-1]), bl[on]), Suffixes(text[on, REACH:], fl[on]))
-        o = np.arange(REACH + 1)
-        whole = ((o <= bl[:, None]) & (LENGTH - o <= fl[:, None])).astype(np.int64) @ (1 << o)
-        mask = np.where(doc > doc[first][inv], whole, got[inv])
+        for x in map(unpacked, t.column("blob").to_pylist()):
+            n = len(x) // (22 + wide)
+            for c, k, a in zip(cols, (np.int64, np.int64, np.uint32, np.uint8, np.uint8), (0, 8 * n, 16 * n, 20 * n, 21 * n)):
+                c.append(unplaned(x, a, n, k))
+            cols[5].append(np.frombuffer(x, np.uint8, n * wide, 22 * n).reshape(n, wide))
+        doc, mark, at, bl, fl, text = map(np.concatenate, cols)
+        # anchors with the same bytes around are one class, which goes through the sort once
+        whole = np.ascontiguousarray(np.concatenate([text, bl[:, None], fl[:, None]], axis=1)).view(f"V{wide + 2}").ravel()
+        _, first, inv = np.unique(whole, return_index=True, return_inverse=True)
+        low = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(low, inv, doc)
+        _, group = np.unique(hashes(text[first]), return_inverse=True)
+        got = judged(low, group, Suffixes(np.ascontiguousarray(text[first, :REACH][:, ::-1]), bl[first]), Suffixes(text[first, REACH:], fl[first]))
+        mask = np.zeros(len(doc), np.uint32)
+        for o in range(REACH + 1):
+            mask |= (got[:, o][inv] < doc).astype(np.uint32) << np.uint32(o)
         on = mask != 0
-        rid, at, mask = rid[on], at[on], mask[on]
-        order = np.argsort(rid, kind="stable")
-        rid, at, mask = rid[order], at[order], mask[order]
-        each, first = np.unique(rid, return_index=True)
-        cut = np.append(first, len(rid))
-        return pa.table({"rid": pa.array(each, pa.int64()), "spans": pa.array([at[a:b].tobytes() + mask[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+        return by_part(doc[on], mark[on], at[on], mask[on])
 
     def finish(batches):
         for b in batches:
@@ -302,21 +332,19 @@ def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
             for doc, body, spans in zip(*(c.to_pylist() for c in b.columns)):
                 kept, gone, runs = body, 0, 0
                 if spans:
-                    at = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 8) for x in spans]).astype(np.int64)
-                    mask = np.concatenate([np.frombuffer(x, np.uint32, len(x) // 8, len(x) // 2) for x in spans]).astype(np.int64)
-                    cov = covered(len(body), at, mask)
+                    n = len(spans) // 8
+                    cov = covered(len(body), np.frombuffer(spans, np.uint32, n).astype(np.int64), np.frombuffer(spans, np.uint32, n, 4 * n).astype(np.int64))
                     gone, runs = int(cov.sum()), int((cov & ~np.concatenate([[False], cov[:-1]])).sum())
                     kept = np.frombuffer(body, np.uint8)[~cov].tobytes()
                 out.append((doc, len(body), gone, runs, hashlib.sha256(kept).hexdigest(), kept))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    found = arrow_rows(rows.select("rid", "body")).mapInArrow(find, "bucket int, docs binary, blob binary")
-    hits = found.groupBy("bucket").applyInArrow(repeated, "rid long, hits binary").groupBy("rid").agg(F.collect_list("hits").alias("hits"))
-    dealt = rows.repartition("rid")  # both joins read this one exchange
-    keyed = dealt.select("rid", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "body")
-    near = keyed.dropDuplicates(["rid"]).join(hits, "rid").select("rid", "doc", "body", "hits")
+    found = arrow_rows(rows.select("doc", "mark", "body")).mapInArrow(find, "bucket int, docs binary, blob binary")
+    hits = found.groupBy("bucket").applyInArrow(repeated, "part int, blob binary").groupBy("part").applyInArrow(joined([np.uint32], "hits"), "doc long, mark long, hits binary")
+    dealt = rows.select("doc_id", "doc", "mark", "body").repartition("doc", "mark")  # both joins read this one exchange
+    near = dealt.dropDuplicates(["doc", "mark"]).join(hits, ["doc", "mark"]).select("doc", "mark", "body", "hits")
     context = arrow_rows(near).mapInArrow(around, "bucket int, blob binary")
-    spans = context.groupBy("bucket").applyInArrow(judge, "rid long, spans binary").groupBy("rid").agg(F.collect_list("spans").alias("spans"))
-    last = dealt.join(spans, "rid", "left").select("doc_id", "body", "spans")
+    spans = context.groupBy("bucket").applyInArrow(judge, "part int, blob binary").groupBy("part").applyInArrow(joined([np.uint32, np.uint32], "spans"), "doc long, mark long, spans binary")
+    last = dealt.join(spans, ["doc", "mark"], "left").select("doc_id", "body", "spans")
     return arrow_rows(last).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

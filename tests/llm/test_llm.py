@@ -57,9 +57,10 @@ def test_suffix_sort_is_sorted():
     rows = rng.integers(97, 99, (300, 20)).astype(np.uint8)
     sizes = rng.integers(0, 21, 300)
     rows[np.arange(20) >= sizes[:, None]] = 0
-    order = suffixdedup.Suffixes(rows, sizes).sort()
-    texts = [rows[k, : sizes[k]].tobytes() for k in order]
-    assert texts == sorted(texts)
+    for group in (np.zeros(300, int), rng.integers(0, 40, 300)):
+        order = suffixdedup.Suffixes(rows, sizes).sort(group)
+        texts = [(group[k], rows[k, : sizes[k]].tobytes()) for k in order]
+        assert texts == sorted(texts)
 
 
 def test_simhash_brute(docs):
