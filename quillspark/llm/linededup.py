@@ -13,9 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -70,21 +70,22 @@ def grown(words: list[list[str]], alike: float) -> tuple[list[int], list[list[st
     return own, [[names[c] for c in t] for t in known[:n]]
 
 
-def groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The rows of each key, of frames sorted by it."""
-    held: list[pd.DataFrame] = []
-    for f in frames:
-        if not len(f):
-            continue
-        cut = np.nonzero((f[keys].iloc[1:].to_numpy() != f[keys].iloc[:-1].to_numpy()).any(axis=1))[0] + 1
-        for a, b in zip([0, *cut], [*cut, len(f)]):
-            part = f.iloc[a:b]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held)
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each key (the first columns), of batches sorted by it."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
                 held = []
-            held.append(part)
+            held.append(row)
     if held:
-        yield pd.concat(held)
+        yield held
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 5000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
 
 
 def templates(rows: DataFrame, dealt: DataFrame, own: str, mark: str, alike: float) -> DataFrame:
@@ -113,25 +114,33 @@ def templates(rows: DataFrame, dealt: DataFrame, own: str, mark: str, alike: flo
     found = plain.join(wanted, (plain[own] == wanted["doc"]) & (plain[mark] == wanted["mark"])).select("doc_id", own, plain[mark], "text", "wanted")
     words = arrow_rows(found).mapInArrow(fetch, "leaf long, chunk int, many boolean, line long, times long, words string")
 
-    def first(frames):
+    def first(batches):
         """Each line's template in its chunk; its words too where other chunks have templates of the same leaf."""
-        for g in groups(frames, ["leaf", "chunk"]):
-            g = g.drop_duplicates("line")
-            place, known = grown([w.split(" ") for w in g["words"]], alike)
-            text = [" ".join(known[k]) for k in place]
-            leaf = g["leaf"].iloc[0]
-            yield pd.DataFrame({"line": g["line"].array, "leaf": g["leaf"].array, "template": [signed(f"{leaf} {t}") for t in text], "words": [t if g["many"].iloc[0] else None for t in text]})
+        def rows():
+            for g in groups(batches, 2):
+                leaf, many = g[0][0], g[0][2]
+                g = list({r[3]: r for r in g}.values()) if len(g) > 1 else g
+                place, known = grown([r[4].split(" ") for r in g], alike) if len(g) > 1 else ([0], [g[0][4].split(" ")])
+                text = [" ".join(t) for t in known]
+                code = [signed(f"{leaf} {t}") for t in text]
+                for r, k in zip(g, place):
+                    yield r[3], leaf, code[k], text[k] if many else None
+
+        yield from batched(rows(), pa.schema([("line", pa.int64()), ("leaf", pa.int64()), ("template", pa.int64()), ("words", pa.string())]))
+
+    own_chunk = words.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.desc("times"), "words").select("leaf", "chunk", "many", "line", "words")
+    one = table(arrow_rows(own_chunk).mapInArrow(first, "line long, leaf long, template long, words string"))
 
-    own_chunk = words.repartition("leaf", "chunk").sortWithinPartitions("leaf", "chunk", F.desc("times"), "words")
-    one = table(own_chunk.mapInPandas(first, "line long, leaf long, template long, words string"))
+    def merged(batches):
+        def rows():
+            for g in groups(batches, 1):
+                for r, k in zip(g, grown([r[2].split(" ") for r in g], alike)[0]):
+                    yield r[1], signed(f"{r[0]} {k}")
 
-    def merged(frames):
-        for g in groups(frames, ["leaf"]):
-            place, _ = grown([w.split(" ") for w in g["words"]], alike)
-            yield pd.DataFrame({"template": g["template"].array, "into": [signed(f"{g['leaf'].iloc[0]} {k}") for k in place]})
+        yield from batched(rows(), pa.schema([("template", pa.int64()), ("into", pa.int64())]))
 
     several = one.where("words is not null").groupBy("leaf", "template").agg(F.first("words").alias("words"))
-    into = several.repartition("leaf").sortWithinPartitions("leaf", "words").select("leaf", "template", "words").mapInPandas(merged, "template long, into long")
+    into = several.repartition("leaf").sortWithinPartitions("leaf", "words").select("leaf", "template", "words").mapInArrow(merged, "template long, into long")
     return one.join(into, "template", "left").select("line", F.coalesce("into", "template").alias("template"))
 
 
