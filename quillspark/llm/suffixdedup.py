@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, packed, planes, unpacked, unplaned
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM
@@ -74,15 +74,6 @@ def anchors(buf: np.ndarray, ends: np.ndarray):
     return at, g[at]
 
 
-def packed(b: bytes) -> bytes:
-    """Its size, then the compressed bytes: what goes through an exchange is mostly text."""
-    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
-
-
-def unpacked(b: bytes) -> bytes:
-    return pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True)
-
-
 class Suffixes:
     """Strings of bounded length in the rows of a matrix, with prefix hashes for common extensions."""
 
@@ -183,16 +174,6 @@ def covered(n: int, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def planes(a: np.ndarray) -> bytes:
-    """The bytes of the numbers by place, all lowest first, so that they compress."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
-
-
-def unplaned(b: bytes, at: int, n: int, kind) -> np.ndarray:
-    wide = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel()
-
-
 def split(key: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """The places of each value of key, which is below n."""
     order = np.argsort(key, kind="stable")

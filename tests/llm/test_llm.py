@@ -124,6 +124,26 @@ def test_leaks(spark):
     assert [r.doc_id for r in decontam.clean(d, b).orderBy("doc_id").collect()] == [2, 3, 4]
 
 
+def test_leaks_brute(spark):
+    """Items of 1 to 16 tokens with every pair of substitutions."""
+    rng = random.Random(5)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(1, 17)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for bad in [(), *((k,) for k in range(n)), *combinations(range(n), 2)]:
+            changed = [f"z{rng.random()}"[:7].replace(".", "z") if k in bad else t for k, t in enumerate(item)]
+            rows.append((len(rows), " ".join([*prose(rng, rng.randint(0, 5)).split(), *changed, *prose(rng, rng.randint(0, 5)).split()])))
+            size = min(n, 13)
+            agree = max(sum(k not in bad for k in range(s, s + size)) for s in range(n - size + 1))
+            if size - agree <= decontam.allowed(size):
+                want.add((rows[-1][0], n, agree))
+    b = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()] + [(99, "!"), (98, None)], "item_id long, text string")
+    d = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, item string, key int")
+    for limit in (1_000_000, 0):
+        assert {tuple(r) for r in decontam.leaks(d, b, limit).collect()} == want
+    assert decontam.clean(d, b).columns == d.columns
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
@@ -161,6 +181,37 @@ def test_language_model(docs):
     assert all(np.isfinite(r.score) and r.score <= 0 for r in rows)
 
 
+def test_model_brute(docs):
+    """The score of every text, by a plain model of word pairs."""
+    got = {(r.doc_id, round(r.score, 6)) for r in kneserney.score_documents(docs).collect()}
+    text = lambda r: [0, *(r.text or "").encode().lower().split(), None]
+    train = [text(r) for r in docs.collect() if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 != 2]
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    one = Counter(b for _, b in two)
+    after: dict = {}
+    for (a, _), n in two.items():
+        after.setdefault(a, []).append(n)
+    d1, d2 = (kneserney.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)]) for c in (one, two))
+    rest = sum(d1[min(n, 3)] for n in one.values()) / len(two)
+
+    def p(a, b):
+        low = max(one[b] - d1[min(one[b], 3)], 0) / len(two) + rest / (len(one) + 1)
+        if a not in after:
+            return low
+        total = sum(after[a])
+        return max(two[a, b] - d2[min(two[a, b], 3)], 0) / total + sum(d2[min(n, 3)] for n in after[a]) / total * low
+
+    assert got == {(r.doc_id, round(sum(np.log10(p(a, b)) for a, b in zip(text(r), text(r)[1:])), 6)) for r in docs.collect()}
+
+
+def test_frequent_pairs(spark):
+    d = spark.createDataFrame([(k, "a b " * 400 + "c") for k in range(3)], "doc_id long, text string")
+    folder = kneserney.local(common.shared_dir(spark))
+    model = kneserney.Model(folder, 5, kneserney.count(d, folder, 5))
+    a, b = (np.uint64(xxhash.xxh64_intdigest(x)) for x in "ab")
+    assert model.m["N"] == 3 * 802 and 10 ** model.scores(np.array([a, b], np.uint64))[2][0] > 0.99
+
+
 def test_model_sums_to_one(spark):
     d = spark.createDataFrame([(1, "a b a c"), (2, "a b b"), (3, "c a b d")], "doc_id long, text string")
     tokens = ["a", "b", "c", "d", "unseen"]
