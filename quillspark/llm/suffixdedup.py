@@ -191,7 +191,8 @@ def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
     contexts meet in one bucket. What a bucket finds is dealt by document into as many parts, so that it
     has a row for each part and not for each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
-    rows = rows.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "mark": F.xxhash64("body")})
+    # the mark's last bit tells a null id, so that the exchange of texts has the same columns for both of its uses
+    rows = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.shiftleft(F.xxhash64("body"), 1).bitwiseOR(F.col("doc_id").isNull().cast("long")).alias("mark"), "body")
 
     size = rows.agg(F.sum(F.length("body"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
@@ -323,9 +324,9 @@ def dedup(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
 
     found = arrow_rows(rows.select("doc", "mark", "body")).mapInArrow(find, "bucket int, docs binary, blob binary")
     hits = found.groupBy("bucket").applyInArrow(repeated, "part int, blob binary").groupBy("part").applyInArrow(joined([np.uint32], "hits"), "doc long, mark long, hits binary")
-    dealt = rows.select("doc_id", "doc", "mark", "body").repartition("doc", "mark")  # both joins read this one exchange
+    dealt = rows.repartition("doc", "mark")  # both joins read this one exchange
     near = dealt.dropDuplicates(["doc", "mark"]).join(hits, ["doc", "mark"]).select("doc", "mark", "body", "hits")
     context = arrow_rows(near).mapInArrow(around, "bucket int, blob binary")
     spans = context.groupBy("bucket").applyInArrow(judge, "part int, blob binary").groupBy("part").applyInArrow(joined([np.uint32, np.uint32], "spans"), "doc long, mark long, spans binary")
-    last = dealt.join(spans, ["doc", "mark"], "left").select("doc_id", "body", "spans")
+    last = dealt.join(spans, ["doc", "mark"], "left").select(F.when(F.col("mark").bitwiseAND(F.lit(1)) == 0, F.col("doc")).alias("doc_id"), "body", "spans")
     return arrow_rows(last).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
