@@ -56,7 +56,7 @@ def id_and_bytes(docs: DataFrame) -> DataFrame:
 
 def packed(b: bytes) -> bytes:
     """Its size, then the compressed bytes: what goes through an exchange is mostly text."""
-    return len(b).to_bytes(8, "little") + pa.compress(b, codec="zstd", asbytes=True)
+    return len(b).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(b, asbytes=True)
 
 
 def unpacked(b: bytes) -> bytes:
