@@ -38,9 +38,9 @@ def tokenize(c: Column) -> Column:
     return F.array_join(F.transform(chars(c), lambda x: F.when(x == " ", "<space>").otherwise(x)), " ")
 
 
-def detokenize(c: Column) -> Column:
-    """T-08: the inverse, without unknown symbols."""
-    parts = F.filter(F.split(c, " "), lambda x: (x != "<unk>") & (x != ""))
+def detokenize(c: Column, keep_unknown: bool = False) -> Column:
+    """T-08: the inverse, without unknown symbols unless these are kept."""
+    parts = F.filter(F.split(c, " "), lambda x: (x != "") if keep_unknown else (x != "<unk>") & (x != ""))
     return normalize_text(F.array_join(F.transform(parts, lambda x: F.when(x == "<space>", " ").otherwise(x)), ""))
 
 
@@ -82,6 +82,15 @@ def unicode_form(c: Column, form: str = "NFC") -> Column:
 
 
 def symbol_list(alphabet: Column, unknown: bool = True) -> Column:
-    """T-09: the blank, the sorted characters without the space, the unknown symbol if wanted, the space."""
+    """T-09: the blank, the sorted characters without the space, the unknown symbol if wanted, the space; raises,
+    when run, if the alphabet holds one of these symbols itself."""
+    own = ["<ctc>"] + (["<unk>"] if unknown else []) + ["<space>"]
     plain = F.array_sort(F.array_except(alphabet, F.array(F.lit(" "))))
-    return F.concat(F.array(F.lit("<ctc>")), plain, F.array(*[F.lit(x) for x in (["<unk>"] if unknown else []) + ["<space>"]]))
+    both = F.array_intersect(alphabet, F.array(*[F.lit(x) for x in own]))
+    every = F.concat(F.array(F.lit(own[0])), plain, F.array(*[F.lit(x) for x in own[1:]]))
+    return F.when(F.size(both) > 0, F.raise_error(F.concat(F.lit("symbols in the alphabet: "), F.array_join(both, " ")))).otherwise(every)
+
+
+def text_features(c: Column) -> list[Column]:
+    """P-01: char_len of the text as it is, and word_len."""
+    return [F.length(c).cast("long").alias("char_len"), word_len(c).cast("long").alias("word_len")]

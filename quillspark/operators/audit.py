@@ -1,20 +1,68 @@
-"""Vocabularies, geometry, folds, integrity: A-14, A-17, A-21, A-22, P-11, W-04 to W-06, T-11, T-13, O-05, D-01."""
+"""Vocabularies, geometry, folds, integrity: A-14 to A-18, A-21, A-22, W-02, W-04, W-06, T-05, T-06, T-11 to T-14, O-05, D-01."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import chars, ctc_collapse, repeats, resized_width
+from .. import ship
+from ..functions.text import chars, ctc_collapse, normalize_text, repeats, resized_width, words
 
 
 def char_frequency(df: DataFrame, text: str, row: str) -> DataFrame:
-    """A-14, A-16: counts of each character and of the rows that hold it; partial counts precede the exchange."""
+    """A-14: counts of each character and of the rows that hold it; partial counts precede the exchange."""
     by_row = df.select(row, F.explode(chars(F.col(text))).alias("ch")).groupBy(row, "ch").agg(F.count("*").alias("n"))
     return by_row.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
 
 
+def named_chars(frequency: DataFrame) -> DataFrame:
+    """A-14: adds Unicode names and categories; as many rows as the alphabet has."""
+    ship(frequency.sparkSession)
+
+    @F.pandas_udf("struct<unicode_name:string,category:string>")
+    def told(c: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"unicode_name": [unicodedata.name(x, "UNKNOWN") for x in c], "category": [unicodedata.category(x) for x in c]})
+
+    return frequency.withColumn("told", told("ch")).select(*frequency.columns, "told.*")
+
+
+def alphabet(df: DataFrame, text: str, extra: str = "") -> DataFrame:
+    """A-16: (ch, idx) of the distinct characters and the extra ones in their order, from 1. An alphabet is small."""
+    found = df.select(F.explode(chars(F.col(text))).alias("ch")).distinct()
+    if extra:
+        found = found.unionByName(df.sparkSession.createDataFrame([(c,) for c in extra], "ch string")).distinct()
+    every = found.agg(F.array_sort(F.collect_set("ch")).alias("a"))
+    return every.select(F.posexplode("a").alias("idx", "ch")).select("ch", (F.col("idx") + 1).alias("idx"))
+
+
+def rare_lines(df: DataFrame, text: str, key: str, most: int = 10, rare: str | None = None) -> DataFrame:
+    """A-15: (key, text, rare_chars, rare_char_count, char_len) of the lines that hold a character with most
+    occurrences at most (or one of rare): their rare characters sorted, and how many of them there are."""
+    norm = df.select(key, normalize_text(F.col(text)).alias("text"))
+    found = norm.select(key, F.explode(chars(F.col("text"))).alias("ch")).groupBy(key, "ch").agg(F.count("*").alias("n"))
+    if rare is None:
+        wanted = norm.select(F.explode(chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("ch")
+        found = found.join(wanted, "ch", "left_semi")
+    else:
+        found = found.where(F.col("ch").isin(list(rare)))
+    lines = found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("rare_chars"), F.sum("n").alias("rare_char_count"))
+    return norm.join(lines, key).select(key, "text", "rare_chars", "rare_char_count", F.length("text").cast("long").alias("char_len"))
+
+
+def round_trip(df: DataFrame, text: str, key: str, letters: str) -> DataFrame:
+    """T-06: (key, target, encoded_length, decoded, roundtrip_ok, error): each line encoded and decoded without
+    collapsing; a line with unknown characters has them, sorted, as its error and nothing else."""
+    known = F.array(*[F.lit(c) for c in letters])
+    x = df.select(key, normalize_text(F.col(text)).alias("target")).withColumn("bad", F.array_sort(F.array_except(chars(F.col("target")), known)))
+    ids = F.when(F.size("bad") == 0, F.transform(chars(F.col("target")), lambda c: F.array_position(known, c).cast("int"))).otherwise(F.array().cast("array<int>"))
+    x = x.withColumn("ids", ids).withColumn("decoded", F.array_join(F.transform("ids", lambda i: F.element_at(known, i)), ""))
+    return x.select(key, "target", F.size("ids").alias("encoded_length"), "decoded", ((F.col("decoded") == F.col("target")) & (F.size("bad") == 0)).alias("roundtrip_ok"), F.when(F.size("bad") > 0, F.concat(F.lit("unknown characters: "), F.array_join("bad", " "))).otherwise("").alias("error"))
+
+
 def ngram_counts(df: DataFrame, text: str, order: int) -> DataFrame:
     """A-17: (context, token, n), with start padding; the end is an empty token."""
     padded = F.concat(F.array_repeat(F.lit("<s>"), order - 1), chars(F.col(text)), F.array(F.lit("</s>")))
@@ -22,11 +70,34 @@ def ngram_counts(df: DataFrame, text: str, order: int) -> DataFrame:
     return rows.groupBy("g.context", "g.token").agg(F.count("*").alias("n"))
 
 
+def unclipped_width(w: Column, h: Column, height: int) -> Column:
+    return F.greatest(F.lit(1.0), F.rint(w.cast("double") * (F.lit(float(height)) / h.cast("double")))).cast("long")
+
+
 def ctc_alignment(df: DataFrame, height: int = 96, most: int = 2048, factor: int = 4) -> DataFrame:
-    """T-13: steps and needed steps of (ID, Target, width, height)."""
-    x = df.withColumn("rw", resized_width(F.col("width").cast("double"), F.col("height").cast("double"), height, most))
-    x = x.withColumns({"steps": F.greatest(F.lit(1), F.floor(F.col("rw") / factor)).cast("long"), "needed": (F.length("Target") + repeats(F.col("Target"))).cast("long")})
-    return x.select("ID", "rw", "steps", "needed", (F.col("steps") - F.col("needed")).alias("margin"), (F.col("steps") >= F.col("needed")).alias("valid"), (F.rint(F.col("width") * (F.lit(float(height)) / F.col("height"))) > most).alias("clipped"))
+    """T-13: time steps that a line image gives against those that its text needs. df: (ID, Target, width, height)."""
+    w, h, t = F.col("width"), F.col("height"), normalize_text(F.col("Target"))
+    x = df.select("ID", w.alias("original_width"), h.alias("original_height"), resized_width(w.cast("double"), h.cast("double"), height, most).alias("resized_width"), unclipped_width(w, h, height).alias("unclipped_resized_width"), t.alias("text"))
+    x = x.withColumns({"was_width_clipped": F.col("resized_width") < F.col("unclipped_resized_width"), "target_length": F.length("text").cast("long"), "adjacent_repeat_count": repeats(F.col("text")).cast("long"), "encoder_time_steps": F.greatest(F.lit(1), F.floor(F.col("resized_width") / factor)).cast("long")})
+    x = x.withColumn("required_ctc_steps", F.col("target_length") + F.col("adjacent_repeat_count"))
+    return x.withColumns({"ctc_margin": F.col("encoder_time_steps") - F.col("required_ctc_steps"), "is_ctc_length_valid": F.col("encoder_time_steps") >= F.col("required_ctc_steps"), "pixels_per_char": F.col("resized_width") / F.greatest(F.col("target_length"), F.lit(1))})
+
+
+def ctc_summary(table: DataFrame) -> DataFrame:
+    """A-18."""
+    return table.agg(F.count("*").alias("n"), F.count_if(~F.col("is_ctc_length_valid")).alias("invalid_rows"), F.count_if("was_width_clipped").alias("width_clipped_rows"), F.min("ctc_margin").alias("min_ctc_margin"), F.median("ctc_margin").alias("median_ctc_margin"), F.min("pixels_per_char").alias("min_pixels_per_char"), F.median("pixels_per_char").alias("median_pixels_per_char"))
+
+
+def target_audit(df: DataFrame, tokens: Column, label: int, generation: int, height: int = 384, canvas: int = 384) -> DataFrame:
+    """T-14: token counts against two limits, and whether the line is clipped on a canvas of one size. tokens: the count that a tokenizer gives."""
+    w, h = F.col("width"), F.col("height")
+    x = df.select("ID", tokens.cast("long").alias("token_count"), normalize_text(F.col("Target")).alias("text"), w.alias("original_width"), h.alias("original_height"), resized_width(w.cast("double"), h.cast("double"), height, canvas).alias("aspect_resized_width"), unclipped_width(w, h, height).alias("unclipped_aspect_resized_width"))
+    return x.withColumns({"char_len": F.length("text").cast("long"), "word_len": F.size(words(F.col("text"))).cast("long"), "exceeds_max_label_length": F.col("token_count") > label, "exceeds_max_generation_length": F.col("token_count") > generation, "would_clip_aspect_canvas": F.col("aspect_resized_width") < F.col("unclipped_aspect_resized_width"), "pixels_per_char": F.col("aspect_resized_width") / F.greatest(F.length("text"), F.lit(1))})
+
+
+def target_summary(table: DataFrame) -> DataFrame:
+    """A-19."""
+    return table.agg(F.count("*").alias("n"), F.max("token_count").alias("max_token_count"), F.percentile("token_count", F.lit(0.95)).alias("p95_token_count"), F.count_if("exceeds_max_label_length").alias("over_label_rows"), F.count_if("exceeds_max_generation_length").alias("over_generation_rows"), F.count_if("would_clip_aspect_canvas").alias("clipped_rows"), F.min("pixels_per_char").alias("min_pixels_per_char"), F.median("pixels_per_char").alias("median_pixels_per_char"))
 
 
 def quantile_bins(df: DataFrame, value: str, q: int, prefix: str) -> DataFrame:
@@ -37,18 +108,40 @@ def quantile_bins(df: DataFrame, value: str, q: int, prefix: str) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """W-06: round robin within labels in seeded order, each label going on where the last ended."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return df.withColumn("place", place).join(offsets, label).withColumn("fold", ((F.col("before") + F.col("place") - 1) % k).cast("int")).drop("place", "before")
+    """W-06: round robin within labels in seeded order, each label going on where the last ended. A null label is
+    one of its own. The order is by a hash that other engines have too."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    x = df.withColumn("hashed", order)
+    # slices of a label by the hash's first digits are in its order, so that a hot label is many tasks
+    x = x.withColumn("slice", F.substring("hashed", 1, 2))
+    n = x.groupBy(label, "slice").agg(F.count("*").alias("n"))
+    every = n.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "slice", "n"))).alias("a"))
+    total = F.aggregate("a", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("before")), lambda s, r: F.struct((s["sum"] + r["n"]).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))["before"]
+    before = every.select(F.explode(F.arrays_zip(F.col("a"), total.alias("b"))).alias("z")).select(F.col("z.a.label").alias("own_label"), F.col("z.a.slice").alias("own_slice"), F.col("z.b").alias("before"))
+    place = F.row_number().over(Window.partitionBy(label, "slice").orderBy("hashed", key))
+    x = x.withColumn("place", place).join(before, F.col(label).eqNullSafe(F.col("own_label")) & (F.col("slice") == F.col("own_slice")))
+    return x.withColumn("fold", ((F.col("before") + F.col("place") - 1) % k).cast("int")).drop("place", "before", "own_label", "own_slice", "slice", "hashed")
 
 
 def duplicate_groups(df: DataFrame, text: str, key: str) -> DataFrame:
-    """A-21, W-02: rows of equal content."""
+    """A-21: groups of rows of equal content."""
     return df.groupBy(F.md5(text).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id")).where("n > 1")
 
 
+def duplicate_images(df: DataFrame, by: str, label: str, most: int | None = None) -> DataFrame:
+    """A-21: groups of (ID, label, by, file_md5) with one value of by: rows, distinct files and labels, the ids and
+    the labels in the order of ids, most of them at most."""
+    own = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.count_distinct("file_md5").alias("unique_files"), F.count_distinct(label).alias("unique_labels"), F.array_sort(F.collect_list(F.struct(F.col("ID").alias("id"), F.col(label).alias("label")))).alias("rows")).where("n > 1")
+    cut = lambda c: F.slice(c, 1, most) if most else c
+    return own.select(by, "n", "unique_files", "unique_labels", cut(F.transform("rows", lambda r: r["id"])).alias("ids"), cut(F.array_distinct(F.transform("rows", lambda r: r["label"]))).alias("labels"))
+
+
+def duplicate_members(df: DataFrame, key: str) -> DataFrame:
+    """W-02: all rows whose key another row has too."""
+    many = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("many"))
+    return df.join(many, F.col(key).eqNullSafe(F.col("many")), "left_semi")
+
+
 def robust_z(df: DataFrame, value: str) -> DataFrame:
     """A-22: 0.6745 (x - median) / MAD, zero where MAD is."""
     med = df.agg(F.median(value).alias("med"))
@@ -56,13 +149,16 @@ def robust_z(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(mad)).withColumn("z", F.when(F.coalesce(F.col("mad"), F.lit(0.0)) == 0, 0.0).otherwise(0.6745 * (F.col(value) - F.col("med")) / F.col("mad"))).drop("med", "mad")
 
 
-def greedy_decode(df: DataFrame, logits: str, letters: str) -> DataFrame:
-    """D-01, T-05: argmax of each step, collapsed, as text; id 0 is the blank."""
-    ids = F.transform(logits, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
+def greedy_decode(df: DataFrame, logits: str, letters: str, length: str | None = None) -> DataFrame:
+    """D-01, T-05: argmax of each of the first length steps (all, if none is given), collapsed, as text; id 0 is
+    the blank. Raises, when run, on an id that letters don't have."""
+    known = F.array(*[F.lit(c) for c in letters])
+    ids = F.transform(F.slice(logits, F.lit(1), F.col(length)) if length else F.col(logits), lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
     x = df.withColumn("ids", ids)
-    return x.withColumn("text", F.array_join(F.transform(ctc_collapse(F.col("ids")), lambda i: F.substring(F.lit(letters), i, F.lit(1))), "")).drop("ids")
+    letter = lambda i: F.when(i <= len(letters), F.get(known, i - 1)).otherwise(F.raise_error(F.concat(F.lit("no letter has the id "), i.cast("string"))).cast("string"))
+    return x.withColumn("text", F.array_join(F.transform(ctc_collapse(F.col("ids")), letter), "")).drop("ids")
 
 
 def rare_first_sample(df: DataFrame, rare, key: str, n: int, seed: int = 42) -> DataFrame:
     """O-05, O-04: n rows, those that hold a rare character first, then by seeded hash."""
-    return df.orderBy(rare.desc(), F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(rare.desc(), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..functions.text import chars
+from .audit import greedy_decode
 
 LOW = -1.0e30
 CANDIDATE = "array<struct<text string, acoustic double, lm double, score double>>"
@@ -18,7 +21,7 @@ CANDIDATE = "array<struct<text string, acoustic double, lm double, score double>
 class CharModel:
     """Add-k counts: {context: {token: n}} with contexts of order - 1 symbols; unseen ones are uniform."""
 
-    def __init__(self, counts: dict, order: int, k: float = 1.0):
+    def __init__(self, counts: dict, order: int, k: float = 0.5):
         self.counts, self.order, self.k = counts, order, k
         self.size = max(1, len({t for c in counts.values() for t in c}))
         self.known = {t for c in counts.values() for t in c}
@@ -102,12 +105,47 @@ def payload(candidates: Column) -> Column:
     return F.array_join(F.transform(candidates, lambda c: F.format_string("%s\t%.6f\t%.6f\t%.6f", c["text"], c["score"], c["acoustic"], c["lm"])), " ||| ")
 
 
-def encode(text: Column, letters: str) -> Column:
-    """T-04: ids of the characters, from 1; those unknown are 0."""
-    known = F.array(*[F.lit(c) for c in letters])
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.array_position(known, c).cast("int"))
-
-
 def unknown(text: Column, letters: str) -> Column:
     """T-04: sorted distinct characters that have no id."""
-    return F.array_sort(F.array_except(F.filter(F.split(text, ""), lambda c: c != ""), F.array(*[F.lit(c) for c in letters])))
+    return F.array_sort(F.array_except(chars(text), F.array(*[F.lit(c) for c in letters])))
+
+
+def encode(text: Column, letters: str, strict: bool = True) -> Column:
+    """T-04: ids of the characters, from 1 (0 is the blank's). Unknown ones raise, when run, or else are left out."""
+    known = F.array(*[F.lit(c) for c in letters])
+    ids = F.transform(F.filter(chars(text), lambda c: F.array_contains(known, c)), lambda c: F.array_position(known, c).cast("int"))
+    bad = unknown(text, letters)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("unknown characters: "), F.array_join(bad, " ")))).otherwise(ids) if strict else ids
+
+
+@dataclass(frozen=True)
+class DecoderConfig:
+    """D-03: how logits become text."""
+
+    decoder: str = "greedy"
+    beam: int = 10
+    top: int | None = 20
+    lm_weight: float = 0.0
+    length_bonus: float = 0.0
+    candidates: int = 1
+    penalties: dict = field(default_factory=dict)
+
+    def __post_init__(self):
+        if self.decoder not in ("greedy", "beam", "beam_lm", "beam_lm_rerank"):
+            raise ValueError(f"unknown decoder {self.decoder!r}")
+        for name in ("beam", "top", "candidates"):
+            if (value := getattr(self, name)) is not None and value <= 0:
+                raise ValueError(f"{name} must be positive")
+        if self.penalties.get("min_chars", 0) < 0:
+            raise ValueError("min_chars must not be negative")
+
+
+def decode(df: DataFrame, logits: str, letters: str, config: DecoderConfig, lm: CharModel | None = None, length: str | None = None) -> DataFrame:
+    """D-03: adds text, and candidates as a payload (null if greedy). Reranking changes the order alone: a
+    candidate keeps the scores that it had. Steps beyond length don't count."""
+    if config.decoder == "greedy":
+        return greedy_decode(df, logits, letters, length).withColumn("candidates", F.lit(None).cast("string"))
+    x = df.withColumn("own_logits", F.slice(logits, F.lit(1), F.col(length)) if length else F.col(logits))
+    x = beam_decode(x, "own_logits", letters, candidates=config.candidates, lm=lm if config.decoder != "beam" else None, beam=config.beam, top=config.top, lm_weight=config.lm_weight, length_bonus=config.length_bonus).drop("own_logits")
+    x = rerank(x, **config.penalties) if config.decoder == "beam_lm_rerank" else x
+    return x.withColumns({"text": F.coalesce(F.get("candidates", F.lit(0))["text"], F.lit("")), "candidates": payload(F.col("candidates"))})

@@ -48,7 +48,7 @@ def split_fold(df: DataFrame, fold: int, column: str = "fold") -> DataFrame:
 
 def overfit_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """O-04: n rows by seeded hash, once in each of two folds."""
-    own = df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    own = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
     return own.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("split", F.when(F.col("fold") == 0, "valid").otherwise("train"))
 
 

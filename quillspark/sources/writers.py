@@ -1,11 +1,11 @@
-"""Sinks: CSV, JSON and text outputs, written by executors (K-01 to K-14, K-17)."""
+"""Sinks: CSV, JSON and text outputs, written by executors (K-01 to K-14, K-17, T-24)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import chars, symbol_list, tokenize
 
 
 def csv(df: DataFrame, path: str, order: list | None = None) -> None:
@@ -20,6 +20,91 @@ def evaluation_bundle(summary: DataFrame, rows: DataFrame, confusions: DataFrame
     csv(confusions, f"{path}/confusions", [F.desc("n"), "op", "ref_char", "pred_char"])
 
 
+def grouped_bundle(rows: DataFrame, summary: DataFrame, path: str) -> None:
+    """K-03: row errors with their groups from the worst, and the summary of groups."""
+    csv(rows, f"{path}/grouped_row_errors", [F.desc("row_cer"), "ID"])
+    csv(summary, f"{path}/grouped_error_summary", ["group_name", "group_value"])
+
+
+def charset_bundle(frequency: DataFrame, lines: DataFrame, path: str, round_trip: DataFrame | None = None) -> None:
+    """K-04: characters from the rarest, lines with rare ones from the most, round trips if there are any."""
+    csv(frequency, f"{path}/character_frequency", ["n", "ch"])
+    csv(lines, f"{path}/rare_character_lines", [F.desc("rare_char_count"), F.desc("char_len")])
+    if round_trip is not None:
+        csv(round_trip, f"{path}/tokenizer_roundtrip")
+
+
+def audit_bundle(table: DataFrame, summary: DataFrame, path: str, order: list) -> None:
+    """K-05, K-06: an audit in an order, and its summary as JSON with sorted keys."""
+    csv(table, f"{path}/audit", order)
+    summary.select(*sorted(summary.columns)).write.mode("overwrite").json(f"{path}/summary")
+
+
+def jpg(path: Column) -> Column:
+    """T-24: the ending jpeg becomes jpg."""
+    return F.regexp_replace(path, r"(?i)\.jpeg$", ".jpg")
+
+
+def shown_path(path: Column, root: str | None = None) -> Column:
+    """T-24: the path as it is, or relative to root where it is below it."""
+    head = (root or "").rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(head)), F.substring(path, len(head) + 1, 1 << 30)).otherwise(path) if root else path
+
+
+def export_height(width: Column, height: Column, to: int) -> Column:
+    """T-12: the width that an image gets at another height."""
+    return F.greatest(F.lit(1), F.rint(width.cast("double") * to / height)).cast("long")
+
+
+def lines(df: DataFrame, value: Column, path: str) -> None:
+    df.select("split", value.alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def metadata(df: DataFrame, path: str, **more) -> None:
+    """Rows of each split, and what else is known of a dataset, as JSON."""
+    n = df.groupBy().pivot("split", ["train", "valid", "test"]).count().na.fill(0)
+    n.select(*[F.col(c).alias(f"n_{c}") for c in n.columns], *[F.lit(v).alias(k) for k, v in sorted(more.items())]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def pylaia_dataset(df: DataFrame, path: str, unknown: bool = True) -> None:
+    """K-11: for each split the ids, the ids with symbols, the ids with text; the symbols of the training
+    texts; metadata. df: (ID, Target, split). Images stay where they are: image_path tells."""
+    t = F.coalesce("Target", F.lit(""))
+    lines(df, F.col("ID"), f"{path}/ids")
+    lines(df.where("split <> 'test'"), F.concat_ws(" ", "ID", tokenize(t)), f"{path}/tokens")
+    lines(df.where("split <> 'test'"), F.concat_ws(" ", "ID", t), f"{path}/text")
+    if "image_path" in df.columns:
+        lines(df, F.concat_ws("\t", "ID", jpg(F.col("image_path"))), f"{path}/images")
+    letters = df.where("split <> 'test'").select(F.explode(chars(t)).alias("c")).agg(F.collect_set("c").alias("a"))  # an alphabet is small
+    symbols = letters.select(F.posexplode(symbol_list(F.col("a"), unknown)).alias("idx", "symbol"))
+    symbol_file(symbols, f"{path}/syms")
+    metadata(df, f"{path}/metadata", unknown=unknown)
+
+
+def kraken_dataset(df: DataFrame, path: str) -> None:
+    """K-12: the truth of each line in a file of its own (ID.gt.txt, by split), lists of image paths, metadata.
+    df: (ID, Target, split, image_path)."""
+    truth = df.where("split <> 'test'").select("split", F.concat("ID", F.lit(".gt.txt")).alias("file"), F.coalesce("Target", F.lit("")).alias("value"))
+    truth.write.mode("overwrite").partitionBy("split", "file").text(f"{path}/truth")
+    lines(df, F.col("image_path"), f"{path}/lists")
+    metadata(df, f"{path}/metadata")
+
+
+def paddle_dataset(df: DataFrame, path: str, root: str | None = None) -> None:
+    """K-13, K-14: a path, a tab and a text a line, with paths relative to root if given; the characters, one a
+    line; metadata."""
+    own = df.withColumn("shown", shown_path(F.col("image_path"), root))
+    lines(own, F.concat_ws("\t", "shown", F.coalesce("Target", F.lit(""))), f"{path}/labels")
+    char_file(df.where("split <> 'test'"), f"{path}/characters")
+    metadata(df, f"{path}/metadata", root=root or "")
+
+
+def char_file(df: DataFrame, path: str) -> None:
+    """K-14: each character of Target but the space, sorted, one a line; an alphabet is small."""
+    found = df.select(F.explode(chars(F.coalesce("Target", F.lit("")))).alias("value")).where("value <> ' '").distinct()
+    found.orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+
+
 def fold_tables(df: DataFrame, path: str, form: str = "tokens") -> None:
     """K-11 to K-13: lines of text under split=train|valid|test; form: tokens (id and symbols), text (id and
     text) or tabbed (path, tab, text). df: (ID, Target, split[, image_path])."""
@@ -29,5 +114,5 @@ def fold_tables(df: DataFrame, path: str, form: str = "tokens") -> None:
 
 
 def symbol_file(symbols: DataFrame, path: str) -> None:
-    """K-10, K-14: a line for each symbol (symbol, idx) in the order of idx; an alphabet is small."""
+    """K-10: a line for each symbol (symbol, idx) in the order of idx; an alphabet is small."""
     symbols.orderBy("idx").coalesce(1).select(F.concat_ws(" ", "symbol", F.col("idx").cast("string")).alias("value")).write.mode("overwrite").text(path)

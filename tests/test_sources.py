@@ -71,7 +71,7 @@ def test_beam_search_is_exact_when_wide():
 
 def test_model_and_rerank(spark):
     lm = decoding.CharModel({"<s>": {"A": 20}, "A": {"B": 19, "C": 1}, "B": {"</s>": 19}}, 2)
-    assert math.isclose(lm.log_prob("", "A"), math.log(21 / 24)) and math.isclose(lm.log_prob("A", "?"), -math.log(4))
+    assert math.isclose(lm.log_prob("", "A"), math.log(20.5 / 22)) and math.isclose(lm.log_prob("A", "?"), -math.log(4))
     flat = np.array([[-5, 5, -5, -5], [5, -5, -5, -5], [-5, -5, 1.0, 1.1], [5, -5, -5, -5]])
     assert decoding.search(flat, "ABC")[0][0] == "AC"
     assert decoding.search(flat, "ABC", lm=lm, lm_weight=2.0)[0][0] == "AB"
@@ -88,3 +88,36 @@ def test_nulls(spark):
     assert relations.coarsen(df, "ID", 2, F.lit("rare")).where("ID = 'rare'").count() == 1
     with pytest.raises(PySparkException):
         relations.attach(df, df.where("ID = 'x'").withColumn("path", F.lit("p")), "ID", "path").collect()
+
+
+def test_models_as_files(tmp_path, spark):
+    from quillspark.operators import decoding
+    from quillspark.sources import models
+
+    models.save_tokenizer(spark, "abc é", f"{tmp_path}/tok")
+    assert models.load_tokenizer(spark, f"{tmp_path}/tok") == "abc é"
+    with pytest.raises(ValueError):
+        models.save_tokenizer(spark, "aa", f"{tmp_path}/bad")
+    lm = decoding.CharModel({"a": {"b": 3, "</s>": 1}, "<s>": {"a": 2}}, 2, 0.25)
+    models.save_model(spark, lm, f"{tmp_path}/lm")
+    got = models.load_model(spark, f"{tmp_path}/lm")
+    assert (got.counts, got.order, got.k) == (lm.counts, 2, 0.25) and got.log_prob("a", "b") == lm.log_prob("a", "b")
+    conf = models.patched({"Global": {"epochs": 1, "seed": 3}}, Global__epochs=9, Train__batch=4)
+    models.save_settings(spark, conf, f"{tmp_path}/conf")
+    assert models.load_settings(spark, f"{tmp_path}/conf") == {"Global": {"epochs": 9, "seed": 3}, "Train": {"batch": 4}}
+
+
+def test_datasets(tmp_path, spark):
+    from quillspark.sources import writers
+
+    rows = [("a", "b c", "train", "/d/i/a.jpeg"), ("b", "dé", "valid", "/d/i/b.jpg"), ("c", None, "test", "/x/c.jpg")]
+    df = spark.createDataFrame(rows, "ID string, Target string, split string, image_path string")
+    writers.pylaia_dataset(df, f"{tmp_path}/p")
+    text = lambda p: sorted(r.value for r in spark.read.text(f"{tmp_path}/{p}").collect())
+    assert text("p/tokens/split=train") == ["a b <space> c"] and text("p/ids/split=test") == ["c"] and text("p/text/split=valid") == ["b dé"]
+    assert text("p/syms") == ["<ctc> 0", "<space> 6", "<unk> 5", "b 1", "c 2", "d 3", "é 4"] and text("p/images/split=train") == ["a\t/d/i/a.jpg"]
+    writers.kraken_dataset(df, f"{tmp_path}/k")
+    assert text("k/truth/split=train/file=a.gt.txt") == ["b c"] and text("k/lists/split=test") == ["/x/c.jpg"]
+    writers.paddle_dataset(df, f"{tmp_path}/o", root="/d")
+    assert text("o/labels/split=train") == ["i/a.jpeg\tb c"] and text("o/labels/split=test") == ["/x/c.jpg\t"] and text("o/characters") == ["b", "c", "d", "é"]
+    assert spark.read.json(f"{tmp_path}/o/metadata").first().n_train == 1
