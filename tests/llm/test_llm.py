@@ -166,6 +166,44 @@ def test_packing_round_trip(docs):
     assert ids
 
 
+def test_ranks_brute():
+    """BM25 of all terms, and windows that are filled by it."""
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u4") for _ in range(50)]
+    df = np.array([sum(t in d for d in docs) for t in range(60)], float)
+    idf, mean = packing.weights(df, 50), sum(map(len, docs)) / 50
+    index = packing.bm25(docs, idf, mean)
+    for q in (0, 7, 31):
+        want = [sum(idf[t] * (f := (d == t).sum()) * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[q].tolist())) for d in docs]
+        assert np.allclose(packing.ranked(index, q), want)
+    first = [d for d, *_ in packing.fill(docs, 10**6, idf, mean)]
+    rank = packing.ranked(index, 0)
+    assert first[0] == 0 and first[1] == max(range(1, 50), key=lambda d: rank[d]) and sorted(first) == list(range(50))
+
+
+def test_packing_counts_and_neighbours(spark):
+    """Counts are those of all documents; near copies are dealt to one place."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        w = prose(rng, 200).split()
+        rows.append((2 * k, " ".join(w)))
+        w[rng.randrange(200)] = prose(rng, 1)
+        rows.append((2 * k + 1, " ".join(w)))
+    rng.shuffle(rows)
+    d = spark.createDataFrame([(*r, 1, "") for r in rows], "doc_id long, text string, length int, ids string")
+    enc = packing.encoder(TOKENIZER())
+    ids = {k: enc([t.encode()], 2)[0] for k, t in rows}
+    n, total, *df = packing.counted(packing.encoded(d, TOKENIZER(), 2)).tolist()
+    assert (n, total) == (300, sum(map(len, ids.values())))
+    assert df == np.bincount(np.concatenate([np.unique(x) for x in ids.values()]), minlength=enc.size).tolist()
+    pieces = packing.pack(d, TOKENIZER(), shard_tokens=20_000).orderBy("sequence_id", "offset").collect()
+    first = {}
+    for k, p in enumerate(pieces):
+        first.setdefault(p.doc_id, k)
+    assert sum(abs(first[2 * k] - first[2 * k + 1]) < 3 for k in range(150)) >= 120
+
+
 def test_language_model(docs):
     rows = kneserney.score_documents(docs).collect()
     train = [r for r in docs.collect() if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7 != 2]
