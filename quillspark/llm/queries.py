@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ def op5_packing(spark, sf_dir):
 def op6_pii(spark, sf_dir):
     from .pii import pseudonymise
 
-    return pseudonymise(read(spark, sf_dir, "documents"))
+    # a deployment sets its key, so that values stay linked between runs; else a run has one of its own
+    key = spark.conf.get("spark.quillspark.pii.key", None) or secrets.token_hex(32)
+    return pseudonymise(read(spark, sf_dir, "documents"), key)
 
 
 def op10_licenses(spark, sf_dir):
