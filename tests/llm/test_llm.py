@@ -334,8 +334,20 @@ def test_language_id(spark):
     got = {r.doc_id: r for r in langid.identify(d).collect()}
     assert got[900].lang_pred == got[901].lang_pred == "und"
     assert all(got[k].lang_pred == c for k, _, c, _, _ in rows[:200])
-    kept = {r.doc_id for r in langid.keep_known(d).collect()}
-    assert kept == {r[0] for r in rows} - {900, 901}
+    assert got[None].lang_pred == "en" and not got[3].rejected and got[900].score == 0 and min(got[k].score for k in range(200)) > 0.9
+    odd = d.unionByName(spark.createDataFrame([(902, "\u00b2 \u00bd \u2460", "en", "s", 1), (903, "\u4e2d\u6587\u4e2d\u6587 \u6587\u5b57" * 9, None, "s", 1), (904, "the and " * 20000, "en", "s", 1)], DOCS))
+    told = {r.doc_id: r for r in langid.identify(odd).collect()}
+    assert told[902].lang_pred == "und" and told[903].lang_pred in words and told[903].rejected and told[903].score < 0.1 and told[904].lang_pred == "en"
+    kept = {r.doc_id for r in langid.keep_known(odd).collect()}
+    assert kept == {r[0] for r in rows} - {900, 901} | {904}
+    extra = odd.selectExpr("*", "1 AS row", "'x' AS bits")
+    assert langid.keep_known(extra).columns == extra.columns
+
+
+def test_many_languages(spark):
+    rows = [(k, f"w{k}x q{k}y z{k}", f"l{k // 2}") for k in range(2400)]
+    share = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600)
+    assert share.select("lang").distinct().count() > 1150
 
 
 def test_line_dedup(spark):
@@ -420,6 +432,28 @@ def test_pseudonyms():
     assert [s[0] for s in spans] == ["email", "date", "ip"] and "a.b@c.de" not in text
 
 
+def test_validated_values(spark):
+    key = b"k" * 32
+    for kind, s in (("card", "1234567890123"), ("card", "20240229123456"), ("ssn", "000-12-3456"), ("ssn", "666-12-3456"), ("ssn", "123-00-4567"), ("date", "31/02/2024"), ("iban", "GB00 WEST 1234 5698 7654 32"), ("ip", "300.1.1.1")):
+        assert pii.pseudonym(kind, s, key) is None, s
+    for s in ("GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"):
+        new = pii.pseudonym("iban", s, key)
+        assert pii.remainder(new.replace(" ", "")) == 1 and new != s and [c == " " for c in new] == [c == " " for c in s] and new[:2] == s[:2]
+    for s in ("29/02/2024", "02/29/2024"):
+        new = pii.pseudonym("date", s, key)
+        assert new and len(new) == 10 and new != s
+    a, b = pii.pseudonym("email", "John.Doe@Example.COM", key), pii.pseudonym("email", "john.doe@example.COM", key)
+    assert a.lower() == b.lower() and a[0].isupper() and a[5].isupper() and a.endswith(".COM") and b[0].islower()
+    text = "call +1 (017) 555-7713, pay GB82 WEST 1234 5698 7654 32 or 4111 1111 1111 1111 by 2024-02-29 to a.b@c.de, not 1234567890123"
+    rows = [(1, text, 0, "x"), (1, text, 0, "x"), (None, text, 0, "x"), (2, None, 0, "x"), (3, "", 0, "x"), (4, "x " * 200_000 + text, 0, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_found int, spans string")
+    got = pii.pseudonymise(d, "a").collect()
+    assert [r.n_found for r in got] == [5, 5, 5, 0, 0, 5] and got[0].text == got[1].text == got[2].text == got[5].text[400_000:] and "1234567890123" in got[0].text
+    assert [s.kind for s in got[0].spans] == ["phone", "iban", "card", "date", "email"] and got[0].text != pii.pseudonymise(d, "b").first().text
+    with pytest.raises(ValueError):
+        pii.pseudonymise(d, "")
+
+
 def test_secrets_without_digits():
     key = b"k" * 32
     heads = ("password=", "passwd=", "secret=", "token=", 'token = "', 'token="', "api_key=", 'key = "', "API_KEY=")
@@ -451,9 +485,16 @@ def test_every_license_of_a_block(spark):
     assert [(x.license, x.line) for x in got[5].found] == [("MIT", 0), ("MIT", 2), ("ISC", 3)] and got[3].found[0].line == 1
 
 
+def test_license_versions(spark):
+    t = licenses.TEMPLATES
+    rows = [(1, "Licensed under the Apache License, Version 1.1."), (2, "Licensed under the Apache License, Version 9.7."), (3, "x " * 100_000 + t["CC0-1.0"]), (3, t["CC0-1.0"]), (None, t["EUPL-1.2"]), (4, t["GPL-3.0"].replace("3", "2"))]
+    d = spark.createDataFrame([(*r, "", 1) for r in rows], "doc_id long, text string, found string, licenses int")
+    assert [r.licenses for r in licenses.scan(d).collect()] == [["Apache-1.1"], [], ["CC0-1.0"], ["CC0-1.0"], ["EUPL-1.2"], ["GPL-2.0"]]
+
+
 def test_empty_tables(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
-    for df in (suffixdedup.dedup(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), decontam.leaks(empty, none), decontam.clean(empty, none), packing.pack(empty, TOKENIZER()), langid.identify(empty), linededup.dedup_lines(empty), pii.pseudonymise(empty), licenses.scan(empty), kneserney.score_documents(empty)):
+    for df in (suffixdedup.dedup(empty), simhash.near_duplicates(empty), simhash.keep_one(empty), decontam.leaks(empty, none), decontam.clean(empty, none), packing.pack(empty, TOKENIZER()), langid.identify(empty), linededup.dedup_lines(empty), pii.pseudonymise(empty, "k"), licenses.scan(empty), kneserney.score_documents(empty)):
         assert df.count() == 0
     assert embedrange.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
