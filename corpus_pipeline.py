@@ -9,22 +9,27 @@ from quillspark.llm.queries import TOKENIZER, read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known stay, with all their columns; null texts and texts without a letter go."""
     return langid.keep_known(docs)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that recur go from all documents but the first; every document stays, and null texts stay null."""
     return linededup.dedup_lines(docs).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that of the smallest id; rows with a null id stay."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go; rows with a null id are judged by their text."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; null and empty texts are the end token alone."""
     return packing.pack(docs, TOKENIZER())
 
 
