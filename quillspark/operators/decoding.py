@@ -1,4 +1,4 @@
-"""Decoding: prefix beam search, character language model, reranking (D-02, D-03, T-04, T-15 to T-18, O-06 to O-08)."""
+"""Decoding: prefix beam search, character language model, dispatch, reranking (D-02, D-03, T-04, T-15 to T-18, O-06 to O-08)."""
 
 from __future__ import annotations
 

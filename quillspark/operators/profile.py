@@ -62,8 +62,9 @@ def residuals(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
-    """A-24: (name, kind, missing, distinct) of each column, in one aggregation."""
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(t).alias("kind"), F.col(c).cast("string").alias("v")) for c, t in df.dtypes])).alias("c"))
+    """A-24: (name, kind, missing, distinct) of each column. Values travel as hashes of 128 bits, so that long
+    texts aren't group keys."""
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(t).alias("kind"), F.md5(F.col(c).cast("string")).alias("v")) for c, t in df.dtypes])).alias("c"))
     by_value = cells.groupBy("c.name", "c.kind", "c.v").agg(F.count("*").alias("n"))
     return by_value.groupBy("name", "kind").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.count("v").alias("distinct"))
 
