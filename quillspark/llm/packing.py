@@ -196,7 +196,7 @@ def races(idf: np.ndarray, seeds: int = 3) -> np.ndarray:
     x = np.arange(len(idf), dtype=np.uint64) + np.uint64(1)
     out = []
     for k in range(seeds):
-        h = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k) * np.uint64(0xBF58476D1CE4E5B9)
+        h = x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0xBF58476D1CE4E5B9 % (1 << 64))
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(-np.log(((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54) / np.maximum(idf, 1e-9))
