@@ -1,4 +1,4 @@
-"""Images of text lines: metadata, hashes, quality, resizing (S-02, S-03, T-20 to T-22, P-13, A-20, W-03, W-09).
+"""Images of text lines: metadata, hashes, quality, resizing (S-02, S-03, S-05, S-18, S-19, T-20 to T-22, P-13, A-20, W-03, W-09).
 
 Images are columns: the bytes of pixels in rows of width x channels (1: grey, 3: RGB). Geometry, flags and
 groups are column functions; what needs pixels is one numpy pass over Arrow batches."""
@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..functions.text import normalize_text
 from ..sources.readers import prediction_id
+from .decoding import encode
+from .relations import attach
 
 #: Weights of red, green and blue in 65536ths, by which a grey value is made.
 LUMA = (19595, 38470, 7471)
@@ -32,6 +35,13 @@ def read(spark: SparkSession, path: str, glob: str = "*.jpg") -> DataFrame:
     return x.select(prediction_id(F.col("path")).alias("ID"), F.col("path").alias("image_path"), "width", "height", (w / h).alias("aspect_ratio"), (w * h).cast("long").alias("area"), mode.alias("mode"), F.when(F.col("nChannels") == 1, 1).when(w > 0, 3).alias("channels"), rgb("data", "nChannels").alias("pixels"), "file_md5", (F.coalesce(w, F.lit(0)) > 0).alias("readable"))
 
 
+def line_rows(manifest: DataFrame, images: DataFrame, letters: str | None = None) -> DataFrame:
+    """S-05, S-18, S-19: each row of a manifest (ID[, Target]) with its image's path, size and pixels, and the ids
+    of its normalised text if letters are given; raises, when run, where an image is missing or a character unknown."""
+    x = attach(manifest, images.select("ID", *[c for c in ("image_path", "width", "height", "channels", "pixels") if c in images.columns]), "ID", "image_path")
+    return x.withColumn("target_ids", encode(normalize_text(F.col("Target")), letters)) if letters is not None and "Target" in x.columns else x
+
+
 def image_path(image_id: Column, folder: str, ending: str = ".jpg") -> Column:
     """S-03."""
     return F.concat(F.lit(folder.rstrip("/") + "/"), image_id.cast("string"), F.lit(ending))

@@ -46,6 +46,17 @@ def split_fold(df: DataFrame, fold: int, column: str = "fold") -> DataFrame:
     return df.withColumn("split", F.when(F.col(column) == fold, "valid").otherwise("train"))
 
 
+def only_fold(df: DataFrame, fold: int | None = None, column: str = "fold") -> DataFrame:
+    """P-03: the rows of one fold, or all if none is asked for."""
+    return df if fold is None else require_columns(df, [column]).where(F.col(column) == fold)
+
+
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    if missing := sorted(set(names) - set(df.columns)):
+        raise ValueError(f"missing columns {', '.join(missing)}")
+    return df
+
+
 def overfit_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """O-04: n rows by seeded hash, once in each of two folds."""
     own = df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

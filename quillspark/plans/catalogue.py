@@ -167,6 +167,15 @@ def p13_quality_flags(spark, sf_dir):
     return x.select("ID", *[c for c in x.columns if c.startswith("flag_")], "quality_flag_count")
 
 
+def s18_line_rows(spark, sf_dir):
+    x = pictures(spark, sf_dir).withColumn("image_path", images.image_path(F.col("ID"), "/im"))
+    return images.line_rows(x.select("ID", "Target"), x, "0123456789").select("ID", "image_path", "width", F.length("pixels").alias("n_pixels"), F.array_join("target_ids", " ").alias("target_ids"))
+
+
+def p03_only_fold(spark, sf_dir):
+    return relations.only_fold(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).alias("fold")), 3)
+
+
 def a20_readability(spark, sf_dir):
     return images.readability(pictures(spark, sf_dir))
 
@@ -455,6 +464,8 @@ ORACLE_SQL = {
     "t14_target_audit": f"SELECT * FROM {AUDIT}",
     "a19_target_summary": f"SELECT count(*) AS n, max(token_count) AS max_token_count, quantile_cont(token_count, 0.95)::DOUBLE AS p95_token_count, count(*) FILTER (exceeds_max_label_length) AS over_label_rows, count(*) FILTER (exceeds_max_generation_length) AS over_generation_rows, count(*) FILTER (would_clip_aspect_canvas) AS clipped_rows, round(min(aspect_resized_width / greatest(char_len, 1)), 6) AS min_pixels_per_char, round(median(aspect_resized_width / greatest(char_len, 1)), 6) AS median_pixels_per_char FROM {AUDIT}",
     "t21_image_quality": f"SELECT q.ID, ahash, " + ", ".join(f"round({m}, 4) AS {m}" for m in images.METRICS if m not in ("sharpness_grad_var", "dynamic_range_1_99")) + f", round(p99 - p01, 4) AS dynamic_range_1_99 FROM {QUALITY} q JOIN {AHASH} h ON h.ID = q.ID",
+    "s18_line_rows": "SELECT cast(vec_id AS varchar) AS ID, '/im/' || vec_id || '.jpg' AS image_path, 8 AS width, 64 AS n_pixels, coalesce(list_aggregate(list_transform(string_split(cast(label AS varchar), ''), lambda c: instr('0123456789', c)), 'string_agg', ' '), '') AS target_ids FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
+    "p03_only_fold": "SELECT p_partkey, p_partkey % 5 AS fold FROM part WHERE p_partkey % 5 = 3",
     "a20_readability": "SELECT CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(vec_id) AS n, count(*) FILTER (label <> 3) AS n_exists, count(*) AS n_readable, 0::BIGINT AS bad_images FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1",
     "t22_resized_images": "SELECT cast(vec_id AS varchar) AS ID, 6 AS width, 4 AS height, 3 AS channels, 72 AS n_bytes FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "a21_duplicate_images": f"SELECT substr(ahash, 1, 2) AS half, count(*) AS n, count(DISTINCT p.g) AS unique_files, count(DISTINCT p.label) AS unique_labels, list_aggregate(list_sort(list(p.ID))[1:20], 'string_agg', ',') AS ids, least(20, count(DISTINCT p.label)) AS n_labels FROM {AHASH} h JOIN {PICTURES} p ON p.ID = h.ID GROUP BY 1 HAVING count(*) > 1",
