@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+WRITTEN: list[str] = []  # folders that queries have written
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what this driver's queries have written to the shared folder; for when their results are no longer
+    needed. Gives the number of folders."""
+    n, jvm = len(WRITTEN), spark.sparkContext._jvm
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def table(df: DataFrame) -> DataFrame:

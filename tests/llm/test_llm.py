@@ -7,6 +7,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import common, decontam, embedrange, kneserney, langid, licenses, linededup, packing, pii, simhash, suffixdedup
@@ -499,6 +500,73 @@ def test_empty_tables(spark, empty):
     assert embedrange.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+CLASH = ["doc", "mark", "line", "leaf", "key", "fp", "body", "row", "bits", "ids", "n", "component_id", "node", "root", "words", "k", "row_key", "told", "gone", "drop_places", "bucket", "held_out"]
+
+
+def test_clashing_names_and_long_texts(spark):
+    """Every operator gives the same rows whatever other columns there are; very long texts, ties and repeated rows."""
+    rng = random.Random(21)
+    shared, item = prose(rng, 70), prose(rng, 20)
+    rows = [(k, f"{prose(rng, 40)}\n{shared}\n{prose(rng, 30)}", "en") for k in range(8)]
+    rows += [(20, prose(rng, 60_000), "en"), (21, f"{prose(rng, 9)} {item}", "en"), (5, rows[5][1], "en"), (5, rows[5][1], "en"), (22, rows[6][1], "en"), (None, rows[7][1], "en"), (23, "", None), (24, None, "en"), (25, "x" * 300_000, "en")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).cache()
+    extra = plain.selectExpr("*", *[f"'{c}' AS {c}" for c in CLASH])
+    b = spark.createDataFrame([(1, item, 0)], "item_id long, text string, key int")
+    ops = {
+        "lines": linededup.dedup_lines, "lm": kneserney.score_documents, "leaks": lambda d: decontam.leaks(d, b), "clean": lambda d: decontam.clean(d, b),
+        "pack": lambda d: packing.pack(d, TOKENIZER()).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")), "pii": lambda d: pii.pseudonymise(d, "k"), "suffix": suffixdedup.dedup,
+        "lang": langid.identify, "known": langid.keep_known, "simhash": simhash.near_duplicates, "one": simhash.keep_one, "licenses": licenses.scan,
+    }
+    for name, f in ops.items():
+        want = f(plain)
+        got = f(extra)
+        cols = [c for c in want.columns if name != "lines" or c not in ("n_lines", "n_dropped")]
+        a, b2 = (Counter(map(str, x.select(*cols).collect())) for x in (want, got))
+        assert a == b2 and (sum(a.values()) == len(rows) or name in ("leaks", "clean", "pack", "known", "one")), name
+        if name in ("lines", "clean", "known", "one"):
+            assert set(extra.columns) <= set(got.columns)
+
+
+def test_release(spark):
+    common.table(spark.range(3)).count()
+    path = common.WRITTEN[-1].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(path) and common.release(spark) > 0 and not os.path.exists(path)
+
+
+def test_pipeline_brute(spark, tmp_path):
+    """Every stage's decision on planted cases, one after another; what is packed are the documents left."""
+    rng = random.Random(31)
+    pool = prose(rng, 400).split()
+    text = lambda n: " ".join(rng.choices(pool, k=n))
+    passage, item = text(60), text(25)
+    rows = [(k, text(120), "en") for k in range(40)]
+    rows += [(50, f"{text(80)}\n{passage}\n{text(20)}", "en"), (51, f"{text(80)}\n{passage}\n{text(20)}", "en")]  # the second loses the passage
+    rows += [(60, rows[3][1], "en"), (61, rows[4][1].rsplit(" ", 1)[0] + " odd", "en")]  # one line each, which they lose; of the two empty texts one stays
+    w = rows[5][1].split()
+    rows += [(62, "\n".join(" ".join(w[k : k + 37]) for k in range(0, 120, 37)), "en")]  # other lines, the same shingles
+    rows += [(70, f"{text(30)} {item} {text(30)}", "en"), (71, None, "en"), (72, "12 34", None), (73, "\u4e2d\u6587\u5b57" * 40, None)]
+    docs = [(*r, "s", len(r[1] or "")) for r in rows]
+    spark.createDataFrame(docs, DOCS).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    gone = {"language_id": {71, 72, 73}, "line_dedup": set(), "simhash": {61, 62}, "decontamination": {70}}
+    left = {r[0] for r in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.table(stage(spark, out, str(tmp_path)))
+        left -= gone[name]
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in out.collect()} == left, name
+    kept = {r.doc_id: r.text for r in out.collect()}
+    lines = dict((r[0], r[1].split("\n")) for r in rows if r[0] in (50, 51))
+    assert kept[50].split("\n") == lines[50] and kept[51].split("\n") == [lines[51][0], lines[51][2]]
+    assert all(kept[k] == t for k, t, _ in rows if k in left - {51, 60}) and kept[60] == ""
+    enc = packing.encoder(TOKENIZER())
+    want = {k: len(enc([t.encode()], 2)[0]) for k, t in kept.items()}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id: p.doc_tokens for p in pieces} == want and sum(p.length for p in pieces) == sum(want.values())
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "simhash", "decontamination", "packing"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
