@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from .common import arrow_rows, components, fresh, id_and_bytes, stars, table
 
 TILE = 4096
+SPREAD = 64  # tiles of a cell that one task compares with all tiles it meets
 
 
 def hashes(body: bytes, width: int) -> np.ndarray:
@@ -56,6 +57,16 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return id_and_bytes(docs).mapInArrow(run, "doc_id long, fp long")
 
 
+def meeting(left: DataFrame, tiles: DataFrame, cell: list[str]) -> DataFrame:
+    """left (tiles with their number in ta) joined with the tiles of the same cell. A cell of many tiles is dealt
+    over several keys, with SPREAD tiles of left or so each."""
+    # one row for each cell
+    salts = F.broadcast(tiles.groupBy(*cell).agg(F.ceil((F.max("t") + 1) / SPREAD).cast("int").alias("salts")))
+    a = left.join(salts, cell).withColumn("salt", F.pmod(F.col("ta"), F.col("salts"))).drop("salts")
+    b = tiles.join(salts, cell).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return a.join(b, [*cell, "salt"])
+
+
 def close_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(src, dst): edges that join all of the distinct values of fp within the radius, as stars per tile pair."""
     part = lambda k: F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)).cast("int")
@@ -67,7 +78,7 @@ def close_pairs(fps: DataFrame, radius: int = 2) -> DataFrame:
     ahead = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
     moves = F.array(*[F.struct(*[F.lit(x).alias(f"d{k}") for k, x in enumerate(d)]) for d in ahead])
     left = tiles.withColumn("d", F.explode(moves)).select(*[(F.col(f"p{k}") + F.col(f"d.d{k}")).alias(f"p{k}") for k in range(4)], (F.col("d") == F.struct(*[F.lit(0).alias(f"d{k}") for k in range(4)])).alias("home"), F.col("t").alias("ta"), F.col("fps").alias("a"))
-    pairs = left.join(tiles.withColumnRenamed("fps", "b"), p).where("not home or ta <= t").select((F.col("home") & (F.col("ta") == F.col("t"))).alias("own"), "a", "b")
+    pairs = meeting(left, tiles.withColumnRenamed("fps", "b"), p).where("not home or ta <= t").select((F.col("home") & (F.col("ta") == F.col("t"))).alias("own"), "a", "b")
 
     def run(batches):
         for batch in batches:
@@ -143,8 +154,8 @@ def candidates(nodes: DataFrame, least: float, radius: int, both: int, every: bo
     five = ("key", "n", "f0", "f1", "comp")
     tiles = sized.withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).groupBy("cell", "t").agg(F.collect_list(F.struct(*five)).alias("r"))
     tiles = table(tiles.select("cell", "t", *[F.col(f"r.{c}").alias(c) for c in five]))
-    left = tiles.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), *[F.col(c).alias(f"{c}_a") for c in ("cell", "t", *five)]).withColumn("cell", F.col("cell_a") + F.col("d"))
-    pairs = left.join(tiles, "cell").where("d = 1 or t_a <= t").select((F.expr("d = 0 and t_a = t")).alias("own"), *[f"{c}_a" for c in five], *five)
+    left = tiles.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), F.col("cell").alias("cell_a"), F.col("t").alias("ta"), *[F.col(c).alias(f"{c}_a") for c in five]).withColumn("cell", F.col("cell_a") + F.col("d"))
+    pairs = meeting(left, tiles, ["cell"]).where("d = 1 or ta <= t").select((F.expr("d = 0 and ta = t")).alias("own"), *[f"{c}_a" for c in five], *five)
 
     def run(batches):
         for batch in batches:
@@ -173,11 +184,12 @@ def candidates(nodes: DataFrame, least: float, radius: int, both: int, every: bo
     return arrow_rows(pairs).mapInArrow(run, "src long, dst long")
 
 
-def confirmed(found: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The edges (src, dst) whose texts (key, body) have a shingle similarity of least or more, exactly."""
+def confirmed(found: DataFrame, names: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """The edges (src, dst) whose texts (digest, body), named by names (key, digest), have a shingle similarity of
+    least or more, exactly."""
     edges = table(found.distinct())
     ends = edges.select(F.col("src").alias("key")).unionByName(edges.select(F.col("dst").alias("key"))).distinct()
-    own = table(texts.join(ends, "key", "left_semi"))
+    own = table(texts.join(names.join(ends, "key", "left_semi"), "digest").select("key", "body"))
     a, b = (own.select(F.col("key").alias(k), F.col("body").alias(v)) for k, v in (("src", "a"), ("dst", "b")))
 
     def run(batches):
@@ -206,23 +218,24 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2
     the stars of each tile pair are checked, then all candidates that these left in different components.
     Null and blank texts are alike; null ids take part but are no component's name."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("key"), body.alias("body"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(body, 256)).alias("digest"), body.alias("body"))
 
     def run(batches):
         for b in batches:
             got = [sketch(x, width) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([g[k] for g in got], pa.int64()) for k in range(3)]], ["doc_id", "key", "n", "f0", "f1"])
-
-    rows = table(arrow_rows(keyed).mapInArrow(run, "doc_id long, key long, n long, f0 long, f1 long"))
-    # equal texts are one node, named by the text's hash
-    own = table(rows.groupBy("key").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1")))
-    texts = keyed.groupBy("key").agg(F.first("body").alias("body"))
-    near = confirmed(candidates(own.withColumn("comp", F.col("key")), least, radius, both, False), texts, width, least)
-    parts = own.join(components(near), own.key == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
-    rest = confirmed(candidates(parts, least, radius, both, True), texts, width, least)
-    classes = own.join(components(near.unionByName(rest)), own.key == F.col("node"), "left").select("key", "low", F.coalesce("root", "key").alias("root"))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array([g[k] for g in got], pa.int64()) for k in range(3)]], ["doc_id", "digest", "n", "f0", "f1"])
+
+    rows = table(arrow_rows(keyed).mapInArrow(run, "doc_id long, digest binary, n long, f0 long, f1 long"))
+    # equal texts (by SHA-256) are one node, numbered once in the written table
+    own = table(rows.groupBy("digest").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("f0").alias("f0"), F.first("f1").alias("f1")).withColumn("key", F.monotonically_increasing_id()))
+    names, nodes = own.select("key", "digest"), own.select("key", "n", "f0", "f1")
+    texts = keyed.groupBy("digest").agg(F.first("body").alias("body"))
+    near = confirmed(candidates(nodes.withColumn("comp", F.col("key")), least, radius, both, False), names, texts, width, least)
+    parts = nodes.join(components(near), F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "key")).drop("node", "root")
+    rest = confirmed(candidates(parts, least, radius, both, True), names, texts, width, least)
+    classes = own.select("digest", "low", "key").join(components(near.unionByName(rest)), F.col("key") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "key").alias("root"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(classes.join(lows, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    return rows.select("doc_id", "digest").join(classes.join(lows, "root").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

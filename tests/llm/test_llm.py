@@ -64,7 +64,10 @@ def test_suffix_sort_is_sorted():
         assert texts == sorted(texts)
 
 
-def test_simhash_brute(docs):
+@pytest.mark.parametrize("tile, spread", [(4096, 64), (2, 1)])
+def test_simhash_brute(docs, monkeypatch, tile, spread):
+    monkeypatch.setattr(simhash, "TILE", tile), monkeypatch.setattr(simhash, "SPREAD", spread)
+
     def one(t):
         w = (t or "").encode().lower().split()
         n = min(3, len(w))
@@ -91,7 +94,9 @@ def test_keep_one(docs):
     assert 82 not in ids and ids.count(85) == 0 and 3 in ids and len(ids) == len(set(ids))
 
 
-def test_keep_one_brute(spark):
+@pytest.mark.parametrize("tile, spread", [(4096, 64), (4, 2)])
+def test_keep_one_brute(spark, monkeypatch, tile, spread):
+    monkeypatch.setattr(simhash, "TILE", tile), monkeypatch.setattr(simhash, "SPREAD", spread)
     rng = random.Random(11)
     rows = []
     for k in range(60):
