@@ -242,11 +242,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those whose component (see similar) has a smaller doc_id; of rows with that same id, one stays.
 
     Rows with a null id stay."""
-    found = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    rank = fresh(docs, "rank_in_id")
-    left = docs.join(found, docs.doc_id.cast("long") == found.gone, "left_anti")
-    again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("again"))
-    once = left.join(again, left.doc_id == again.again, "left_anti")
-    many = left.join(again, left.doc_id == again.again, "left_semi")
+    found = similar(docs).where("component_id < doc_id").select(F.col("doc_id").alias("id"), F.lit(True).alias("gone")).distinct()
+    rank, told, gone = (fresh(docs, c) for c in ("rank_in_id", "told_id", "told_gone"))
+    named, own = docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("id")
+    again = named.groupBy(own).count().where("count > 1").select("id", F.lit(False).alias("gone"))
+    ids = table(found.unionByName(again).groupBy("id").agg(F.max("gone").alias("gone")))
+    # both branches read one exchange of the documents
+    left = named.join(ids.select(F.col("id").alias(told), F.col("gone").alias(gone)), named.doc_id.cast("long") == F.col(told), "left")
+    once, many = left.where(F.col(gone).isNull()).select(*docs.columns), left.where(~F.col(gone)).select(*docs.columns)
     w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return once.unionByName(many.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank))
+    first = many.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
+    return once.unionByName(first).unionByName(docs.where("doc_id is null"))
