@@ -98,7 +98,10 @@ def path_lines(lines: DataFrame) -> DataFrame:
 
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:
-    """S-13: (symbol, idx) of lines cut at their last space; raises, when run, on a line without a number."""
-    x = spark.read.text(path).where(F.trim("value") != "")
+    """S-13: (symbol, idx) of lines cut at their last space; blank lines are skipped. Raises, when run, on a line
+    without a number and names its own (from 1). Symbol files are small, so each is read whole."""
+    whole = spark.read.text(path, wholetext=True)
+    x = whole.select(F.posexplode(F.split("value", r"\r?\n", -1)).alias("at", "value")).where(F.trim("value") != "")
     idx = F.regexp_extract("value", r" (\d+)\s*$", 1)
-    return x.select(F.regexp_extract("value", r"^(.*) \d+\s*$", 1).alias("symbol"), F.when(idx == "", F.raise_error(F.concat(F.lit("not a symbol line: "), "value"))).otherwise(idx).cast("int").alias("idx"))
+    wrong = F.raise_error(F.concat(F.lit("not a symbol line: "), (F.col("at") + 1).cast("string"), F.lit(": "), "value"))
+    return x.select(F.regexp_extract("value", r"^(.*) \d+\s*$", 1).alias("symbol"), F.when(idx == "", wrong).otherwise(idx).cast("int").alias("idx"))

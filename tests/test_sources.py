@@ -121,3 +121,11 @@ def test_datasets(tmp_path, spark):
     writers.paddle_dataset(df, f"{tmp_path}/o", root="/d")
     assert text("o/labels/split=train") == ["i/a.jpeg\tb c"] and text("o/labels/split=test") == ["/x/c.jpg\t"] and text("o/characters") == ["b", "c", "d", "é"]
     assert spark.read.json(f"{tmp_path}/o/metadata").first().n_train == 1
+
+
+def test_symbol_line_number(spark, tmp_path):
+    (tmp_path / "syms").write_text("<ctc> 0\r\n\na 1\n<space> 2\n")
+    assert sorted(map(tuple, readers.symbols(spark, str(tmp_path / "syms")).collect())) == [("<ctc>", 0), ("<space>", 2), ("a", 1)]
+    (tmp_path / "bad").write_text("<ctc> 0\n\nno number\n")
+    with pytest.raises(Exception, match="not a symbol line: 3: no number"):
+        readers.symbols(spark, str(tmp_path / "bad")).collect()
