@@ -49,7 +49,7 @@ class ByteEncoder:
     is one piece of its own by the pattern. Texts with other white space, or with an added token's text, are
     encoded whole by the library."""
 
-    def __init__(self, path: str, most: int = 1_500_000, room: int = 1 << 25):
+    def __init__(self, path: str, most: int = 1_000_000, room: int = 1 << 25):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

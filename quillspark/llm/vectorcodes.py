@@ -48,7 +48,7 @@ def whole(vectors: DataFrame, vector: str) -> DataFrame:
             if (np.abs(x) >= LIMIT).any():
                 raise ValueError(f"components must be below {LIMIT // SCALE} in magnitude")
             wide = int(sizes[0]) // PARTS if len(sizes) else 0
-            x = x.astype("<i8").reshape(-1, PARTS, wide)
+            x = x.astype("<i8").reshape(len(sizes), PARTS, wide)
             parts = [pa.array([r.tobytes() for r in x[:, k]], pa.binary()) for k in range(PARTS)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), batch.column("label"), *parts], ["row", "vec_id", "label", *(f"part{k}" for k in range(PARTS))])
 
