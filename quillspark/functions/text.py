@@ -59,9 +59,11 @@ def repeats(c: Column) -> Column:
     return F.coalesce(F.length(c) - F.length(runs), F.lit(0))
 
 
-def resized_width(w: Column, h: Column, height: int, most: int) -> Column:
-    """T-11; the order of operations is part of the result."""
-    return F.least(F.greatest(F.lit(1.0), F.rint(w * (F.lit(float(height)) / h))), F.lit(float(most))).cast("long")
+def resized_width(w: Column, h: Column, height: int, most: int | None) -> Column:
+    """T-11; the order of operations is part of the result. Raises, when run, on a size of zero or less."""
+    wide = F.greatest(F.lit(1.0), F.rint(w * (F.lit(float(height)) / h)))
+    bad = F.raise_error(F.concat(F.lit("not an image's size: "), w.cast("string"), F.lit(" x "), h.cast("string"))).cast("double")
+    return F.when((w <= 0) | (h <= 0), bad).otherwise(wide if most is None else F.least(wide, F.lit(float(most)))).cast("long")
 
 
 def ctc_collapse(ids: Column, blank: int = 0) -> Column:

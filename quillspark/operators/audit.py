@@ -1,4 +1,4 @@
-"""Vocabularies, geometry, folds, integrity: A-14 to A-18, A-21, A-22, W-02, W-04, W-06, T-05, T-06, T-11 to T-14, O-05, D-01."""
+"""Vocabularies, geometry, folds, integrity: A-14 to A-18, A-21, A-22, W-02, W-04, T-05, T-06, T-11 to T-14, O-05, D-01."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import ship
 from ..functions.text import chars, ctc_collapse, normalize_text, repeats, resized_width, words
+from .ranks import median, number, quantiles
 
 
 def char_frequency(df: DataFrame, text: str, row: str) -> DataFrame:
@@ -84,8 +84,9 @@ def ctc_alignment(df: DataFrame, height: int = 96, most: int = 2048, factor: int
 
 
 def ctc_summary(table: DataFrame) -> DataFrame:
-    """A-18."""
-    return table.agg(F.count("*").alias("n"), F.count_if(~F.col("is_ctc_length_valid")).alias("invalid_rows"), F.count_if("was_width_clipped").alias("width_clipped_rows"), F.min("ctc_margin").alias("min_ctc_margin"), F.median("ctc_margin").alias("median_ctc_margin"), F.min("pixels_per_char").alias("min_pixels_per_char"), F.median("pixels_per_char").alias("median_pixels_per_char"))
+    """A-18. Medians are exact, found by passes of their own."""
+    margin, pixels = (v[0] for v in quantiles(table, {"ctc_margin": [0.5], "pixels_per_char": [0.5]}).values())
+    return table.agg(F.count("*").alias("n"), F.count_if(~F.col("is_ctc_length_valid")).alias("invalid_rows"), F.count_if("was_width_clipped").alias("width_clipped_rows"), F.min("ctc_margin").alias("min_ctc_margin"), number(margin).alias("median_ctc_margin"), F.min("pixels_per_char").alias("min_pixels_per_char"), number(pixels).alias("median_pixels_per_char"))
 
 
 def target_audit(df: DataFrame, tokens: Column, label: int, generation: int, height: int = 384, canvas: int = 384) -> DataFrame:
@@ -96,31 +97,16 @@ def target_audit(df: DataFrame, tokens: Column, label: int, generation: int, hei
 
 
 def target_summary(table: DataFrame) -> DataFrame:
-    """A-19."""
-    return table.agg(F.count("*").alias("n"), F.max("token_count").alias("max_token_count"), F.percentile("token_count", F.lit(0.95)).alias("p95_token_count"), F.count_if("exceeds_max_label_length").alias("over_label_rows"), F.count_if("exceeds_max_generation_length").alias("over_generation_rows"), F.count_if("would_clip_aspect_canvas").alias("clipped_rows"), F.min("pixels_per_char").alias("min_pixels_per_char"), F.median("pixels_per_char").alias("median_pixels_per_char"))
+    """A-19. Quantiles are exact, found by passes of their own."""
+    tokens, pixels = (v[0] for v in quantiles(table, {"token_count": [0.95], "pixels_per_char": [0.5]}).values())
+    return table.agg(F.count("*").alias("n"), F.max("token_count").alias("max_token_count"), number(tokens).alias("p95_token_count"), F.count_if("exceeds_max_label_length").alias("over_label_rows"), F.count_if("exceeds_max_generation_length").alias("over_generation_rows"), F.count_if("would_clip_aspect_canvas").alias("clipped_rows"), F.min("pixels_per_char").alias("min_pixels_per_char"), number(pixels).alias("median_pixels_per_char"))
 
 
 def quantile_bins(df: DataFrame, value: str, q: int, prefix: str) -> DataFrame:
     """W-04: by value, right-closed, equal edges merged; null is its own label."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("edges"))
-    bin_ = F.greatest(F.lit(0), F.size(F.filter("edges", lambda e: e < F.col(value))) - 1)
-    return df.crossJoin(F.broadcast(edges)).withColumn(f"{value}_bin", F.when(F.col(value).isNull(), f"{prefix}<NA>").otherwise(F.concat(F.lit(prefix), bin_))).drop("edges")
-
-
-def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """W-06: round robin within labels in seeded order, each label going on where the last ended. A null label is
-    one of its own. The order is by a hash that other engines have too."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.withColumn("hashed", order)
-    # slices of a label by the hash's first digits are in its order, so that a hot label is many tasks
-    x = x.withColumn("slice", F.substring("hashed", 1, 2))
-    n = x.groupBy(label, "slice").agg(F.count("*").alias("n"))
-    every = n.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "slice", "n"))).alias("a"))
-    total = F.aggregate("a", F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("before")), lambda s, r: F.struct((s["sum"] + r["n"]).alias("sum"), F.concat(s["before"], F.array(s["sum"])).alias("before")))["before"]
-    before = every.select(F.explode(F.arrays_zip(F.col("a"), total.alias("b"))).alias("z")).select(F.col("z.a.label").alias("own_label"), F.col("z.a.slice").alias("own_slice"), F.col("z.b").alias("before"))
-    place = F.row_number().over(Window.partitionBy(label, "slice").orderBy("hashed", key))
-    x = x.withColumn("place", place).join(before, F.col(label).eqNullSafe(F.col("own_label")) & (F.col("slice") == F.col("own_slice")))
-    return x.withColumn("fold", ((F.col("before") + F.col("place") - 1) % k).cast("int")).drop("place", "before", "own_label", "own_slice", "slice", "hashed")
+    edges = [e for e in dict.fromkeys(quantiles(df, {value: [k / q for k in range(q + 1)]})[value]) if e is not None]
+    bin_ = F.greatest(F.lit(0), sum((F.when(F.col(value) > e, 1).otherwise(0) for e in edges), F.lit(0)) - 1)
+    return df.withColumn(f"{value}_bin", F.when(F.col(value).isNull(), f"{prefix}<NA>").otherwise(F.concat(F.lit(prefix), bin_)))
 
 
 def duplicate_groups(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -144,9 +130,9 @@ def duplicate_members(df: DataFrame, key: str) -> DataFrame:
 
 def robust_z(df: DataFrame, value: str) -> DataFrame:
     """A-22: 0.6745 (x - median) / MAD, zero where MAD is."""
-    med = df.agg(F.median(value).alias("med"))
-    mad = df.crossJoin(F.broadcast(med)).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return df.crossJoin(F.broadcast(mad)).withColumn("z", F.when(F.coalesce(F.col("mad"), F.lit(0.0)) == 0, 0.0).otherwise(0.6745 * (F.col(value) - F.col("med")) / F.col("mad"))).drop("med", "mad")
+    med = median(df, value)
+    mad = median(df.select(F.abs(F.col(value) - number(med)).alias("off")), "off")
+    return df.withColumn("z", F.lit(0.0) if not mad else 0.6745 * (F.col(value) - med) / mad)
 
 
 def greedy_decode(df: DataFrame, logits: str, letters: str, length: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Integrity of labelled images, and grids of runs: P-10, P-14, J-10, J-13, W-10, S-17, O-03, U-05, D-06, D-10, S-21."""
+"""Integrity of labelled images, and grids of runs: P-10, P-14, J-10, J-13, U-05, D-06, D-10, S-21."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import chars
 from .audit import robust_z
+from .ranks import number, quantiles
 from .profile import residuals
 
 
-
 def consistency_flags(x: DataFrame) -> DataFrame:
     """P-14: four flags of (ID, width, height, aspect_ratio, char_len) and their number: pixels a character
     and the residual of the length over the shape are outliers, short labels on wide images, long on narrow."""
@@ -18,13 +18,14 @@ def consistency_flags(x: DataFrame) -> DataFrame:
     x = residuals(x, "char_len", ["width", "height", "aspect_ratio"])
     for c in ("pixels_per_char", "residual"):
         x = robust_z(x, c).withColumnRenamed("z", f"rz_{c}")
-    q = x.agg(F.percentile("char_len", F.array(F.lit(0.05), F.lit(0.95))).alias("qc"), F.percentile("width", F.array(F.lit(0.05), F.lit(0.95))).alias("qw"))
+    q = quantiles(x, {"char_len": [0.05, 0.95], "width": [0.05, 0.95]})
+    (short, long), (narrow, wide) = ([number(v) for v in q[c]] for c in ("char_len", "width"))
     n, w = F.col("char_len"), F.col("width")
     flags = {
         "flag_width_text_mismatch": F.abs("rz_pixels_per_char") > 4, "flag_shape_text_residual": F.abs("rz_residual") > 4,
-        "flag_short_label_wide_image": (n <= F.col("qc")[0]) & (w >= F.col("qw")[1]), "flag_long_label_narrow_image": (n >= F.col("qc")[1]) & (w <= F.col("qw")[0]),
+        "flag_short_label_wide_image": (n <= short) & (w >= wide), "flag_long_label_narrow_image": (n >= long) & (w <= narrow),
     }
-    x = x.crossJoin(F.broadcast(q)).withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()}).drop("qc", "qw")  # q is one row
+    x = x.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
     return x.withColumn("consistency_flag_count", sum(F.col(k).cast("int") for k in flags))
 
 
@@ -62,29 +63,6 @@ def grid(spark: SparkSession, **axes: list) -> DataFrame:
     return out.withColumn("run_name", F.concat_ws("_", *[F.concat(F.lit(n), F.col(n).cast("string")) for n in axes]))
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds pos, from 0 in the order of a unique column: a range sort, and each partition's count before it, so that no task has all rows."""
-    x = df.orderBy(order).withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
-    first = x.groupBy("part").agg(F.count("*").alias("n"), F.min("row").alias("low")).orderBy("part").collect()  # one row a partition
-    before, pairs = 0, []
-    for r in first:
-        pairs.append((r["part"], before - r["low"]))
-        before += r["n"]
-    shift = df.sparkSession.createDataFrame(pairs or [(0, 0)], "part int, shift long")
-    return x.join(F.broadcast(shift), "part").withColumn("pos", F.col("row") + F.col("shift")).drop("part", "row", "shift")
-
-
-def window_of(df: DataFrame, order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """S-17, O-03: rows from offset on, limit at most, in the order of a column; the limit is the operator."""
-    x = df.orderBy(order).offset(offset)
-    return x if limit is None else x.limit(limit)
-
-
-def batches(df: DataFrame, order: str, size: int) -> DataFrame:
-    """W-10: adds batch, the number of each group of size rows in the order of a unique column."""
-    return numbered(df, order).withColumn("batch", F.floor(F.col("pos") / size).cast("long")).drop("pos")
-
-
 def output_steps(width: Column, factor: int = 4) -> Column:
     """D-06: time steps that a network gives for a width."""
     return F.greatest(F.lit(1), F.floor(width / factor)).cast("long")

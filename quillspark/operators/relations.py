@@ -12,10 +12,13 @@ def repeated_ids(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def id_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """U-01 to U-03: (key, side) of keys in one table alone: missing from b, or extra in it; none where the sets are equal."""
+def id_difference(a: DataFrame, b: DataFrame, key: str, overlap: bool = False) -> DataFrame:
+    """U-01 to U-03: (key, side) of keys in one table alone: missing from b, or extra in it; none where the sets are
+    equal. With overlap, the keys of both come too, as shared."""
     x = a.select(key, F.lit(1).alias("m")).unionByName(b.select(key, F.lit(2).alias("m")))
-    return x.groupBy(key).agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo = hi").select(key, F.when(F.col("lo") == 1, "missing").otherwise("extra").alias("side"))
+    x = x.groupBy(key).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    x = x if overlap else x.where("lo = hi")
+    return x.select(key, F.when(F.col("lo") < F.col("hi"), "shared").when(F.col("lo") == 1, "missing").otherwise("extra").alias("side"))
 
 
 def attach(df: DataFrame, meta: DataFrame, key: str, needed: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, decoding, ensemble, evaluation, images, integrity, profile, relations
+from ..operators import audit, decoding, ensemble, evaluation, images, integrity, profile, ranks, relations
 from ..sources import readers
 
 PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
@@ -205,7 +205,7 @@ def w09_batch_width(spark, sf_dir):
 
 
 def w10_batches(spark, sf_dir):
-    return integrity.batches(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 64)
+    return ranks.batches(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", 64)
 
 
 def s03_image_path(spark, sf_dir):
@@ -213,7 +213,7 @@ def s03_image_path(spark, sf_dir):
 
 
 def s17_window(spark, sf_dir):
-    return integrity.window_of(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 10, 25)
+    return ranks.window_of(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey", 10, 25)
 
 
 def j10_manual_review(spark, sf_dir):
@@ -277,7 +277,7 @@ def w04_quantile_bins(spark, sf_dir):
 
 
 def w06_fold_sizes(spark, sf_dir):
-    return audit.stratified_folds(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 5).groupBy("c_mktsegment", "fold").agg(F.count("*").alias("n"))
+    return ranks.stratified_folds(table(spark, sf_dir, "customer"), "c_mktsegment", "c_custkey", 5).groupBy("c_mktsegment", "fold").agg(F.count("*").alias("n"))
 
 
 def a21_duplicate_groups(spark, sf_dir):
@@ -317,7 +317,7 @@ def a23_residuals(spark, sf_dir):
 
 
 def a24_overview(spark, sf_dir):
-    return profile.overview(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return profile.overview(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")).withColumn("missing_pct", F.round("missing_pct", 9))
 
 
 def a25_describe(spark, sf_dir):
@@ -328,12 +328,68 @@ def a25_correlations(spark, sf_dir):
     return profile.correlations(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
 
 
+LABELS_SQL = "(SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN p_brand || '!!' WHEN 3 THEN '((' || p_type || ')) \"\" ' || p_name WHEN 4 THEN p_name || ', ' || p_name || ';' ELSE '--' || p_name END AS label FROM part)"
+
+
+def labels(spark, sf_dir):
+    """Labels with brackets, quotes, repeated marks, repeated and missing values."""
+    return sql(spark, sf_dir, "part", f"SELECT * FROM {LABELS_SQL}")
+
+
 def a26_top_words(spark, sf_dir):
-    return profile.top_words(table(spark, sf_dir, "part"), "p_name", 20)
+    return profile.top_words(labels(spark, sf_dir), "label", 20)
+
+
+def a26_all_words(spark, sf_dir):
+    return profile.top_words(labels(spark, sf_dir), "label", None)
+
+
+def a26_top_chars(spark, sf_dir):
+    return profile.top_chars(labels(spark, sf_dir), "label", 50)
+
+
+def a26_top_targets(spark, sf_dir):
+    return profile.top_targets(labels(spark, sf_dir), "label", 30)
 
 
 def a27_label_integrity(spark, sf_dir):
-    return profile.label_integrity(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return profile.label_integrity(labels(spark, sf_dir), "label")
+
+
+def a27_id_integrity(spark, sf_dir):
+    return profile.id_integrity(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+def t19_categories(spark, sf_dir):
+    x = labels(spark, sf_dir).select("p_partkey", F.explode(profile.category_counts(F.coalesce("label", F.lit("")))))
+    return x.groupBy(F.col("key").alias("category")).agg(F.sum("value").alias("n"), F.count("*").alias("n_rows"))
+
+
+def p12_repeats(spark, sf_dir):
+    """All flags and features of labels that hold repeats of each kind."""
+    x = profile.label_flags(profile.label_features(labels(spark, sf_dir), "label"))
+    return x.select("p_partkey", "max_run", "repeated_marks", F.round("punct_ratio", 6).alias("punct_ratio"), *[c for c in x.columns if c.startswith("flag_")], "n_flags")
+
+
+def u03_overlap(spark, sf_dir):
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select((F.col("o_custkey") + 10).alias("k"))
+    return relations.id_difference(c, o, "k", overlap=True).groupBy("side").agg(F.count("*").alias("n"))
+
+
+def w10_line_batches(spark, sf_dir):
+    """Batches over a table of many partitions, in the order of two columns."""
+    return ranks.batches(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 1000)
+
+
+def o03_late_window(spark, sf_dir):
+    return ranks.window_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5000, 3000)
+
+
+def w04_exact_quantiles(spark, sf_dir):
+    """Ranks of three columns by the same passes."""
+    shares = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    q = ranks.quantiles(table(spark, sf_dir, "lineitem"), {c: shares for c in ("l_extendedprice", "l_quantity", "l_discount")})
+    return spark.createDataFrame([(c, s, v) for c, own in q.items() for s, v in zip(shares, own)], "name string, share double, value double").withColumn("value", F.round("value", 6))
 
 
 def a29_best_epoch(spark, sf_dir):
@@ -499,11 +555,24 @@ ORACLE_SQL = {
     "a13_source_scores": f"WITH s AS ({SOURCES_SQL}) SELECT source_idx, count(*) AS n, sum(levenshtein(p_name, text))::BIGINT AS char_edits, sum(length(p_name))::BIGINT AS ref_chars, round(sum(levenshtein(p_name, text)) / sum(length(p_name)), 6) AS cer FROM s JOIN part ON cast(p_partkey AS varchar) = ID GROUP BY source_idx",
     "a19_token_summary": "SELECT count(*) AS n, min(t) AS least, median(t)::DOUBLE AS middle, quantile_cont(t, 0.95)::DOUBLE AS p95, max(t) AS most, count(*) FILTER (t > 16) AS n_over FROM (SELECT length(p_name) + 2 AS t FROM part)",
     "a23_residuals": "WITH m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part) SELECT p_partkey, round(p_retailprice - a - b * p_size, 4) AS residual FROM part, m",
-    "a24_overview": " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS kind, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS distinct FROM documents" for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"))),
+    "a24_overview": " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS kind, count(*) FILTER ({c} IS NULL) AS missing, round(count(*) FILTER ({c} IS NULL) / count(*), 9) AS missing_pct, count(DISTINCT {c}) AS distinct FROM documents" for c, t in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"))),
     "a25_describe": "SELECT count(c_acctbal) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS deviation, min(c_acctbal) AS least, quantile_cont(c_acctbal, 0.25) AS p25, quantile_cont(c_acctbal, 0.5) AS p50, quantile_cont(c_acctbal, 0.75) AS p75, max(c_acctbal) AS most FROM customer",
     "a25_correlations": " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for a in ("l_quantity", "l_extendedprice", "l_discount") for b in ("l_quantity", "l_extendedprice", "l_discount")),
-    "a26_top_words": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '\\s+')) AS word FROM part) WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 20",
-    "a27_label_integrity": "SELECT count(*) AS n, count(*) FILTER (trim(p_name) = '') AS n_empty, count(*) - count(DISTINCT p_name) AS n_repeated_text, count(*) - count(DISTINCT p_partkey) AS n_repeated_key FROM part",
+    "a26_top_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(label), '\\b\\S+\\b')) AS word FROM {LABELS_SQL}) GROUP BY word ORDER BY n DESC, word LIMIT 20",
+    "a26_all_words": f"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(label), '\\b\\S+\\b')) AS word FROM {LABELS_SQL}) GROUP BY word",
+    "a26_top_chars": f"SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(label, '')) AS ch FROM {LABELS_SQL}) GROUP BY ch ORDER BY n DESC, ch LIMIT 50",
+    "a26_top_targets": f"SELECT label, count(*) AS n FROM {LABELS_SQL} GROUP BY label ORDER BY n DESC, label NULLS FIRST LIMIT 30",
+    "a27_label_integrity": f"SELECT count(*) AS rows, count(*) FILTER (label IS NULL) AS missing_labels, count(*) FILTER (trim(coalesce(label, '')) = '') AS empty_after_normalize, count(DISTINCT coalesce(label, 'nan')) AS unique_exact_labels, count(*) FILTER (copies > 1) AS duplicated_exact_label_rows FROM (SELECT *, count(*) OVER (PARTITION BY label) AS copies FROM {LABELS_SQL})",
+    "a27_id_integrity": "SELECT count(*) AS rows, count(DISTINCT o_custkey) AS unique_ids, count(*) FILTER (copies > 1) AS duplicate_id_rows, count(*) FILTER (o_custkey IS NULL) AS missing_id_rows, count(*) - count(DISTINCT o_custkey) AS duplicate_ids FROM (SELECT o_custkey, count(*) OVER (PARTITION BY o_custkey) AS copies FROM orders)",
+    "t19_categories": f"SELECT category, count(*) AS n, count(DISTINCT p_partkey) AS n_rows FROM (SELECT p_partkey, CASE WHEN ch BETWEEN 'A' AND 'Z' THEN 'Lu' WHEN ch BETWEEN 'a' AND 'z' THEN 'Ll' WHEN ch BETWEEN '0' AND '9' THEN 'Nd' WHEN ch = ' ' THEN 'Zs' WHEN ch = '(' THEN 'Ps' WHEN ch = ')' THEN 'Pe' WHEN ch = '-' THEN 'Pd' WHEN ch IN ('!', '\"', '#', ',', ';') THEN 'Po' ELSE '?' END AS category FROM (SELECT p_partkey, unnest(string_split(label, '')) AS ch FROM {LABELS_SQL}) WHERE ch <> '') GROUP BY category",
+    "p12_repeats": f"""WITH x AS (SELECT p_partkey, coalesce(label, '') AS raw, trim(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g')) AS t FROM {LABELS_SQL}), q AS (SELECT quantile_cont(length(t), 0.01) AS lo, quantile_cont(length(t), 0.99) AS hi FROM x),
+ r AS (SELECT p_partkey, max(n) AS max_run, bool_or(n > 1 AND regexp_matches(ch, '[[:punct:]]')) AS repeated_marks FROM (SELECT p_partkey, ch, spot - k AS island, count(*) AS n FROM (SELECT p_partkey, ch, spot, row_number() OVER (PARTITION BY p_partkey, ch ORDER BY spot) AS k FROM (SELECT p_partkey, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS spot FROM x)) GROUP BY ALL) GROUP BY p_partkey),
+ f AS (SELECT x.p_partkey, CASE WHEN t = '' THEN 1 ELSE max_run END AS max_run, t <> '' AND repeated_marks AS repeated_marks, round(length(regexp_replace(t, '[^[:punct:]]', '', 'g')) / greatest(length(t), 1), 6) AS punct_ratio, t = '' AS flag_empty, raw <> '' AND (left(raw, 1) = ' ' OR right(raw, 1) = ' ' OR contains(raw, '  ')) AS flag_whitespace, false AS flag_control, false AS flag_non_ascii, length(t) <= lo AS flag_very_short, length(t) >= hi AS flag_very_long, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) / greatest(length(t), 1) < 0.55 AS flag_low_alpha FROM x JOIN r ON r.p_partkey = x.p_partkey, q)
+ SELECT *, max_run >= 4 AS flag_repeated_chars, repeated_marks AS flag_repeated_marks, (flag_empty::INT + flag_whitespace::INT + flag_very_short::INT + flag_very_long::INT + flag_low_alpha::INT + (max_run >= 4)::INT + repeated_marks::INT)::INT AS n_flags FROM f""",
+    "u03_overlap": "WITH c AS (SELECT DISTINCT c_custkey AS k FROM customer), o AS (SELECT DISTINCT o_custkey + 10 AS k FROM orders) SELECT CASE WHEN c.k IS NULL THEN 'extra' WHEN o.k IS NULL THEN 'missing' ELSE 'shared' END AS side, count(*) AS n FROM c FULL JOIN o ON c.k = o.k GROUP BY 1",
+    "w10_line_batches": "SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 1000 AS batch FROM lineitem",
+    "o03_late_window": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3000 OFFSET 5000",
+    "w04_exact_quantiles": " UNION ALL ".join(f"SELECT '{c}' AS name, {q}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {q}), 6) AS value FROM lineitem" for c in ("l_extendedprice", "l_quantity", "l_discount") for q in (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)),
     "a29_best_epoch": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1 ORDER BY sum(l_discount * l_quantity) / sum(l_quantity), 1 LIMIT 1",
     "j09_submission": "SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1",
     "p02_fold_split": "SELECT CASE WHEN p_partkey % 5 = 2 THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM part GROUP BY 1",

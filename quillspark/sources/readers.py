@@ -65,19 +65,20 @@ def transcripts(spark: SparkSession, path: str, form: str = "NFC") -> DataFrame:
 
 
 def payload_text(s: str) -> str:
-    """T-23: the text in a plain, JSON or literal payload; of a list or tuple, its first element's."""
-    value = s
+    """T-23: the text in a plain, JSON or literal payload: of a list or tuple, its first element's; of a mapping, the
+    first of its fields, as text whatever it holds. Payloads without one stand for themselves."""
     for parse in (json.loads, ast.literal_eval):
         try:
             value = parse(s)
-            break
-        except (ValueError, SyntaxError, RecursionError, MemoryError):
-            pass
-    while isinstance(value, (list, tuple)) and value:
-        value = value[0]
-    if isinstance(value, dict):
-        value = next((value[k] for k in TEXT_FIELDS if k in value), s)
-    return value if isinstance(value, str) else s
+        except (ValueError, SyntaxError, RecursionError, MemoryError, TypeError):
+            continue
+        while isinstance(value, (list, tuple)) and value:
+            value = value[0]
+        if isinstance(value, str):
+            return value
+        if isinstance(value, dict) and (field := next((k for k in TEXT_FIELDS if k in value), None)):
+            return str(value[field])
+    return s
 
 
 @F.pandas_udf(StringType())
@@ -94,7 +95,7 @@ def path_lines(lines: DataFrame) -> DataFrame:
     cut = F.when(F.contains(v, F.lit("\t")), F.regexp_extract(v, r"^([^\t]*)\t", 1)).otherwise(F.regexp_extract(v, r"^(\S+)", 1))
     rest = F.when(F.contains(v, F.lit("\t")), F.regexp_extract(v, r"^[^\t]*\t([\s\S]*)$", 1)).otherwise(F.regexp_extract(v, r"^\S+\s*([\s\S]*)$", 1))
     x = lines.where(v != "").select(prediction_id(cut).alias("ID"), F.trim(rest).alias("rest"))
-    return x.select("ID", normalize_text(F.when(F.col("rest").rlike(r"^[\[({\"']"), payload_udf("rest")).otherwise(F.col("rest"))).alias("Target"))
+    return x.select("ID", normalize_text(F.when(F.col("rest").rlike(r"^([A-Za-z]{1,2})?[\[({\"']"), payload_udf("rest")).otherwise(F.col("rest"))).alias("Target"))
 
 
 def symbols(spark: SparkSession, path: str) -> DataFrame:

@@ -82,7 +82,7 @@ def test_model_and_rerank(spark):
 def test_nulls(spark):
     df = spark.createDataFrame([(None, None), ("a", "bb!!  "), ("a", "")], "ID string, Target string")
     got = profile.label_flags(profile.label_features(df, "Target")).orderBy("max_run").collect()
-    assert len(got) == 3 and [r.max_run for r in got] == [0, 0, 2]
+    assert len(got) == 3 and [r.max_run for r in got] == [1, 1, 2]
     assert profile.overview(df).where("name = 'ID'").first()["missing"] == 1
     assert relations.repeated_ids(df, "ID").count() == 1
     assert relations.coarsen(df, "ID", 2, F.lit("rare")).where("ID = 'rare'").count() == 1
