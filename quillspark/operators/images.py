@@ -65,23 +65,38 @@ def grey(a: np.ndarray) -> np.ndarray:
     return ((a.astype(np.int64) @ np.array(LUMA) + (1 << 15)) >> 16).astype(np.uint8)
 
 
-def spread(old: int, new: int) -> np.ndarray:
-    """Weights [new, old] of a triangle filter that widens when it shrinks, in 2^22ths."""
+def cubic(x: np.ndarray) -> np.ndarray:
+    """The cubic filter with parameter -1/2: near its centre, and up to two away."""
+    a = -0.5
+    x = np.abs(x)
+    return np.where(x < 1, ((a + 2) * x - (a + 3)) * x * x + 1, np.where(x < 2, (((x - 5) * x + 8) * x - 4) * a, 0.0))
+
+
+#: Filters by name: how far they reach, and their weights.
+FILTERS = {"triangle": (1.0, lambda x: np.maximum(1 - np.abs(x), 0)), "cubic": (2.0, cubic)}
+
+
+def spread(old: int, new: int, kind: str = "triangle") -> np.ndarray:
+    """Weights [new, old] of a filter that widens when it shrinks, in 2^22ths."""
+    support, weigh = FILTERS[kind]
     scale = old / new
-    reach = max(scale, 1.0)
+    wide = max(scale, 1.0)
+    reach = support * wide
     centre = (np.arange(new) + 0.5) * scale
     first = np.maximum((centre - reach + 0.5).astype(int), 0)
     last = np.minimum((centre + reach + 0.5).astype(int), old)
     at = np.arange(old)[None, :]
-    w = np.maximum(1 - np.abs((at + 0.5 - centre[:, None]) / reach), 0) * ((at >= first[:, None]) & (at < last[:, None]))
-    return np.floor(w / w.sum(axis=1, keepdims=True) * (1 << 22) + 0.5)
+    w = weigh((at + 0.5 - centre[:, None]) / wide) * ((at >= first[:, None]) & (at < last[:, None]))
+    w = w / w.sum(axis=1, keepdims=True) * (1 << 22)
+    return np.trunc(w + np.where(w < 0, -0.5, 0.5))
 
 
-def resized(a: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear with antialiasing, in whole numbers: first the width, then the height; an axis that keeps its size is left alone."""
+def resized(a: np.ndarray, width: int, height: int, kind: str = "triangle") -> np.ndarray:
+    """Bilinear (triangle) or bicubic with antialiasing, in whole numbers: first the width, then the height; an axis that
+    keeps its size is left alone."""
     for axis, (old, new) in ((1, (a.shape[1], width)), (0, (a.shape[0], height))):
         if old != new:
-            a = np.moveaxis(np.tensordot(spread(old, new), a.astype(np.float64), (1, axis)), 0, axis)
+            a = np.moveaxis(np.tensordot(spread(old, new, kind), a.astype(np.float64), (1, axis)), 0, axis)
             a = np.clip(np.floor((a + (1 << 21)) / (1 << 22)), 0, 255).astype(np.uint8)
     return a
 

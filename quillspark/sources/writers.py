@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chars, symbol_list, tokenize
+from ..functions.text import chars, normalize_text, tokenize
 
 
 def csv(df: DataFrame, path: str, order: list | None = None) -> None:
@@ -66,36 +66,12 @@ def metadata(df: DataFrame, path: str, **more) -> None:
     n.select(*[F.col(c).alias(f"n_{c}") for c in n.columns], *[F.lit(v).alias(k) for k, v in sorted(more.items())]).coalesce(1).write.mode("overwrite").json(path)
 
 
-def pylaia_dataset(df: DataFrame, path: str, unknown: bool = True) -> None:
-    """K-11: for each split the ids, the ids with symbols, the ids with text; the symbols of the training
-    texts; metadata. df: (ID, Target, split). Images stay where they are: image_path tells."""
-    t = F.coalesce("Target", F.lit(""))
-    lines(df, F.col("ID"), f"{path}/ids")
-    lines(df.where("split <> 'test'"), F.concat_ws(" ", "ID", tokenize(t)), f"{path}/tokens")
-    lines(df.where("split <> 'test'"), F.concat_ws(" ", "ID", t), f"{path}/text")
-    if "image_path" in df.columns:
-        lines(df, F.concat_ws("\t", "ID", jpg(F.col("image_path"))), f"{path}/images")
-    letters = df.where("split <> 'test'").select(F.explode(chars(t)).alias("c")).agg(F.collect_set("c").alias("a"))  # an alphabet is small
-    symbols = letters.select(F.posexplode(symbol_list(F.col("a"), unknown)).alias("idx", "symbol"))
-    symbol_file(symbols, f"{path}/syms")
-    metadata(df, f"{path}/metadata", unknown=unknown)
-
-
-def kraken_dataset(df: DataFrame, path: str) -> None:
-    """K-12: the truth of each line in a file of its own (ID.gt.txt, by split), lists of image paths, metadata.
-    df: (ID, Target, split, image_path)."""
-    truth = df.where("split <> 'test'").select("split", F.concat("ID", F.lit(".gt.txt")).alias("file"), F.coalesce("Target", F.lit("")).alias("value"))
-    truth.write.mode("overwrite").partitionBy("split", "file").text(f"{path}/truth")
-    lines(df, F.col("image_path"), f"{path}/lists")
-    metadata(df, f"{path}/metadata")
-
-
 def paddle_dataset(df: DataFrame, path: str, root: str | None = None) -> None:
-    """K-13, K-14: a path, a tab and a text a line, with paths relative to root if given; the characters, one a
+    """K-13, K-14: a path, a tab and a normalised text a line, with paths relative to root if given; the characters, one a
     line; metadata."""
-    own = df.withColumn("shown", shown_path(F.col("image_path"), root))
-    lines(own, F.concat_ws("\t", "shown", F.coalesce("Target", F.lit(""))), f"{path}/labels")
-    char_file(df.where("split <> 'test'"), f"{path}/characters")
+    own = df.withColumns({"shown": shown_path(F.col("image_path"), root), "Target": normalize_text(F.col("Target"))})
+    lines(own, F.concat_ws("\t", "shown", "Target"), f"{path}/labels")
+    char_file(own.where("split <> 'test'"), f"{path}/characters")
     metadata(df, f"{path}/metadata", root=root or "")
 
 
