@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, decoding, ensemble, evaluation, images, integrity, profile, ranks, relations
+from ..shared import fresh_path
 from ..sources import readers
+from ..streaming import resume
 
 PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
  CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 5 = 1 THEN p_name || ' ' || p_type || ' ' || p_brand
@@ -392,6 +394,15 @@ def w04_exact_quantiles(spark, sf_dir):
     return spark.createDataFrame([(c, s, v) for c, own in q.items() for s, v in zip(shares, own)], "name string, share double, value double").withColumn("value", F.round("value", 6))
 
 
+def w11_resumed_work(spark, sf_dir):
+    """Transcripts normalised by a run that stops after two waves of five and by one that goes on from there."""
+    todo = table(spark, sf_dir, "documents").select("doc_id", "text")
+    run = resume.Resumable(spark, fresh_path(spark), "doc_id", "doc_id long, n long, digest string")
+    work = lambda x: x.select("doc_id", F.length(T.normalize_text(F.col("text"))).cast("long").alias("n"), F.md5(T.normalize_text(F.col("text"))).alias("digest"))
+    run.run(todo, work, waves=5, most=2)
+    return run.run(todo, work, waves=2)
+
+
 def a29_best_epoch(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("epoch"), F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n"))
     return relations.best_epoch(x)
@@ -573,6 +584,7 @@ ORACLE_SQL = {
     "w10_line_batches": "SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) // 1000 AS batch FROM lineitem",
     "o03_late_window": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 3000 OFFSET 5000",
     "w04_exact_quantiles": " UNION ALL ".join(f"SELECT '{c}' AS name, {q}::DOUBLE AS share, round(quantile_cont({c}::DOUBLE, {q}), 6) AS value FROM lineitem" for c in ("l_extendedprice", "l_quantity", "l_discount") for q in (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)),
+    "w11_resumed_work": "SELECT doc_id, length(t) AS n, md5(t) AS digest FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS t FROM documents)",
     "a29_best_epoch": "SELECT l_linenumber AS epoch, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem GROUP BY 1 ORDER BY sum(l_discount * l_quantity) / sum(l_quantity), 1 LIMIT 1",
     "j09_submission": "SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1",
     "p02_fold_split": "SELECT CASE WHEN p_partkey % 5 = 2 THEN 'valid' ELSE 'train' END AS split, count(*) AS n FROM part GROUP BY 1",
