@@ -43,14 +43,23 @@ def align(truth: DataFrame, predictions: DataFrame, subset: bool = False) -> Dat
 def scripts(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 8_000_000) -> list[list[tuple[int, int, int]]]:
     """A-02: for each pair of code arrays its steps (op, place in the first, place in the second) from the
     end; ties go to match, substitute, delete, insert in that order. Pairs of like lengths go together, so
-    that a row of the table is one numpy step for all of them; what they end with alike is a match anyway."""
+    that a row of the table is one numpy step for all of them; what they end with alike is a match anyway. A pair
+    whose table has more than so many cells is aligned by itself in less memory."""
     out: list = [None] * len(pairs)
     tails = []
     for a, b in pairs:
         n = min(len(a), len(b))
         same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
         tails.append(n if same.all() else int(same.argmin()))
-    left = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]) - tails[k], len(pairs[k][1]) - tails[k]))
+    left = []
+    for k, (a, b) in enumerate(pairs):
+        n, m = len(a) - tails[k], len(b) - tails[k]
+        if (n + 1) * (m + 1) > cells:  # a table of its own would be too large
+            own = [(MATCH, len(a) - 1 - s, len(b) - 1 - s) for s in range(tails[k])]
+            out[k] = own + long_script(a[:n], b[:m], cells)
+        else:
+            left.append(k)
+    left = sorted(left, key=lambda k: (len(pairs[k][0]) - tails[k], len(pairs[k][1]) - tails[k]))
     while left:
         some, n, m = [], 0, 0
         while left:
@@ -87,6 +96,68 @@ def scripts(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 8_000_000)
     return out
 
 
+FAR = np.int32(1 << 30)
+
+
+def banded(row: np.ndarray, i: int, a: np.ndarray, b: np.ndarray, band: int, ways: np.ndarray | None) -> np.ndarray:
+    """The row of the table below row i - 1, of its places j = i - band to i + band; the choices go to ways."""
+    j = np.arange(i - band, i + band + 1)
+    inside = (j >= 1) & (j <= len(b))
+    differ = np.ones(len(j), bool)
+    differ[inside] = b[j[inside] - 1] != a[i - 1]
+    both = np.where(inside, row + differ, FAR)
+    above = np.append(row[1:], FAR) + 1  # of the same j
+    out = np.where((j >= 0) & (j <= len(b)), np.minimum(both, above), FAR)
+    if i <= band:
+        out[band - i] = i  # j = 0
+    steps = np.arange(len(j), dtype=np.int32)
+    out = np.minimum(np.minimum.accumulate(out - steps) + steps, FAR).astype(np.int32)
+    out[j > len(b)] = FAR
+    if ways is not None:
+        ways[:] = np.where(out == both, differ, np.where(out == above, DELETE, INSERT))
+        if i <= band:
+            ways[band - i] = DELETE
+    return out
+
+
+def long_script(a: np.ndarray, b: np.ndarray, cells: int) -> list[tuple[int, int, int]]:
+    """The steps of one pair from the end, as by the whole table, in memory that grows with the texts and not with
+    their product.
+
+    Every best way keeps within as many places of the diagonal as there are edits, so a band doubles until
+    the distance is within it. One row of the table in every so many is kept; from the last of them on, the
+    choices between two kept rows are made again and followed back."""
+    n, m = len(a), len(b)
+    band = max(64, abs(n - m))
+    while True:
+        band = min(band, max(n, m))
+        every = max(1, min(int(n**0.5) + 1, cells // (2 * band + 1)))
+        j = np.arange(-band, band + 1)
+        row = np.where((j >= 0) & (j <= m), j, FAR).astype(np.int32)
+        kept = [row]
+        for i in range(1, n + 1):
+            row = banded(row, i, a, b, band, None)
+            if i % every == 0:
+                kept.append(row)
+        if row[m - n + band] <= band or band >= max(n, m):
+            break
+        band *= 2
+    i, j, out = n, m, []
+    for k in range(n // every, -1, -1):
+        top = k * every
+        if i > top:
+            row, ways = kept[k], np.empty((i - top, 2 * band + 1), np.uint8)
+            for r in range(top + 1, i + 1):
+                row = banded(row, r, a, b, band, ways[r - top - 1])
+        while i > top:
+            op = int(ways[i - top - 1, j - i + band])
+            i, j = i - (op != INSERT), j - (op != DELETE)
+            out.append((op, i, j))
+        kept.pop() if len(kept) > k else None
+    out += [(INSERT, 0, c) for c in range(j - 1, -1, -1)]
+    return out
+
+
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
