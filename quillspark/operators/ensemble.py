@@ -88,11 +88,18 @@ def weighted(long: DataFrame, weights: dict, priority: list | None = None) -> Da
 
 
 def require_same_ids(anchor: DataFrame, candidates: dict[str, DataFrame]) -> None:
-    """J-05: raises with the first missing and extra IDs of a candidate whose IDs aren't the anchor's."""
-    for name, other in candidates.items():
-        few = lambda a, b: [r[0] for r in a.join(b, "ID", "left_anti").select("ID").orderBy("ID").limit(5).collect()]
-        missing, extra = few(anchor, other), few(other, anchor)
-        if missing or extra:
+    """J-05: raises with the first missing and extra IDs of a candidate whose IDs aren't the anchor's. All tables go
+    through one exchange by ID, in which an ID has a bit for each table; at most 62 candidates."""
+    x = anchor.select("ID", F.lit(1).cast("long").alias("bit"))
+    for k, df in enumerate(candidates.values(), 1):
+        x = x.unionByName(df.select("ID", F.lit(1 << k).cast("long").alias("bit")))
+    x = x.groupBy("ID").agg(F.bit_or("bit").alias("bits"))
+    has = lambda k: F.col("bits").bitwiseAND(F.lit(1 << k)) != 0
+    sides = {"missing": lambda k: has(0) & ~has(k), "extra": lambda k: ~has(0) & has(k)}
+    n = x.agg(*[F.count_if(f(k)).alias(f"{side}{k}") for k in range(1, len(candidates) + 1) for side, f in sides.items()]).first() if candidates else None
+    for k, name in enumerate(candidates, 1):
+        if n[f"missing{k}"] or n[f"extra{k}"]:
+            missing, extra = ([r["ID"] for r in x.where(f(k)).orderBy("ID").limit(5).collect()] for f in sides.values())
             raise ValueError(f"{name}: IDs differ from the anchor's; missing {missing}, extra {extra}")
 
 
@@ -106,9 +113,15 @@ def stacked(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def require_same_order(sources: dict[str, DataFrame]) -> None:
-    """J-06: raises unless all tables (ID, pos) have the same ID at each place."""
-    first, *rest = sources.items()
-    for name, df in rest:
-        a, b = first[1].select(F.col("pos"), F.col("ID").alias("a")), df.select(F.col("pos"), F.col("ID").alias("b"))
-        if bad := a.join(b, "pos", "full").where(~F.col("a").eqNullSafe(F.col("b"))).orderBy("pos").limit(1).collect():
-            raise ValueError(f"{name}: its IDs aren't in the order of {first[0]}'s, from place {bad[0]['pos']} on")
+    """J-06: raises unless all tables (ID, pos) have the same ID at each place; one exchange of each by place."""
+    first, *rest = sources
+    x = None
+    for k, df in enumerate(sources.values()):
+        own = df.select("pos", F.lit(k).alias("k"), F.struct("ID").alias("id"))
+        x = own if x is None else x.unionByName(own)
+    at = lambda k: F.first(F.when(F.col("k") == k, F.col("id")), True)
+    x = x.groupBy("pos").agg(*[at(k).alias(f"id{k}") for k in range(len(sources))])
+    bad = x.agg(*[F.min(F.when(~F.col("id0").eqNullSafe(F.col(f"id{k}")), F.col("pos"))).alias(f"p{k}") for k in range(1, len(sources))]).first() if rest else ()
+    for name, pos in zip(rest, bad):
+        if pos is not None:
+            raise ValueError(f"{name}: its IDs aren't in the order of {first}'s, from place {pos} on")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .. import ship
 from ..functions.text import digit_ratio, normalize_text, punctuation_ratio, words
+from ..shared import written
 
 MATCH, SUBSTITUTE, DELETE, INSERT = range(4)
 NAMES = ("match", "substitute", "delete", "insert")
@@ -27,17 +28,24 @@ def require_columns(df: DataFrame, names: list[str], label: str) -> DataFrame:
 
 def align(truth: DataFrame, predictions: DataFrame, subset: bool = False) -> DataFrame:
     """J-02, J-03, P-04: (ID, reference, prediction); raises on repeated, unknown or missing ids; with
-    subset only the predicted IDs of truth count."""
-    for df, label in ((truth, "truth"), (predictions, "predictions")):
+    subset only the predicted IDs of truth count. A null ID is an ID.
+
+    Both tables go through one exchange by ID and are written once; what is wrong is counted as they are written, and
+    looked up only if there is any."""
+    sides = []
+    for k, (df, label) in enumerate(((truth, "truth"), (predictions, "predictions"))):
         require_columns(df, ["ID", "Target"], label)
-        if twice := [r[0] for r in df.groupBy("ID").count().where("count > 1").orderBy("ID").limit(10).collect()]:
-            raise ValueError(f"{label}: repeated IDs {twice}")
-    if subset:
-        truth = truth.join(predictions.select("ID"), "ID", "left_semi")
-    for a, b, label in ((predictions, truth, "unknown"), (truth, predictions, "missing")):
-        if found := [r[0] for r in a.join(b, "ID", "left_anti").select("ID").orderBy("ID").limit(10).collect()]:
-            raise ValueError(f"{label} IDs {found}")
-    return truth.select("ID", F.col("Target").alias("reference")).join(predictions.select("ID", F.col("Target").alias("prediction")), "ID", "left")
+        sides.append(df.select(F.col("ID"), F.lit(k).alias("side"), F.col("Target").cast("string").alias("text")))
+    of = lambda k: F.col("side") == k
+    both = sides[0].unionByName(sides[1]).groupBy("ID").agg(*[F.count_if(of(k)).alias(f"n{k}") for k in (0, 1)], *[F.first(F.when(of(k), F.col("text")), True).alias(n) for k, n in enumerate(("reference", "prediction"))])
+    both = both.where("n1 > 0 or n0 > 1") if subset else both
+    wrong = {"truth: repeated": "n0 > 1", "predictions: repeated": "n1 > 1", "unknown": "n0 = 0", "missing": "n1 = 0"}
+    seen = Observation()
+    out = written(both.observe(seen, *[F.count_if(F.expr(c)).alias(f"w{k}") for k, c in enumerate(wrong.values())]))
+    for (what, condition), n in zip(wrong.items(), (seen.get[f"w{k}"] for k in range(len(wrong)))):
+        if n:
+            raise ValueError(f"{what} IDs {[r['ID'] for r in out.where(condition).orderBy('ID').limit(10).collect()]}")
+    return out.select("ID", "reference", "prediction")
 
 
 def scripts(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 8_000_000) -> list[list[tuple[int, int, int]]]:
