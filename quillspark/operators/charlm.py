@@ -110,7 +110,7 @@ class ArrayModel:
         return np.where((met == head[:, :-1]).all(axis=1), total, 0)
 
     def keys(self, grams: np.ndarray) -> np.ndarray:
-        return np.ascontiguousarray(grams).view(f"S{4 * self.order}").ravel()
+        return np.ascontiguousarray(grams, ">u4").view(f"S{4 * self.order}").ravel()
 
     def chances(self, grams: np.ndarray) -> np.ndarray:
         """Log-probabilities of whole n-grams [k, order]; equal ones are looked up once."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, decoding, ensemble, evaluation, images, integrity, profile, ranks, relations
+from ..operators import audit, charlm, decoding, ensemble, evaluation, images, integrity, profile, ranks, relations
 from ..shared import fresh_path
-from ..sources import readers
+from ..sources import datasets, imageheaders, manifests, readers
 from ..streaming import resume
 
 PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
@@ -394,6 +394,72 @@ def w04_exact_quantiles(spark, sf_dir):
     return spark.createDataFrame([(c, s, v) for c, own in q.items() for s, v in zip(shares, own)], "name string, share double, value double").withColumn("value", F.round("value", 6))
 
 
+def line_manifests(spark, sf_dir):
+    """Images with labels as texts and five folds, and those without."""
+    x = pictures(spark, sf_dir).select("ID", F.concat(F.lit(" label  "), "Target", F.lit(" (x)")).alias("Target"), F.expr("cast(ID as int) % 6").alias("fold"), "width", "height", "channels", "pixels")
+    return x.where("fold < 5"), x.where("fold = 5").drop("Target", "fold")
+
+
+def k12_line_files(spark, sf_dir):
+    """Images and truth written as files, then read back: sizes from headers, truth from its files."""
+    path = fresh_path(spark)
+    datasets.kraken_dataset(*line_manifests(spark, sf_dir), path, fold=1, height=16, fanout=8)
+    split = F.element_at(F.split("image_path", "/"), -3)
+    images_ = imageheaders.sizes(spark, path, "*.png").select("ID", split.alias("split"), "width", "height", "mode")
+    truth = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True, pathGlobFilter="*.gt.txt").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.gt\.txt$", 1).alias("own"), F.col("value").alias("truth"))
+    return images_.join(truth, F.col("ID") == F.col("own"), "left").drop("own")
+
+
+def k11_tables(spark, sf_dir):
+    """The tables of a data set as lines of their files."""
+    path = fresh_path(spark)
+    datasets.pylaia_dataset(*line_manifests(spark, sf_dir), path, fold=1, height=16)
+    return spark.read.text(path, pathGlobFilter="*.txt").select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+
+
+def t15_model_scores(spark, sf_dir):
+    """Names by a model of order 3 that was learned from them, counted, written and mapped back."""
+    path, part = fresh_path(spark), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    charlm.train(part, "p_name", path, 3, 0.5, extra="^~")
+    return charlm.scores(part, "p_name", charlm.load(spark, path)).select("p_partkey", "steps", F.round("log_prob", 6).alias("log_prob"))
+
+
+def d02_model_search(spark, sf_dir):
+    """Beam search with a language model in its scores."""
+    path, x = fresh_path(spark), logits(spark, sf_dir)
+    charlm.train(audit.greedy_decode(x, "logits", "ABCDEFG"), "text", path, 3)
+    lm = charlm.load(spark, path)
+    return decoding.beam_decode(x, "logits", "ABCDEFG", candidates=3, beam=10, lm=lm, lm_weight=0.3).select("vec_id", decoding.payload(F.col("candidates")).alias("candidates"))
+
+
+def j02_aligned_pairs(spark, sf_dir):
+    x = pairs(spark, sf_dir)
+    return evaluation.align(x.select("ID", F.col("reference").alias("Target")), x.select("ID", F.col("prediction").alias("Target")))
+
+
+def j03_aligned_subset(spark, sf_dir):
+    x = pairs(spark, sf_dir)
+    return evaluation.align(x.select("ID", F.col("reference").alias("Target")), x.where("cast(ID as long) % 3 = 0").select("ID", F.col("prediction").alias("Target")), subset=True)
+
+
+def j05_stacked(spark, sf_dir):
+    """Checked and stacked: five sources of one set of IDs."""
+    x = sources(spark, sf_dir)
+    own = {f"s{k}": x.where(F.col("source_idx") == k).select("ID", F.col("text").alias("Target")) for k in range(5)}
+    ensemble.require_same_ids(own["s0"], {k: v for k, v in own.items() if k != "s0"})
+    return ensemble.stacked(own)
+
+
+def p03_stored_fold(spark, sf_dir):
+    """A fold of a stored manifest with the rows of another stored table, joined by buckets."""
+    tag = fresh_path(spark).rsplit("-", 1)[-1]
+    o = table(spark, sf_dir, "orders")
+    lines = o.select(F.col("o_orderkey").alias("ID"), (F.col("o_orderkey") % 5).alias("fold"), "o_orderpriority")
+    manifests.store(lines, f"lines_{tag}", fresh_path(spark), 8)
+    files = manifests.store(o.select(F.col("o_orderkey").alias("ID"), F.concat(F.lit("/im/"), "o_orderkey").alias("image_path")), f"files_{tag}", fresh_path(spark), 8, fold=None)
+    return relations.attach(manifests.load(spark, f"lines_{tag}", fold=2), files, "ID", "image_path")
+
+
 def w11_resumed_work(spark, sf_dir):
     """Transcripts normalised by a run that stops after two waves of five and by one that goes on from there."""
     todo = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -472,7 +538,7 @@ def w05_coarsen(spark, sf_dir):
     return relations.coarsen(x, "label", 3, F.col("p_brand")).select("p_partkey", "label")
 
 
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[:3].rstrip("0123456789") in tuple("spjawotdu") and k[1:3].isdigit()}
+QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and k[:3].rstrip("0123456789") in tuple("spjawotduk") and k[1:3].isdigit()}
 NORMAL = f"(SELECT ID, trim(regexp_replace(reference, '\\s+', ' ', 'g')) AS r, trim(regexp_replace(prediction, '\\s+', ' ', 'g')) AS p FROM {PAIRS_SQL})"
 WORDS = "list_filter(string_split({}, ' '), lambda w: w <> '')"
 #: Words as characters of one byte, which levenshtein counts; a row has few words.
@@ -511,7 +577,20 @@ def vote_sql(weight, rank):
  SELECT s.ID, s.text AS anchor_text, coalesce(b.text, s.text) AS text, coalesce(b.who, s.source) AS chosen_source, 'weighted_vote' AS strategy, coalesce(b.text, s.text) <> s.text AS changed, coalesce(b.text, s.text) AS top_text, coalesce(b.score, 0)::DOUBLE AS votes, candidates, length(s.text) AS anchor_len, length(coalesce(b.text, s.text)) AS chosen_len, median_len, length(coalesce(b.text, s.text)) - length(s.text) AS len_change FROM s LEFT JOIN b ON b.ID = s.ID JOIN m ON m.ID = s.ID WHERE s.source_idx = 0"""
 
 
+LINES_SQL = "(SELECT cast(vec_id AS varchar) AS ID, CASE vec_id % 6 WHEN 5 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, 'label ' || label || ' (x)' AS t FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"
+MODEL = f"""p AS (SELECT ['<s>', '<s>'] || string_split(p_name, '') || ['</s>'] AS p, p_partkey FROM part), g AS (SELECT p_partkey, p[k] || '|' || p[k + 1] AS c, p[k + 2] AS t FROM (SELECT *, unnest(range(1, len(p) - 1)) AS k FROM p)), n AS (SELECT c, t, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT c, sum(n) AS m FROM n GROUP BY c), v AS (SELECT count(DISTINCT t) + 2 AS v FROM g)"""
+
+
 ORACLE_SQL = {
+    "k12_line_files": f"SELECT ID, split, 16 AS width, 16 AS height, 'L' AS mode, CASE WHEN split <> 'test' THEN t || chr(10) END AS truth FROM {LINES_SQL}",
+    "k11_tables": f"""WITH l AS (SELECT *, split || '/' || ID AS name, list_aggregate(list_transform(string_split(t, ''), lambda c: CASE c WHEN ' ' THEN '<space>' ELSE c END), 'string_agg', ' ') AS symbols FROM {LINES_SQL}),
+ a AS (SELECT list_sort(list_distinct(flatten(list(string_split(replace(t, ' ', ''), ''))))) AS a FROM l WHERE split <> 'test'), s AS (SELECT ['<ctc>'] || a || ['<unk>', '<space>'] AS s FROM a)
+ SELECT split || '.txt' AS file, name || CASE split WHEN 'test' THEN '' ELSE ' ' || symbols END AS line FROM l UNION ALL SELECT split || '_text.txt', name || CASE split WHEN 'test' THEN '' ELSE ' ' || t END FROM l UNION ALL SELECT split || '_ids.txt', name FROM l UNION ALL SELECT 'syms.txt', s[i] || ' ' || (i - 1) FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM s)""",
+    "t15_model_scores": f"WITH {MODEL} SELECT p_partkey, count(*) AS steps, round(sum(ln((n + 0.5) / (m + 0.5 * v))), 6) AS log_prob FROM g JOIN n ON n.c = g.c AND n.t = g.t JOIN m ON m.c = g.c, v GROUP BY p_partkey",
+    "j02_aligned_pairs": f"SELECT * FROM {PAIRS_SQL}",
+    "j03_aligned_subset": f"SELECT * FROM {PAIRS_SQL} WHERE ID::BIGINT % 3 = 0",
+    "j05_stacked": f"SELECT ID, source_idx, 's' || source_idx AS source, text FROM ({SOURCES_SQL})",
+    "p03_stored_fold": "SELECT o_orderkey AS ID, o_orderpriority, o_orderkey % 5 AS fold, '/im/' || o_orderkey AS image_path FROM orders WHERE o_orderkey % 5 = 2",
     "a04_row_errors": f"SELECT *, char_edits AS char_kinds, word_edits AS word_kinds, pred_char_len - ref_char_len AS char_net, pred_word_len - ref_word_len AS word_net FROM {ROWS}",
     "a05_corpus_summary": f"SELECT *, round(0.5 * ue / ur + 0.5 * char_edits / ref_chars, 6) AS score FROM (SELECT count(*) AS row_count, sum(exact_match::INT)::BIGINT AS exact_rows, round(avg(exact_match::INT), 6) AS exact_rate, sum(char_edits)::BIGINT AS char_edits, sum(ref_char_len)::BIGINT AS ref_chars, sum(word_edits)::BIGINT AS word_edits, sum(ref_word_len)::BIGINT AS ref_words, round(avg(char_edits / ref_char_len), 6) AS mean_row_cer, round(avg(word_edits / ref_word_len), 6) AS mean_row_wer, round(sum(char_edits) / sum(ref_char_len), 6) AS cer, round(sum(word_edits) / sum(ref_word_len), 6) AS wer, sum(word_edits) AS ue, sum(ref_word_len) AS ur FROM {ROWS})".replace("SELECT *, round(0.5", "SELECT * EXCLUDE (ue, ur), round(0.5", 1),
     "a06_confusion_totals": f"SELECT sum(char_edits)::BIGINT AS edits, sum(pred_char_len - ref_char_len)::BIGINT AS net FROM {ROWS}",

@@ -42,6 +42,9 @@ def test_same_probabilities(spark, tmp_path, monkeypatch, order, records):
     for prefix in ["", "a", "zz", *texts[:20]]:
         for token in ("a", "é", "\U0001f600", "x", "q", "</s>"):
             assert math.isclose(lm.log_prob(prefix, token), prob(prefix, token), abs_tol=1e-12), (prefix, token)
+    for r in charlm.scores(df, "t", lm).collect():
+        t = r.t or ""
+        assert r.steps == len(t) + 1 and math.isclose(r.log_prob, sum(prob(t[:i], c) for i, c in enumerate([*t, "</s>"])), abs_tol=1e-9)
     assert (len(lm.files) > 1) == (records < 4_000_000)
     with pytest.raises(ValueError):
         charlm.train(df, "t", str(tmp_path / "x"), 0)
