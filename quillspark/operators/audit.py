@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import ship
 from ..functions.text import chars, ctc_collapse, normalize_text, repeats, resized_width, words
@@ -114,12 +115,29 @@ def duplicate_groups(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.groupBy(F.md5(text).alias("digest")).agg(F.count("*").alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id")).where("n > 1")
 
 
+def first_of(rows: DataFrame, by: str, at: str, most: int | None, name: str, value: str) -> DataFrame:
+    """(by, name): the values of each group in the order of at, most of them at most. A group is cut in salted slices first, so
+    that a hot one is many tasks and never an array of all its rows."""
+    if most:
+        slices = Window.partitionBy(by, F.pmod(F.xxhash64(at), F.lit(64))).orderBy(at, value)
+        rows = rows.withColumn("place_", F.row_number().over(slices)).where(F.col("place_") <= most)
+    found = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v"))))
+    values = F.transform(found, lambda r: r["v"])
+    return rows.groupBy(F.col(by).alias(f"{name}_of")).agg((F.slice(values, 1, most) if most else values).alias(name))
+
+
 def duplicate_images(df: DataFrame, by: str, label: str, most: int | None = None) -> DataFrame:
     """A-21: groups of (ID, label, by, file_md5) with one value of by: rows, distinct files and labels, the ids and
     the labels in the order of ids, most of them at most."""
-    own = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n"), F.count_distinct("file_md5").alias("unique_files"), F.count_distinct(label).alias("unique_labels"), F.array_sort(F.collect_list(F.struct(F.col("ID").alias("id"), F.col(label).alias("label")))).alias("rows")).where("n > 1")
-    cut = lambda c: F.slice(c, 1, most) if most else c
-    return own.select(by, "n", "unique_files", "unique_labels", cut(F.transform("rows", lambda r: r["id"])).alias("ids"), cut(F.array_distinct(F.transform("rows", lambda r: r["label"]))).alias("labels"))
+    own = df.where(F.col(by).isNotNull()).select(by, "ID", F.col(label).alias("label_"), "file_md5")
+    groups = own.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct("file_md5").alias("unique_files"), F.count_distinct("label_").alias("unique_labels")).where("n > 1")
+    several = own.join(groups.select(by), by, "left_semi")
+    labels = several.groupBy(by, "label_").agg(F.min("ID").alias("first_id")).where("label_ is not null")
+    out = groups
+    for part in (first_of(several, by, "ID", most, "ids", "ID"), first_of(labels, by, "first_id", most, "labels", "label_")):
+        key, = (c for c in part.columns if c.endswith("_of"))
+        out = out.join(part, F.col(by) == F.col(key), "left").drop(key)
+    return out.select(by, "n", "unique_files", "unique_labels", "ids", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
 
 def duplicate_members(df: DataFrame, key: str) -> DataFrame:

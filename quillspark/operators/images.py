@@ -20,6 +20,7 @@ from .relations import attach
 LUMA = (19595, 38470, 7471)
 #: Limits of dark, ink at a border, and bright pixels; the border's share of the shorter side.
 DARK, INK, BRIGHT, BORDER = 80, 220, 245, 0.05
+#: The names of the metrics.
 METRICS = ["brightness_mean", "brightness_median", "contrast_std", "p01", "p99", "dynamic_range_1_99", "dark_pixel_ratio", "bright_pixel_ratio", "foreground_ratio", "sharpness_grad_var", "top_foreground_ratio", "bottom_foreground_ratio", "left_foreground_ratio", "right_foreground_ratio"]
 
 
@@ -137,7 +138,7 @@ def quality(images: DataFrame) -> DataFrame:
 
 
 def quality_flags(x: DataFrame) -> DataFrame:
-    """P-13: seven flags of quality's columns and their number; a null metric raises no flag."""
+    """P-13: seven flags of quality's columns and their number; a null metric raises no flag. The limits are fixed values."""
     flag = {
         "flag_almost_blank": F.expr("readable and contrast_std < 4 and foreground_ratio < 0.01"), "flag_too_dark": F.col("brightness_mean") < 80,
         "flag_too_bright_low_foreground": F.expr("brightness_mean > 245 and foreground_ratio < 0.01"), "flag_low_dynamic_range": F.col("dynamic_range_1_99") < 20, "flag_low_sharpness": F.col("sharpness_grad_var") < 5,

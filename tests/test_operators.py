@@ -150,6 +150,41 @@ def test_images(tmp_path, spark):
             images.scaled(row, **how)
 
 
+def test_resized_pixels():
+    """Against the filter's definition, pixel by pixel: weights in 2^22ths, the width first, rounding between."""
+    def weight(x):
+        return max(0.0, 1 - abs(x))
+
+    def line(values, new):
+        old, out = len(values), []
+        for k in range(new):
+            wide = max(1.0, old / new)
+            middle = (k + 0.5) * old / new
+            own = {i: weight((i + 0.5 - middle) / wide) for i in range(max(0, int(middle - wide + 0.5)), min(old, int(middle + wide + 0.5)))}
+            whole = {i: int(w / sum(own.values()) * (1 << 22) + 0.5) for i, w in own.items()}
+            out.append(min(255, max(0, (sum(values[i] * w for i, w in whole.items()) + (1 << 21)) >> 22)))
+        return out
+
+    rng = np.random.default_rng(9)
+    for high, wide, new_high, new_wide in ((8, 8, 4, 4), (5, 9, 7, 3), (3, 4, 8, 16), (30, 50, 8, 8), (1, 1, 2, 2)):
+        a = rng.integers(0, 256, (high, wide, 1), dtype=np.uint8)
+        rows = [line(r, new_wide) for r in a[:, :, 0].tolist()] if wide != new_wide else a[:, :, 0].tolist()
+        want = [list(c) for c in zip(*[line(list(c), new_high) for c in zip(*rows)])] if high != new_high else rows
+        assert images.resized(a, new_wide, new_high)[:, :, 0].tolist() == want
+
+
+def test_hot_group_of_images(spark):
+    rows = [(f"k{i:04d}", "h", f"l{i % 90 if i % 7 else i % 3}", f"f{i % 5}") for i in range(900)] + [("z", "x", "l", "f"), ("y1", "y", None, "f"), ("y2", "y", "b", "f"), ("n", None, "l", "f")]
+    df = spark.createDataFrame(rows, "ID string, h string, label string, file_md5 string").repartition(7)
+    from quillspark.operators import audit
+
+    for most in (None, 20):
+        got = {r.h: r for r in audit.duplicate_images(df, "h", "label", most).collect()}
+        want = list(dict.fromkeys(r[2] for r in rows[:900]))
+        assert set(got) == {"h", "y"} and (got["h"].n, got["h"].unique_files, got["h"].unique_labels) == (900, 5, len(want))
+        assert got["h"].ids == [r[0] for r in rows[:900]][:most] and got["h"].labels == want[:most] and got["y"].labels == ["b"]
+
+
 def test_image_files(tmp_path, spark):
     import struct
     import zlib
