@@ -3,9 +3,11 @@
 Values that pass validation (card numbers by Luhn's rule, account numbers by their remainder of 97,
 dates by the calendar, addresses by their ranges, social security numbers by those never given out) are
 permuted within their format by a keyed Feistel network with cycle walking, after their
-separators are taken out; the same key thus gives equal values equal pseudonyms in all documents.
-Pseudonyms keep length, letter case, separators, the check digits' validity and the calendar's; values
-that differ in letter case alone stay linked. Values that fail validation stay as they are.
+separators are taken out (a pseudonym that fails its rule is permuted again); the same key thus gives equal values equal pseudonyms in all documents.
+Pseudonyms keep length, letter case, separators, script, the check digits' validity and the calendar's; values
+that differ in letter case alone stay linked. Values that fail validation stay as they are, and what begins within
+them is tried. Days of 1900 to 2099 stay within these years, all others without them. A dotted number after
+"version" or "v" is no address.
 Secrets (access keys, tokens, passwords) are permuted over their own alphabet in the same way."""
 
 from __future__ import annotations
@@ -24,17 +26,21 @@ from .common import arrow_rows
 ROUNDS = 10
 #: Fixed patterns of the formats that are looked for.
 EMAIL = r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.\-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24})"
-SECRET = r"(?P<secret>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=token=)|(?<=token = \")|(?<=token=\")|(?<=api_key=)|(?<=key = \"))[A-Za-z0-9_\-]{8,128})"
+#: What stands before a secret: name=value, name = "value", "name": "value", name: value.
+NAMED = r"(?i:(?:password|passwd|secret|token|api_key)(?:=[\"']?| ?= ?[\"']|[\"'] ?: ?[\"'])|(?:password|passwd|token|api_key): ?[\"']?|(?<=key = \"))"
+SECRET = rf"(?:(?<![A-Za-z0-9])(?=A[KS]IA[A-Z0-9]{{16}}(?![A-Za-z0-9]))|{NAMED})(?P<secret>(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|[A-Za-z0-9_\-]{{8,128}})"
 DATE = r"(?P<date>(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d\-/]))"
-ADDRESS = r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
+ADDRESS = r"(?P<ip>(?<![\d.])(?<![vV])(?<![vV]ersion )(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
 SSN = r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))"
 PHONE = r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3,4}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d))"
 CARD = r"(?P<card>(?<![\d\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-]))"
 IBAN = r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
-FOUND = re.compile("|".join((EMAIL, SECRET, IBAN, DATE, ADDRESS, SSN, PHONE, CARD)))
+FORMATS = dict(email=EMAIL, secret=SECRET, iban=IBAN, date=DATE, ip=ADDRESS, ssn=SSN, phone=PHONE, card=CARD)
+FOUND = re.compile("|".join(FORMATS.values()))
+ONE = {kind: re.compile(p) for kind, p in FORMATS.items()}
 #: A line with a match of FOUND holds one of these.
 HINT = re.compile(r"[\d@]|password|passwd|secret|token|key|AKIA|ASIA", re.I)
-FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31
+FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # 1900-01-01 to 2099-12-31, which stay among themselves
 
 
 def luhn(digits: str) -> bool:
@@ -83,8 +89,34 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def other_day(x: int, key: bytes) -> int:
+    """The pseudonym of a day's number: of 1900 to 2099 if it is one of these, else of all other years up to 9999."""
+    if FIRST <= x < FIRST + DAYS:
+        return permute(x - FIRST, DAYS, key, "date") + FIRST
+    before = FIRST - 1  # days are numbered from 1
+    y = permute(x - 1 if x < FIRST else x - 1 - DAYS, datetime.date.max.toordinal() - DAYS, key, "far date")
+    return y + 1 if y < before else y + 1 + DAYS
+
+
+def issued(digits: str) -> bool:
+    """Whether a social security number is one that may be given out."""
+    return not (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000")
+
+
 def pseudonym(kind: str, s: str, key: bytes) -> str | None:
-    """The value's pseudonym, or None where it isn't valid."""
+    """The value's pseudonym, or None where it isn't valid. Digits of other scripts count by their value, and those of the
+    pseudonym are of the first one's script."""
+    if s.isascii() or not (own := next((c for c in s if c.isdecimal() and not c.isascii()), None)):
+        return plain_pseudonym(kind, s, key)
+    zero = ord(own) - int(own)
+    new = plain_pseudonym(kind, "".join(str(int(c)) if c.isdecimal() else c for c in s), key)
+    if new is None:
+        return None
+    where = [not c.isascii() for c in s] if len(new) == len(s) else [True] * len(new)
+    return "".join(chr(zero + int(c)) if at and c.isdigit() else c for c, at in zip(new, where))
+
+
+def plain_pseudonym(kind: str, s: str, key: bytes) -> str | None:
     digits = "".join(c for c in s if c.isdigit())
     if kind == "email":
         name, _, host = s.partition("@")
@@ -97,8 +129,13 @@ def pseudonym(kind: str, s: str, key: bytes) -> str | None:
         body = mixed(plain[4:].lower(), key, "iban").upper()
         new = iter(plain[:2] + f"{98 - remainder(plain[:2] + '00' + body):02}" + body)
         return "".join(c if c == " " else next(new) for c in s)
-    if kind == "ssn" and (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000"):
-        return None
+    if kind == "ssn":
+        if not issued(digits):
+            return None
+        new = digits
+        while not issued(new := f"{permute(int(new), 10**9, key, 'ssn9'):09d}"):  # on to the next that is
+            pass
+        return refill(s, new)
     if kind == "secret":
         head = s[:4] if s[:4] in ("AKIA", "ASIA") else ""
         return head + mixed(s[len(head) :], key, "secret")
@@ -116,10 +153,10 @@ def pseudonym(kind: str, s: str, key: bytes) -> str | None:
                 if m > 12:
                     m, d = d, m
                     put = lambda v: f"{v.day:02}/{v.month:02}/{v.year:04}"
-            x = datetime.date(y, m, d).toordinal() - FIRST
+            x = datetime.date(y, m, d).toordinal()
         except ValueError:
             return None
-        return put(datetime.date.fromordinal(permute(x, DAYS, key, "date") + FIRST)) if 0 <= x < DAYS else None
+        return put(datetime.date.fromordinal(other_day(x, key)))
     if kind == "ip":
         p = [int(x) for x in s.split(".")]
         if max(p) > 255:
@@ -140,18 +177,37 @@ def pseudonym(kind: str, s: str, key: bytes) -> str | None:
 def rewrite(text: str, key: bytes, known: dict) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of what was found, in the characters of text."""
     spans, out, at, begin = [], [], 0, 0
+
+    def told(kind: str, value: str) -> str | None:
+        pair = (kind, value)
+        if pair not in known:
+            if len(known) > 200_000:
+                known.clear()
+            known[pair] = pseudonym(kind, value, key)
+        return known[pair]
+
+    def valid(m: re.Match, end: int) -> tuple[str, re.Match, str] | None:
+        """The match, or one of a later format at its place, that is valid."""
+        kinds = list(ONE)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            own = m if kind == m.lastgroup else ONE[kind].match(text, m.start(), end)
+            if own and (new := told(kind, own[kind])) is not None:
+                return kind, own, new
+        return None
+
     for line in text.split("\n"):
-        for m in FOUND.finditer(text, begin, begin + len(line)) if HINT.search(line) else ():
-            pair = (m.lastgroup, m[0])
-            if pair not in known:
-                if len(known) > 200_000:
-                    known.clear()
-                known[pair] = pseudonym(*pair, key)
-            if (new := known[pair]) is not None:
-                spans.append((m.lastgroup, m.start(), m.end()))
-                out += [text[at : m.start()], new]
-                at = m.end()
-        begin += len(line) + 1
+        place, end = begin, begin + len(line)
+        if HINT.search(line):
+            while m := FOUND.search(text, place, end):
+                if got := valid(m, end):
+                    kind, own, new = got
+                    spans.append((kind, own.start(kind), own.end(kind)))
+                    out += [text[at : own.start(kind)], new]
+                    at = own.end(kind)
+                    place = max(at, m.start() + 1)
+                else:  # what begins within it may be valid
+                    place = m.start() + 1
+        begin = end + 1
     return "".join([*out, text[at:]]) if spans else text, spans
 
 

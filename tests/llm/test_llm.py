@@ -36,6 +36,29 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_pii_within_what_fails():
+    key = b"k" * 32
+    for text, kind, value in (("ID12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("token: abcdefghijkl.", "secret", "abcdefghijkl"), ('{"password": "hunter2hunter2"}', "secret", "hunter2hunter2"), ("born 1815-12-10", "date", "1815-12-10"), ("in 12.10.2492 so", "date", "12.10.2492"), ("999-12-3456 4111111111111111", "card", "4111111111111111"), ("password=abcdefgh1", "secret", "abcdefgh1")):
+        new, spans = pii.rewrite(text, key, {})
+        assert [(k, text[a:b]) for k, a, b in spans] == [(kind, value)] and value not in new and len(new) == len(text), text
+    for text in ("version 1.2.3.4", "v1.2.3.4 is out", "token = get_token()", "0000-00-00", "the key: understanding"):
+        assert pii.rewrite(text, key, {}) == (text, []), text
+    new = pii.pseudonym("card", "\u0664" + "\u0661" * 15, key)
+    assert all("\u0660" <= c <= "\u0669" for c in new) and pii.luhn("".join(str(int(c)) for c in new))
+    assert "".join(str(int(c)) for c in new) == pii.pseudonym("card", "4" + "1" * 15, key)
+
+
+def test_pii_stays_within_what_is_valid():
+    key = b"q" * 32
+    numbers = [f"{a:03}-{b:02}-{c:04}" for a in range(1, 900, 13) for b in range(1, 100, 9) for c in (1, 77, 9999) if a != 666]
+    new = [pii.pseudonym("ssn", x, key) for x in numbers]
+    assert len(set(new)) == len(numbers) and all(pii.issued(x.replace("-", "")) for x in new)
+    days = [pii.other_day(x, key) for x in range(1, 3_652_060, 371)]
+    assert len(set(days)) == len(days) and 1 <= min(days) and max(days) <= 3_652_059
+    near = lambda x: pii.FIRST <= x < pii.FIRST + pii.DAYS
+    assert [near(x) for x in range(1, 3_652_060, 371)] == [near(x) for x in days]
+
+
 def test_suffix_dedup_brute(docs):
     rows = sorted(((r.doc_id if r.doc_id is not None else suffixdedup.LAST, (r.text or "").encode()) for r in docs.collect()), key=lambda r: r[0])
     starts: dict = {}
