@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def local(path: str) -> str:
 
 def save(folder: str, name: str, a: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
-    part = f"{folder}/.{name}.{os.getpid()}.npy"
+    part = f"{folder}/.{name}.{uuid.uuid4().hex}.npy"  # attempts on several machines may have one pid
     np.save(part, a)
     os.replace(part, f"{folder}/{name}.npy")
 
