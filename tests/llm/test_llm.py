@@ -514,6 +514,19 @@ def test_every_license_of_a_block(spark):
     assert [(x.license, x.line) for x in got[5].found] == [("MIT", 0), ("MIT", 2), ("ISC", 3)] and got[3].found[0].line == 1
 
 
+def test_ranking_decides():
+    """A template that saves nothing is never confirmed, and the one that saves the most takes the words that two share."""
+    t = licenses.TEMPLATES
+    one = lambda text, names=None: [x[1] for x in licenses.Scanner({k: t[k] for k in names or t}).block(text)]
+    assert one(t["MIT-text"]) == ["MIT-text"] and one(t["MIT-text"], ["MIT-grant", "ISC"]) == ["MIT-grant"] and one(t["BSD-text"]) == ["BSD-text"]
+    assert one("Licensed under GPL version 3.") == ["GPL-3.0-short"] and one("// SPDX-License-Identifier: MIT") == ["SPDX-MIT"] and one(t["Apache-2.0-header"]) == ["Apache-2.0-header"]
+    scanner = licenses.Scanner(t)
+    scanner.ranked = lambda text, names: []
+    assert scanner.block(t["MIT-text"]) == []
+    scanner = licenses.Scanner({"a": t["MIT-grant"], "b": t["MIT-text"]})
+    assert [k for _, k in scanner.ranked(t["MIT-text"], {"a", "b"})] == ["b", "a"] and scanner.ranked(prose(random.Random(4), 200), {"a", "b"}) == []
+
+
 def test_license_versions(spark):
     t = licenses.TEMPLATES
     rows = [(1, "Licensed under the Apache License, Version 1.1."), (2, "Licensed under the Apache License, Version 9.7."), (3, "x " * 100_000 + t["CC0-1.0"]), (3, t["CC0-1.0"]), (None, t["EUPL-1.2"]), (4, t["GPL-3.0"].replace("3", "2"))]
