@@ -239,10 +239,6 @@ def u05_alphabets(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(integrity.alphabet_union(a, b), "").alias("both"), F.array_join(integrity.collisions(a, ["a", "z", "~"]), "").alias("shared"))
 
 
-def j13_run_grid(spark, sf_dir):
-    return integrity.grid(spark, fold=list(range(5)), beam=[5, 10], lm=[0.0, 0.5])
-
-
 def d06_output_steps(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", integrity.output_steps(F.col("p_size"), 4).alias("steps"))
 
@@ -625,7 +621,6 @@ ORACLE_SQL = {
     "p14_consistency_flags": """WITH x AS (SELECT p_partkey AS ID, p_size::DOUBLE AS w, length(p_name) AS n, p_size / length(p_name) AS pixels_per_char FROM part), m AS (SELECT median(pixels_per_char) AS med, quantile_cont(n, 0.05) AS n5, quantile_cont(n, 0.95) AS n95, quantile_cont(w, 0.05) AS w5, quantile_cont(w, 0.95) AS w95 FROM x), d AS (SELECT median(abs(pixels_per_char - med)) AS mad FROM x, m), z AS (SELECT *, CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (pixels_per_char - med) / mad END AS rz FROM x, m, d)
  SELECT ID, round(pixels_per_char, 6) AS pixels_per_char, round(rz, 6) AS rz_pixels_per_char, abs(rz) > 4 AS flag_width_text_mismatch, n <= n5 AND w >= w95 AS flag_short_label_wide_image, n >= n95 AND w <= w5 AS flag_long_label_narrow_image FROM z""",
     "u05_alphabets": "SELECT p_partkey, list_aggregate(list_sort(list_distinct(string_split(p_name, '') || string_split(p_brand, ''))), 'string_agg', '') AS both, coalesce(list_aggregate(list_sort(list_distinct(list_filter(string_split(p_name, ''), lambda c: c IN ('a', 'z', '~')))), 'string_agg', ''), '') AS shared FROM part",
-    "j13_run_grid": "SELECT fold, beam, lm, 'fold' || fold || '_beam' || beam || '_lm' || lm AS run_name FROM (SELECT unnest(range(5)) AS fold), (SELECT unnest([5, 10])::BIGINT AS beam), (SELECT unnest([0.0::DOUBLE, 0.5]) AS lm)",
     "d06_output_steps": "SELECT p_partkey, greatest(1, p_size // 4)::BIGINT AS steps FROM part",
     "o05_rare_sample": "SELECT p_partkey, p_name FROM part ORDER BY regexp_matches(p_name, '[qz]') DESC, md5('42:' || p_partkey), p_partkey LIMIT 40",
     "o04_overfit_sample": "SELECT s.*, fold, CASE fold WHEN 0 THEN 'valid' ELSE 'train' END AS split FROM (SELECT p_partkey, p_name FROM part ORDER BY md5('42:' || p_partkey), p_partkey LIMIT 32) s, (SELECT unnest([0, 1])::INT AS fold)",

@@ -75,3 +75,10 @@ def test_sizes_must_be_positive(spark):
     for w, h in ((0.0, 5.0), (5.0, 0.0), (-1.0, 5.0)):
         with pytest.raises(Exception, match="not an image"):
             wide(w, h)
+
+
+def test_run_grid(spark):
+    from quillspark.operators import integrity
+
+    got = integrity.grid(spark, fold=[0, 1], beam=[5, 10, 20])
+    assert got.count() == 6 and {r.run_name for r in got.where("fold = 1").collect()} == {"fold1_beam5", "fold1_beam10", "fold1_beam20"}
