@@ -6,7 +6,12 @@ bisecting hyperplane is within r and whose radius plus r reaches it, which the t
 shows to lose no pair. Cells are cut into tiles of bounded bytes and join independently. A label's
 number of cells is the one that promises the least comparing with at most COPIES copies of a vector,
 told from sampled vectors; where none does, as with vectors spread evenly in many dimensions, the label
-is one cell by the same code."""
+is one cell by the same code.
+
+Within and between tiles, pivots tell pairs apart too. What lies in the span of some pivots, and how long the
+rest is, bounds a cosine from above (the triangle inequality for the rests), so pairs whose bound is below the limit
+are skipped, and the others are compared in double precision. Tiles move in runs: each task holds RUN tiles
+of a cell, and the cell's others pass by."""
 
 from __future__ import annotations
 
@@ -18,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, components, stars, table
 
 TILE_BYTES, PIVOTS, COPIES, PROBES = 2 << 20, 64, 4.0, 4
+RUN, SPAN, SLACK, DENSE = 16, 16, 1e-5, 0.1
 KEYS = ["label", "size", "cell"]
 PIECE = "label string, size int, cell int, ids binary, ns binary, homes binary, vs binary"
 
@@ -68,6 +74,40 @@ def chosen(heads: list[bytes], size: int, kind, reach: float) -> np.ndarray:
     return units[:best]
 
 
+def shadows(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For two matrices of unit vectors, rows whose products are no less than the cosines: coordinates in the span of
+    at most SPAN pivots (vectors of the first, a quarter of the dimensions at most), and the length of what is left."""
+    n = min(SPAN, max(1, a.shape[1] // 4), len(a))
+    span = np.linalg.qr(a[np.linspace(0, len(a) - 1, n).astype(int)].T)[0]
+
+    def shadow(x):
+        c = x @ span
+        return np.column_stack([c, np.sqrt(np.maximum(1 - (c * c).sum(axis=1), 0))]).astype(np.float32)
+
+    return shadow(a), shadow(b)
+
+
+def hits(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j) of the rows of a and b with that cosine or more, and how many pairs had to be compared for it. A block
+    in which many pairs are left, as among copies, is compared as one product."""
+    ua, ub, i, j, compared = unit(a), unit(b), [], [], 0
+    sa, sb = shadows(ua, ub)
+    la, lb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    for s in range(0, len(a), 256):
+        left = sa[s : s + 256] @ sb.T >= cosine - SLACK
+        n = int(np.count_nonzero(left))
+        if n > DENSE * left.size:
+            n = left.size
+            x, y = np.nonzero(a[s : s + 256] @ b.T / (la[s : s + 256, None] * lb[None, :]) >= cosine)
+        else:
+            x, y = np.nonzero(left)
+            on = np.einsum("ij,ij->i", a[x + s], b[y]) / (la[x + s] * lb[y]) >= cosine
+            x, y = x[on], y[on]
+        compared += n
+        i.append(x + s), j.append(y)
+    return np.concatenate(i), np.concatenate(j), compared
+
+
 def packed(pieces: DataFrame, room: int) -> DataFrame:
     """Pieces (see PIECE) joined to tiles of about room bytes. The exchange is by ranges, so a hot label has
     many tasks, and a task holds one tile at a time."""
@@ -177,10 +217,11 @@ def link(vectors: DataFrame, cosine: float = 0.98, tile_bytes: int = TILE_BYTES)
             yield pieces_of(out)
 
     tiles = packed(arrow_rows(near.join(radii, ["label", "size"])).mapInArrow(deal, PIECE + ", first long"), tile_bytes)
-    names = tiles.select(*KEYS, "t")
-    pairs = names.join(names.withColumnRenamed("t", "u"), KEYS).where("t <= u").select("t", "u")
-    side = lambda s: tiles.select(F.col("t").alias(s), "size", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "homes", "vs")])
-    pairs = pairs.join(side("t"), "t").join(side("u").drop("size"), "u")
+    # one row for each cell; a task holds the run, and the join streams the others past it
+    salts = table(tiles.groupBy(*KEYS).agg(F.ceil(F.count("*") / RUN).cast("int").alias("salts")))
+    side = lambda s, salt: tiles.join(salts, KEYS).select(*KEYS, salt.alias("salt"), F.col("t").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "homes", "vs")])
+    runs, others = side("t", F.pmod(F.xxhash64("t"), F.col("salts"))), side("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    pairs = others.join(runs, [*KEYS, "salt"]).where("t <= u").select("t", "u", "size", *[f"{c}_{s}" for s in "tu" for c in ("ids", "ns", "homes", "vs")])
 
     def compare(batches):
         """Links between two tiles of a cell that one vector at least is at home in: counts for each at home, and stars."""
@@ -189,14 +230,9 @@ def link(vectors: DataFrame, cosine: float = 0.98, tile_bytes: int = TILE_BYTES)
             for r in range(b.num_rows):
                 own, size = b["t"][r] == b["u"][r], b["size"][r].as_py()
                 (ia, na, ha, va), (ib, nb, hb, vb) = ((np.frombuffer(b[f"ids_{s}"][r].as_py(), np.int64), np.frombuffer(b[f"ns_{s}"][r].as_py(), np.int64), np.frombuffer(b[f"homes_{s}"][r].as_py(), bool), matrix(b[f"vs_{s}"][r].as_py(), size, kind)) for s in "tu")
-                la, lb = np.linalg.norm(va, axis=1), np.linalg.norm(vb, axis=1)
-                i, j = [], []
-                for s in range(0, len(ia), 256):
-                    hit = va[s : s + 256] @ vb.T / (la[s : s + 256, None] * lb[None, :]) >= cosine
-                    x, y = np.nonzero(hit & (ha[s : s + 256, None] | hb[None, :]))
-                    on = ia[x + s] != ib[y]
-                    i.append(x[on] + s), j.append(y[on])
-                i, j = np.concatenate(i), np.concatenate(j)
+                i, j, _ = hits(va, vb, cosine)
+                on = (ha[i] | hb[j]) & (ia[i] != ib[j])
+                i, j = i[on], j[on]
                 if not len(i):
                     continue
                 both = ia if own else np.concatenate([ia, ib])

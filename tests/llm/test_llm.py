@@ -328,6 +328,21 @@ def test_embeddings_on_the_boundary(spark):
     assert linked_brute(rows, got) > 1000
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (3, 2), (300, 5), (700, 64), (90, 300)])
+def test_pivots_lose_no_pair(shape):
+    """Spread vectors with near ones planted: what the pivots leave to compare holds all links, and is few."""
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=shape)
+    b = np.concatenate([a[::3] * 7 + rng.normal(size=a[::3].shape) * 0.9, rng.normal(size=shape) * 1e-3])
+    i, j, compared = embedrange.hits(a, b, 0.98)
+    c = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(c >= 0.98)))) and len(i) == len(set(zip(i, j)))
+    if shape[1] >= 64:
+        assert len(i) > 20 and compared < 0.05 * len(a) * len(b)
+    same = np.repeat(a[:1], 300, axis=0)  # copies: all pairs are links, and are compared as products
+    assert len(embedrange.hits(same, same, 0.98)[0]) == 90000
+
+
 def test_cells_of_a_label():
     rng = np.random.default_rng(3)
     reach = float(np.sqrt(2 - 2 * 0.98))
