@@ -13,15 +13,34 @@ from pyspark.sql.types import StringType
 from .. import ship
 from ..functions.text import detokenize, normalize_text, unicode_form
 from ..operators.evaluation import require_columns
+from ..operators.ranks import fresh, numbered
 from ..operators.relations import repeated_ids
 
 #: Fixed value: the fields in which a structured prediction may hold its text, by priority.
 TEXT_FIELDS = ("rec_text", "text", "label", "transcription")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """S-01, S-04: a CSV with a header; quotes are doubled, fields may hold line breaks, a byte order mark is dropped."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def manifest(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """S-01, S-04: a CSV with a header; quotes are doubled, fields may hold line breaks, a byte order mark is dropped.
+    With a schema, its columns are taken by name from the header; raises where one isn't there, and, when run, on a value
+    that isn't of its type. Without one, all are texts."""
+    x = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    if schema is None:
+        return x
+    wanted = spark.createDataFrame([], schema).schema
+    require_columns(x, wanted.names, path)
+    return x.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def in_order(spark: SparkSession, path: str, schema: str | None = None, place: str = "place") -> DataFrame:
+    """O-01, O-02: a CSV that was written in an order, with each row's place in it, from 0: by the number of its
+    part file, then by its row there."""
+    name = F.col("_metadata.file_name")
+    number_of = lambda p: F.coalesce(F.expr(f"try_cast(regexp_extract(_metadata.file_name, '{p}', 1) as bigint)"), F.lit(0))
+    x = manifest(spark, path)
+    part, piece, file, row = fresh(x, "part_", "piece_", "file_", "row_")
+    x = numbered(x.withColumns({part: number_of(r"^part-(\\d+)"), piece: number_of(r"-c(\\d+)"), file: name, row: F.monotonically_increasing_id()}), [part, piece, file, row], place).drop(part, piece, file, row)
+    return x if schema is None else x.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema], place)
 
 
 def parse_spec(spec: str) -> tuple[str, str]:
