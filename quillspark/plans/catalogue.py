@@ -52,7 +52,7 @@ def a05_corpus_summary(spark, sf_dir):
 
 
 def a05_edit_totals(spark, sf_dir):
-    """The totals of each kind, whose ties SQL can't follow; their sums are a05's edits."""
+    """The totals of each kind of edit."""
     s = evaluation.corpus_summary(evaluation.row_errors(pairs(spark, sf_dir)))
     return s.select("row_count", *EDITS)
 
@@ -65,7 +65,6 @@ def a04_row_errors(spark, sf_dir):
 
 
 def a02_edit_counts(spark, sf_dir):
-    """With the distance, and what insertions and deletions differ by, which SQL can tell."""
     return evaluation.edit_counts(pairs(spark, sf_dir))
 
 
@@ -543,6 +542,28 @@ CODE = "coalesce(list_aggregate(list_transform({}, lambda w: chr(32 + list_posit
 ROWS = f"""(SELECT *, CASE WHEN ref_word_len > 0 THEN round(word_edits / ref_word_len, 6) WHEN word_edits = 0 THEN 0 ELSE 1 END AS row_wer FROM
  (SELECT ID, r AS reference, p AS prediction, r = p AS exact_match, length(r) AS ref_char_len, length(p) AS pred_char_len, len(rw) AS ref_word_len, len(pw) AS pred_word_len, levenshtein(r, p)::BIGINT AS char_edits, round(levenshtein(r, p) / length(r), 6) AS row_cer,
  levenshtein({CODE.format('rw')}, {CODE.format('pw')})::BIGINT AS word_edits FROM {CODED}))"""
+TOKENS = f"(SELECT ID, list_filter(string_split(r, ''), lambda c: c <> '') AS rc, list_filter(string_split(p, ''), lambda c: c <> '') AS pc, rw, pw FROM {CODED})"
+
+
+def steps_sql(name, x, y):
+    """A recursive table name(ID, o) of each row's steps that aren't matches: the edit table of lists x and y by its
+    diagonals, ties by match, substitute, delete, insert; a and b are the last two diagonals, by place in x."""
+    cell = "NULL::STRUCT(c INT, o VARCHAR[])"
+    return f"""{name}_w(ID, n, m, x, y, d, a, b) AS (
+ SELECT ID, len({x}), len({y}), {x}, {y}, 0, list_transform(range(0, len({x}) + 1), lambda k: {cell}), list_transform(range(0, len({x}) + 1), lambda k: CASE k WHEN 0 THEN {{'c': 0, 'o': []::VARCHAR[]}} END) FROM {TOKENS}
+ UNION ALL
+ SELECT ID, n, m, x, y, d + 1, b, list_transform(range(0, n + 1), lambda k: CASE WHEN k > d + 1 OR d + 1 - k > m THEN NULL
+  WHEN k > 0 AND k <= d AND x[k] = y[d + 1 - k] AND a[k].c <= least(b[k].c + 1, b[k + 1].c + 1) THEN a[k]
+  WHEN k > 0 AND k <= d AND a[k].c <= least(b[k].c, b[k + 1].c) THEN {{'c': a[k].c + 1, 'o': list_append(a[k].o, 'substitute' || chr(1) || x[k] || chr(1) || y[d + 1 - k])}}
+  WHEN k > 0 AND (k > d OR b[k].c <= b[k + 1].c) THEN {{'c': b[k].c + 1, 'o': list_append(b[k].o, 'delete' || chr(1) || x[k] || chr(1))}}
+  ELSE {{'c': b[k + 1].c + 1, 'o': list_append(b[k + 1].o, 'insert' || chr(1) || chr(1) || y[d + 1 - k])}} END) FROM {name}_w WHERE d < n + m),
+ {name} AS (SELECT ID, b[n + 1].o AS o FROM {name}_w WHERE d = n + m)"""
+
+
+def kinds_sql(name, of="{}"):
+    return ", ".join(f"{of.format(f'len(list_filter({name}.o, lambda s: starts_with(s, {chr(39)}{k}{chr(39)})))')}::BIGINT AS {n}" for k, n in (("insert", "insertions"), ("delete", "deletions"), ("substitute", "substitutions")))
+
+
 GEOMETRY = f"""(SELECT *, greatest(1, floor(resized_width / 4))::BIGINT AS encoder_time_steps, length(t) AS target_length, length(t) - length(regexp_replace(t, '(?s)(.)x', '', 'g')) AS unused FROM
  (SELECT ID, width AS original_width, height AS original_height, trim(regexp_replace(Target, '\\s+', ' ', 'g')) AS t, least(greatest(1, round_even(width * (96.0::DOUBLE / height), 0)), 2048)::BIGINT AS resized_width, greatest(1, round_even(width * (96.0::DOUBLE / height), 0))::BIGINT AS unclipped_resized_width FROM {MANIFEST_SQL}))"""
 ALIGNED = f"""(SELECT *, target_length + adjacent_repeat_count AS required_ctc_steps, encoder_time_steps - target_length - adjacent_repeat_count AS ctc_margin, encoder_time_steps >= target_length + adjacent_repeat_count AS is_ctc_length_valid, round(resized_width / greatest(target_length, 1), 6) AS pixels_per_char FROM
@@ -578,6 +599,9 @@ MODEL = f"""p AS (SELECT ['<s>', '<s>'] || string_split(p_name, '') || ['</s>']
 
 
 ORACLE_SQL = {
+    "a02_edit_counts": f"WITH RECURSIVE {steps_sql('e', 'rc', 'pc')} SELECT ID, {kinds_sql('e')} FROM e",
+    "a05_edit_totals": f"WITH RECURSIVE {steps_sql('c', 'rc', 'pc')}, {steps_sql('w', 'rw', 'pw')} SELECT count(*) AS row_count, " + ", ".join(f"sum(len({u}.o))::BIGINT AS {n}_edits, " + kinds_sql(u, "sum({})").replace("AS ", f"AS {n}_") for u, n in (("c", "char"), ("w", "word"))) + " FROM c JOIN w ON w.ID = c.ID",
+    "a06_confusions": f"WITH RECURSIVE {steps_sql('e', 'rc', 'pc')} SELECT split_part(s, chr(1), 1) AS op, split_part(s, chr(1), 2) AS ref_char, split_part(s, chr(1), 3) AS pred_char, count(*) AS n FROM (SELECT unnest(o) AS s FROM e) GROUP BY ALL",
     "k12_line_files": f"SELECT ID, split, 16 AS width, 16 AS height, 'L' AS mode, CASE WHEN split <> 'test' THEN t || chr(10) END AS truth FROM {LINES_SQL}",
     "k11_tables": f"""WITH l AS (SELECT *, split || '/' || ID AS name, list_aggregate(list_transform(string_split(t, ''), lambda c: CASE c WHEN ' ' THEN '<space>' ELSE c END), 'string_agg', ' ') AS symbols FROM {LINES_SQL}),
  a AS (SELECT list_sort(list_distinct(flatten(list(string_split(replace(t, ' ', ''), ''))))) AS a FROM l WHERE split <> 'test'), s AS (SELECT ['<ctc>'] || a || ['<unk>', '<space>'] AS s FROM a)
