@@ -160,7 +160,7 @@ def pictures(spark, sf_dir):
 
 def t21_image_quality(spark, sf_dir):
     x = images.quality(pictures(spark, sf_dir))
-    return x.select("ID", "ahash", *[F.round(m, 4).alias(m) for m in images.METRICS if m != "sharpness_grad_var"])
+    return x.select("ID", "ahash", *[F.round(m, 1 if m == "sharpness_grad_var" else 4).alias(m) for m in images.METRICS])
 
 
 def p13_quality_flags(spark, sf_dir):
@@ -226,7 +226,7 @@ def j10_manual_review(spark, sf_dir):
 
 def p14_consistency_flags(spark, sf_dir):
     x = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ID"), F.col("p_size").cast("double").alias("width"), F.col("p_retailprice").alias("height"), (F.col("p_size") / F.col("p_retailprice")).alias("aspect_ratio"), F.length("p_name").alias("char_len"))
-    return integrity.consistency_flags(x).select("ID", F.round("pixels_per_char", 6).alias("pixels_per_char"), F.round("rz_pixels_per_char", 6).alias("rz_pixels_per_char"), "flag_width_text_mismatch", "flag_short_label_wide_image", "flag_long_label_narrow_image")
+    return integrity.consistency_flags(x).select("ID", F.round("pixels_per_char", 6).alias("pixels_per_char"), F.round("rz_pixels_per_char", 6).alias("rz_pixels_per_char"), F.round("residual", 4).alias("residual"), "flag_width_text_mismatch", "flag_shape_text_residual", "flag_short_label_wide_image", "flag_long_label_narrow_image", "consistency_flag_count")
 
 
 def p10_holds_any(spark, sf_dir):
@@ -572,6 +572,7 @@ AUDIT = f"""(SELECT ID, length(Target) + 2 AS token_count, width AS original_wid
  (SELECT *, trim(regexp_replace(Target, '\\s+', ' ', 'g')) AS t, round_even(width * (384.0::DOUBLE / height), 0) AS u FROM {MANIFEST_SQL}))"""
 PICTURES = """(SELECT vec_id, label, cast(vec_id AS varchar) AS ID, list_transform(embedding, lambda v: greatest(0, least(255, floor(v::DOUBLE * 400 + 200)))) AS g FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"""
 QUALITY = f"""(SELECT *, list_avg(g) AS brightness_mean, list_median(g) AS brightness_median, list_stddev_pop(g) AS contrast_std, list_aggregate(g, 'quantile_cont', 0.01) AS p01, list_aggregate(g, 'quantile_cont', 0.99) AS p99,
+ list_aggregate(list_transform(range(0, 64), lambda q: pow((g[q + 1 + (q % 8 < 7)::INT] - g[q + 1 - (q % 8 > 0)::INT]) / ((q % 8 < 7)::INT + (q % 8 > 0)::INT), 2) + pow((g[q + 1 + 8 * (q < 56)::INT] - g[q + 1 - 8 * (q > 7)::INT]) / ((q < 56)::INT + (q > 7)::INT), 2)), 'var_pop') AS sharpness_grad_var,
  len(list_filter(g, lambda x: x < 80)) / 64 AS dark_pixel_ratio, len(list_filter(g, lambda x: x > 245)) / 64 AS bright_pixel_ratio, len(list_filter(g, lambda x: x < 245)) / 64 AS foreground_ratio,
  len(list_filter(g[1:16], lambda x: x < 220)) / 16 AS top_foreground_ratio, len(list_filter(g[49:64], lambda x: x < 220)) / 16 AS bottom_foreground_ratio, len(list_filter(g, lambda x, i: x < 220 AND (i - 1) % 8 < 2)) / 16 AS left_foreground_ratio, len(list_filter(g, lambda x, i: x < 220 AND (i - 1) % 8 > 5)) / 16 AS right_foreground_ratio FROM {PICTURES})"""
 AHASH = "(SELECT ID, list_aggregate(list_transform(range(1, 65, 4), lambda i: substr('0123456789abcdef', (8 * (g[i] > m)::INT + 4 * (g[i + 1] > m)::INT + 2 * (g[i + 2] > m)::INT + (g[i + 3] > m)::INT + 1)::INT, 1)), 'string_agg', '') AS ahash FROM (SELECT *, list_avg(g) AS m FROM " + PICTURES + "))"
@@ -594,11 +595,36 @@ def vote_sql(weight, rank):
  SELECT s.ID, s.text AS anchor_text, coalesce(b.text, s.text) AS text, coalesce(b.who, s.source) AS chosen_source, 'weighted_vote' AS strategy, coalesce(b.text, s.text) <> s.text AS changed, coalesce(b.text, s.text) AS top_text, coalesce(b.score, 0)::DOUBLE AS votes, candidates, length(s.text) AS anchor_len, length(coalesce(b.text, s.text)) AS chosen_len, median_len, length(coalesce(b.text, s.text)) - length(s.text) AS len_change FROM s LEFT JOIN b ON b.ID = s.ID JOIN m ON m.ID = s.ID WHERE s.source_idx = 0"""
 
 
+CONSISTENCY = ("flag_width_text_mismatch", "flag_shape_text_residual", "flag_short_label_wide_image", "flag_long_label_narrow_image")
+
+
+def consistency_sql(source):
+    """Tables that end with c, P-14 of a query (ID, width, height, aspect_ratio, char_len). Least squares by taking each
+    regressor out of the later ones and of the length."""
+    off = lambda y, x: f"{y} - regr_intercept({y}, {x}) OVER () - regr_slope({y}, {x}) OVER () * {x}"
+    z = lambda v, m: f"CASE WHEN mad_{m} = 0 THEN 0 ELSE 0.6745 * ({v} - med_{m}) / mad_{m} END"
+    flags = ("abs(rz_pixels_per_char) > 4", "abs(rz_residual) > 4", "char_len <= n5 AND width >= w95", "char_len >= n95 AND width <= w5")
+    return f"""c0 AS ({source}), c1 AS (SELECT *, {off('height', 'width')} AS h1, {off('aspect_ratio', 'width')} AS a1, {off('char_len', 'width')} AS y1 FROM c0), c2 AS (SELECT *, {off('a1', 'h1')} AS a2, {off('y1', 'h1')} AS y2 FROM c1),
+ c3 AS (SELECT ID, width, char_len, width / CASE WHEN char_len <> 0 THEN char_len END AS pixels_per_char, {off('y2', 'a2')} AS residual FROM c2),
+ cm AS (SELECT median(pixels_per_char) AS med_p, median(residual) AS med_r, quantile_cont(char_len, 0.05) AS n5, quantile_cont(char_len, 0.95) AS n95, quantile_cont(width, 0.05) AS w5, quantile_cont(width, 0.95) AS w95 FROM c3), cd AS (SELECT median(abs(pixels_per_char - med_p)) AS mad_p, median(abs(residual - med_r)) AS mad_r FROM c3, cm),
+ c4 AS (SELECT *, {z('pixels_per_char', 'p')} AS rz_pixels_per_char, {z('residual', 'r')} AS rz_residual FROM c3, cm, cd), c AS (SELECT *, {' + '.join(f'{k}::INT' for k in CONSISTENCY)} AS consistency_flag_count FROM (SELECT *, {', '.join(f'coalesce({f}, false) AS {k}' for f, k in zip(flags, CONSISTENCY))} FROM c4))"""
+
+
+def label_flags_sql(source):
+    """Tables that end with l, P-12 of (ID, Target): the longest run of a character, repeated punctuation, the number of flags."""
+    return f"""l0 AS (SELECT ID, coalesce(Target, '') AS raw, trim(regexp_replace(coalesce(Target, ''), '\\s+', ' ', 'g')) AS t FROM {source}), lq AS (SELECT quantile_cont(length(t), 0.01) AS lo, quantile_cont(length(t), 0.99) AS hi FROM l0),
+ lr AS (SELECT ID, max(n) AS run, bool_or(n > 1 AND regexp_matches(ch, '\\p{{P}}')) AS marks FROM (SELECT ID, ch, spot - k AS island, count(*) AS n FROM (SELECT ID, ch, spot, row_number() OVER (PARTITION BY ID, ch ORDER BY spot) AS k FROM (SELECT ID, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS spot FROM l0)) GROUP BY ALL) GROUP BY ID),
+ l1 AS (SELECT l0.ID, raw, t, lo, hi, CASE WHEN t = '' THEN 1 ELSE run END::INT AS max_run, t <> '' AND marks AS repeated_marks FROM l0 JOIN lr ON lr.ID = l0.ID, lq),
+ l AS (SELECT *, (t = '')::INT + regexp_matches(raw, '^\\s|\\s$|\\s\\s')::INT + regexp_matches(t, '\\p{{C}}')::INT + regexp_matches(t, '[^\\x00-\\x7F]')::INT + (length(t) <= lo)::INT + (length(t) >= hi)::INT + (length(regexp_replace(t, '\\P{{L}}', '', 'g')) / greatest(length(t), 1) < 0.55)::INT + (max_run >= 4)::INT + repeated_marks::INT AS n_flags FROM l1)"""
+
+
 LINES_SQL = "(SELECT cast(vec_id AS varchar) AS ID, CASE vec_id % 6 WHEN 5 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, 'label ' || label || ' (x)' AS t FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)"
 MODEL = f"""p AS (SELECT ['<s>', '<s>'] || string_split(p_name, '') || ['</s>'] AS p, p_partkey FROM part), g AS (SELECT p_partkey, p[k] || '|' || p[k + 1] AS c, p[k + 2] AS t FROM (SELECT *, unnest(range(1, len(p) - 1)) AS k FROM p)), n AS (SELECT c, t, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT c, sum(n) AS m FROM n GROUP BY c), v AS (SELECT count(DISTINCT t) + 2 AS v FROM g)"""
 
 
 ORACLE_SQL = {
+    # names of small letters are all as long as LATIN SMALL LETTER A; these texts hold no other characters but spaces
+    "a14_named_chars": "SELECT ch, CASE ch WHEN ' ' THEN 'Zs' ELSE 'Ll' END AS category, CASE ch WHEN ' ' THEN 5 ELSE 20 END AS name_len FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS ch FROM part)",
     "a02_edit_counts": f"WITH RECURSIVE {steps_sql('e', 'rc', 'pc')} SELECT ID, {kinds_sql('e')} FROM e",
     "a05_edit_totals": f"WITH RECURSIVE {steps_sql('c', 'rc', 'pc')}, {steps_sql('w', 'rw', 'pw')} SELECT count(*) AS row_count, " + ", ".join(f"sum(len({u}.o))::BIGINT AS {n}_edits, " + kinds_sql(u, "sum({})").replace("AS ", f"AS {n}_") for u, n in (("c", "char"), ("w", "word"))) + " FROM c JOIN w ON w.ID = c.ID",
     "a06_confusions": f"WITH RECURSIVE {steps_sql('e', 'rc', 'pc')} SELECT split_part(s, chr(1), 1) AS op, split_part(s, chr(1), 2) AS ref_char, split_part(s, chr(1), 3) AS pred_char, count(*) AS n FROM (SELECT unnest(o) AS s FROM e) GROUP BY ALL",
@@ -629,7 +655,7 @@ ORACLE_SQL = {
     "t13_ctc_alignment": f"SELECT * FROM {ALIGNED}",
     "t14_target_audit": f"SELECT * FROM {AUDIT}",
     "a19_target_summary": f"SELECT count(*) AS n, max(token_count) AS max_token_count, quantile_cont(token_count, 0.95)::DOUBLE AS p95_token_count, count(*) FILTER (exceeds_max_label_length) AS over_label_rows, count(*) FILTER (exceeds_max_generation_length) AS over_generation_rows, count(*) FILTER (would_clip_aspect_canvas) AS clipped_rows, round(min(aspect_resized_width / greatest(char_len, 1)), 6) AS min_pixels_per_char, round(median(aspect_resized_width / greatest(char_len, 1)), 6) AS median_pixels_per_char FROM {AUDIT}",
-    "t21_image_quality": f"SELECT q.ID, ahash, " + ", ".join(f"round({m}, 4) AS {m}" for m in images.METRICS if m not in ("sharpness_grad_var", "dynamic_range_1_99")) + f", round(p99 - p01, 4) AS dynamic_range_1_99 FROM {QUALITY} q JOIN {AHASH} h ON h.ID = q.ID",
+    "t21_image_quality": f"SELECT q.ID, ahash, " + ", ".join(f"round({m}, {1 if m == 'sharpness_grad_var' else 4}) AS {m}" for m in images.METRICS if m != "dynamic_range_1_99") + f", round(p99 - p01, 4) AS dynamic_range_1_99 FROM {QUALITY} q JOIN {AHASH} h ON h.ID = q.ID",
     "s18_line_rows": "SELECT cast(vec_id AS varchar) AS ID, '/im/' || vec_id || '.jpg' AS image_path, 8 AS width, 64 AS n_pixels, coalesce(list_aggregate(list_transform(string_split(cast(label AS varchar), ''), lambda c: instr('0123456789', c)), 'string_agg', ' '), '') AS target_ids FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "p03_only_fold": "SELECT p_partkey, p_partkey % 5 AS fold FROM part WHERE p_partkey % 5 = 3",
     "a20_readability": "SELECT CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(vec_id) AS n, count(*) FILTER (label <> 3) AS n_exists, count(*) AS n_readable, 0::BIGINT AS bad_images FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1",
@@ -642,8 +668,10 @@ ORACLE_SQL = {
     "s03_image_path": "SELECT p_partkey, '/data/images/' || p_partkey || '.jpg' AS image_path FROM part",
     "s17_window": "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 25 OFFSET 10",
     "p10_holds_any": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[qzx]')",
-    "p14_consistency_flags": """WITH x AS (SELECT p_partkey AS ID, p_size::DOUBLE AS w, length(p_name) AS n, p_size / length(p_name) AS pixels_per_char FROM part), m AS (SELECT median(pixels_per_char) AS med, quantile_cont(n, 0.05) AS n5, quantile_cont(n, 0.95) AS n95, quantile_cont(w, 0.05) AS w5, quantile_cont(w, 0.95) AS w95 FROM x), d AS (SELECT median(abs(pixels_per_char - med)) AS mad FROM x, m), z AS (SELECT *, CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (pixels_per_char - med) / mad END AS rz FROM x, m, d)
- SELECT ID, round(pixels_per_char, 6) AS pixels_per_char, round(rz, 6) AS rz_pixels_per_char, abs(rz) > 4 AS flag_width_text_mismatch, n <= n5 AND w >= w95 AS flag_short_label_wide_image, n >= n95 AND w <= w5 AS flag_long_label_narrow_image FROM z""",
+    "p13_quality_flags": f"WITH f AS (SELECT ID, contrast_std < 4 AND foreground_ratio < 0.01 AS flag_almost_blank, brightness_mean < 80 AS flag_too_dark, brightness_mean > 245 AND foreground_ratio < 0.01 AS flag_too_bright_low_foreground, p99 - p01 < 20 AS flag_low_dynamic_range, sharpness_grad_var < 5 AS flag_low_sharpness, greatest(top_foreground_ratio, bottom_foreground_ratio) > 0.2 AS flag_top_or_bottom_crop, greatest(left_foreground_ratio, right_foreground_ratio) > 0.2 AS flag_left_or_right_crop FROM {QUALITY}) SELECT *, flag_almost_blank::INT + flag_too_dark::INT + flag_too_bright_low_foreground::INT + flag_low_dynamic_range::INT + flag_low_sharpness::INT + flag_top_or_bottom_crop::INT + flag_left_or_right_crop::INT AS quality_flag_count FROM f",
+    "p14_consistency_flags": f"WITH {consistency_sql('SELECT p_partkey AS ID, p_size::DOUBLE AS width, p_retailprice::DOUBLE AS height, p_size / p_retailprice AS aspect_ratio, length(p_name) AS char_len FROM part')} SELECT ID, round(pixels_per_char, 6) AS pixels_per_char, round(rz_pixels_per_char, 6) AS rz_pixels_per_char, round(residual, 4) AS residual, {', '.join(CONSISTENCY)}, consistency_flag_count FROM c",
+    "p12_label_flags": f"WITH {label_flags_sql(MANIFEST_SQL)} SELECT ID, max_run, n_flags, max_run >= 4 AS flag_repeated_chars, repeated_marks AS flag_repeated_marks FROM l",
+    "j10_manual_review": f"WITH {label_flags_sql(MANIFEST_SQL)}, {consistency_sql(f'SELECT ID, width, height, width / height AS aspect_ratio, length(Target) AS char_len FROM {MANIFEST_SQL} WHERE doc_id % 3 <> 0')} SELECT l.ID, n_flags AS label_flag_count, coalesce(consistency_flag_count, 0) AS consistency_flag_count, n_flags + coalesce(consistency_flag_count, 0) AS total_flag_count FROM l LEFT JOIN c ON c.ID = l.ID",
     "u05_alphabets": "SELECT p_partkey, list_aggregate(list_sort(list_distinct(string_split(p_name, '') || string_split(p_brand, ''))), 'string_agg', '') AS both, coalesce(list_aggregate(list_sort(list_distinct(list_filter(string_split(p_name, ''), lambda c: c IN ('a', 'z', '~')))), 'string_agg', ''), '') AS shared FROM part",
     "d06_output_steps": "SELECT p_partkey, greatest(1, p_size // 4)::BIGINT AS steps FROM part",
     "o05_rare_sample": "SELECT p_partkey, p_name FROM part ORDER BY regexp_matches(p_name, '[qz]') DESC, md5('42:' || p_partkey), p_partkey LIMIT 40",

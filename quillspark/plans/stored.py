@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, decoding, ensemble, evaluation, relations
 from ..shared import fresh_path
-from ..sources import models, readers, writers
+from ..sources import filetree, models, readers, writers
 from . import catalogue
 from .catalogue import SOURCES_SQL, manifest, pairs, sources, table
 
@@ -112,6 +112,23 @@ def k14_char_file(spark, sf_dir):
     return found.crossJoin(spark.read.json(f"{path}/metadata").select("n_train", "n_valid", "n_test"))  # one row each
 
 
+def k06_target_files(spark, sf_dir):
+    """The summary of token counts as JSON with sorted keys, beside its audit."""
+    path = fresh_path(spark)
+    x = audit.target_audit(manifest(spark, sf_dir), F.length("Target") + 2, 512, 256)
+    writers.audit_bundle(x, audit.target_summary(x), path, [F.desc("token_count"), "ID"])
+    return spark.read.json(f"{path}/summary").withColumns({c: F.round(c, 6) for c in ("min_pixels_per_char", "median_pixels_per_char")})
+
+
+def s09_transcripts(spark, sf_dir):
+    """A text file for each row, in folders of bounded size, and the transcripts that one folder after another gives."""
+    path = fresh_path(spark)
+    n = F.col("p_partkey")
+    text = F.concat(F.lit("\n "), F.col("p_name"), F.lit("\r\n\t"), F.col("p_type"), F.lit("e\u0301 \n"))
+    filetree.write_files(table(spark, sf_dir, "part").select(F.concat((n % 8).cast("string"), F.lit("/"), n.cast("string"), F.lit(".v1.txt")).alias("path"), F.encode(text, "UTF-8").alias("content")), path)
+    return readers.transcripts(spark, f"{path}/*")
+
+
 def s14_tokenizer_file(spark, sf_dir):
     """Names as ids of a tokenizer that was saved from their alphabet and loaded again."""
     path, part = fresh_path(spark), table(spark, sf_dir, "part")
@@ -139,6 +156,8 @@ ORACLE_SQL = {
     "k10_symbol_file": "WITH a AS (SELECT ['<ctc>'] || list_sort(list_distinct(flatten(list(string_split(replace(p_name, ' ', ''), ''))))) || ['<unk>', '<space>'] AS s FROM part) SELECT s[i] AS symbol, (i - 1)::INT AS idx FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM a)",
     "k13_label_lines": f"SELECT {SPLIT_SQL} AS split, 'im/' || p_partkey || '.jpg' || chr(9) || p_name || ' ' || p_brand AS value FROM part",
     "k14_char_file": f"SELECT (SELECT string_agg(ch, '' ORDER BY ch) FROM (SELECT DISTINCT unnest(string_split(replace(p_name, ' ', ''), '')) AS ch FROM part WHERE p_partkey % 5 <> 0)) AS characters, count(*) FILTER ({SPLIT_SQL} = 'train') AS n_train, count(*) FILTER ({SPLIT_SQL} = 'valid') AS n_valid, count(*) FILTER ({SPLIT_SQL} = 'test') AS n_test FROM part",
+    "k06_target_files": catalogue.ORACLE_SQL["a19_target_summary"],
+    "s09_transcripts": "SELECT p_partkey || '.v1' AS ID, p_name || ' ' || p_type || chr(233) AS Target FROM part",
     "s14_tokenizer_file": "WITH a AS (SELECT list_sort(list_distinct(flatten(list(string_split(p_name, ''))))) AS s FROM part) SELECT p_partkey, list_aggregate(list_transform(string_split(p_name, ''), lambda c: list_position(s, c)), 'string_agg', ' ') AS ids FROM part, a",
     "w01_repeated_ids": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1",
 }
