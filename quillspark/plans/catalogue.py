@@ -186,6 +186,11 @@ def t22_resized_images(spark, sf_dir):
     return x.select("ID", "width", "height", "channels", F.length("pixels").alias("n_bytes"))
 
 
+def t22_scaled_pixels(spark, sf_dir):
+    """All pixels of images that were halved in both directions and padded on the left."""
+    return images.padded(images.scaled(pictures(spark, sf_dir), 4), 6, align="right").select("ID", "width", "height", F.hex("pixels").alias("pixels"))
+
+
 def a21_duplicate_images(spark, sf_dir):
     x = images.quality(pictures(spark, sf_dir)).withColumn("half", F.substring("ahash", 1, 2))
     return audit.duplicate_images(x, "half", "Target", 20).select("half", "n", "unique_files", "unique_labels", F.array_join("ids", ",").alias("ids"), F.size("labels").alias("n_labels"))
@@ -622,7 +627,12 @@ LINES_SQL = "(SELECT cast(vec_id AS varchar) AS ID, CASE vec_id % 6 WHEN 5 THEN
 MODEL = f"""p AS (SELECT ['<s>', '<s>'] || string_split(p_name, '') || ['</s>'] AS p, p_partkey FROM part), g AS (SELECT p_partkey, p[k] || '|' || p[k + 1] AS c, p[k + 2] AS t FROM (SELECT *, unnest(range(1, len(p) - 1)) AS k FROM p)), n AS (SELECT c, t, count(*) AS n FROM g GROUP BY ALL), m AS (SELECT c, sum(n) AS m FROM n GROUP BY c), v AS (SELECT count(DISTINCT t) + 2 AS v FROM g)"""
 
 
+#: Halving eight pixels by a triangle that reaches two of them: for each of four, where it begins and its weights in 2^22ths.
+HALVES = "[0, 1, 3, 5] AS o, [[w / 7 * 3, w / 7 * 3, w / 7, 0], [w / 8, w / 8 * 3, w / 8 * 3, w / 8], [w / 8, w / 8 * 3, w / 8 * 3, w / 8], [w / 7, w / 7 * 3, w / 7 * 3, 0]] AS f"
+HALVED = "list_transform(range(0, {n}), lambda p: least(255, floor((list_sum(list_transform(range(0, 4), lambda k: round(f[{at} + 1][k + 1]) * coalesce({x}[{place} + 1], 0))) + 2097152) / 4194304)))"
 ORACLE_SQL = {
+    "t22_scaled_pixels": "WITH g AS (SELECT ID, g, " + HALVES + f" FROM (SELECT *, 4194304::DOUBLE AS w FROM {PICTURES})), a AS (SELECT ID, o, f, " + HALVED.format(n=32, at="p % 4", x="g", place="(p // 4 * 8 + o[p % 4 + 1] + k)") + " AS a FROM g), b AS (SELECT ID, " + HALVED.format(n=16, at="p // 4", x="a", place="((o[p // 4 + 1] + k) * 4 + p % 4)") + """ AS b FROM a)
+ SELECT ID, 6 AS width, 4 AS height, list_aggregate(list_transform(range(0, 16), lambda p: CASE p % 4 WHEN 0 THEN repeat('FFFFFF', 2) ELSE '' END || repeat(format('{:02X}', b[p + 1]::INT), 3)), 'string_agg', '') AS pixels FROM b""",
     # names of small letters are all as long as LATIN SMALL LETTER A; these texts hold no other characters but spaces
     "a14_named_chars": "SELECT ch, CASE ch WHEN ' ' THEN 'Zs' ELSE 'Ll' END AS category, CASE ch WHEN ' ' THEN 5 ELSE 20 END AS name_len FROM (SELECT DISTINCT unnest(string_split(p_name, '')) AS ch FROM part)",
     "a02_edit_counts": f"WITH RECURSIVE {steps_sql('e', 'rc', 'pc')} SELECT ID, {kinds_sql('e')} FROM e",
