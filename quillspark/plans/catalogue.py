@@ -178,7 +178,7 @@ def p03_only_fold(spark, sf_dir):
 
 
 def a20_readability(spark, sf_dir):
-    return images.readability(pictures(spark, sf_dir))
+    return images.readability(pictures(spark, sf_dir).withColumn("readable", F.col("Target").cast("int") % 5 != 0))
 
 
 def t22_resized_images(spark, sf_dir):
@@ -668,7 +668,7 @@ ORACLE_SQL = {
     "t21_image_quality": f"SELECT q.ID, ahash, " + ", ".join(f"round({m}, {1 if m == 'sharpness_grad_var' else 4}) AS {m}" for m in images.METRICS if m != "dynamic_range_1_99") + f", round(p99 - p01, 4) AS dynamic_range_1_99 FROM {QUALITY} q JOIN {AHASH} h ON h.ID = q.ID",
     "s18_line_rows": "SELECT cast(vec_id AS varchar) AS ID, '/im/' || vec_id || '.jpg' AS image_path, 8 AS width, 64 AS n_pixels, coalesce(list_aggregate(list_transform(string_split(cast(label AS varchar), ''), lambda c: instr('0123456789', c)), 'string_agg', ' '), '') AS target_ids FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "p03_only_fold": "SELECT p_partkey, p_partkey % 5 AS fold FROM part WHERE p_partkey % 5 = 3",
-    "a20_readability": "SELECT CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(vec_id) AS n, count(*) FILTER (label <> 3) AS n_exists, count(*) AS n_readable, 0::BIGINT AS bad_images FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1",
+    "a20_readability": "SELECT CASE WHEN label % 2 = 0 THEN 'train' ELSE 'test' END AS split, count(vec_id) AS n, count(*) FILTER (label <> 3) AS n_exists, count(*) FILTER (label % 5 <> 0) AS n_readable, count(*) FILTER (label % 5 = 0) AS bad_images FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL GROUP BY 1",
     "t22_resized_images": "SELECT cast(vec_id AS varchar) AS ID, 6 AS width, 4 AS height, 3 AS channels, 72 AS n_bytes FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL",
     "a21_duplicate_images": f"SELECT substr(ahash, 1, 2) AS half, count(*) AS n, count(DISTINCT p.g) AS unique_files, count(DISTINCT p.label) AS unique_labels, list_aggregate(list_sort(list(p.ID))[1:20], 'string_agg', ',') AS ids, least(20, count(DISTINCT p.label)) AS n_labels FROM {AHASH} h JOIN {PICTURES} p ON p.ID = h.ID GROUP BY 1 HAVING count(*) > 1",
     "w02_duplicate_members": "SELECT doc_id FROM documents WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)",
