@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, decoding, ensemble, evaluation, relations
-from ..shared import fresh_path
+from ..shared import fresh_path, spread
 from ..sources import filetree, models, readers, writers
 from . import catalogue
 from .catalogue import SOURCES_SQL, manifest, pairs, sources, table
@@ -125,7 +125,7 @@ def s09_transcripts(spark, sf_dir):
     path = fresh_path(spark)
     n = F.col("p_partkey")
     text = F.concat(F.lit("\n "), F.col("p_name"), F.lit("\r\n\t"), F.col("p_type"), F.lit("e\u0301 \n"))
-    filetree.write_files(table(spark, sf_dir, "part").select(F.concat((n % 8).cast("string"), F.lit("/"), n.cast("string"), F.lit(".v1.txt")).alias("path"), F.encode(text, "UTF-8").alias("content")), path)
+    filetree.write_files(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")).select(F.concat((n % 8).cast("string"), F.lit("/"), n.cast("string"), F.lit(".v1.txt")).alias("path"), F.encode(text, "UTF-8").alias("content")), path)
     return readers.transcripts(spark, f"{path}/*")
 
 

@@ -19,6 +19,14 @@ def fresh_path(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *by, rows: int | None = None) -> DataFrame:
+    """df dealt over as many tasks as exchanges have, and over one for each so many rows if given: a small file that is much
+    work is one task or few otherwise. By columns, or else evenly. Spark doesn't join partitions of a given number."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n if rows is None else max(n, -(-df.count() // rows)), *by)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as it was computed once: what later jobs read can't differ from it, whatever is planned anew or lost."""
     path = fresh_path(df.sparkSession)

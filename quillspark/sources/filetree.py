@@ -8,10 +8,12 @@ job ends, well or not. Files of finished tasks stay if a job fails, so that it c
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import uuid
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from .. import ship
+from ..shared import spread
 
 ATTEMPTS = "_attempts"
 
@@ -113,3 +116,74 @@ def names(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     if not jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path):
         return spark.createDataFrame([], "path string")
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path")
+
+
+def listed(path: str, glob: str):
+    """Paths of a folder's files, and of those in folders named key=value, as Spark lists them: without names that begin with _ or
+    a dot. Local folders are gone through entry by entry."""
+    if path.startswith("/"):
+        with os.scandir(path) as entries:
+            yield from under(((e.path, e.name, e.is_dir()) for e in entries), glob)
+    else:
+        fs, at = place(path)
+        yield from under(((f"{path.split('://')[0]}://{f.path}", f.base_name, f.type == pafs.FileType.Directory) for f in fs.get_file_info(pafs.FileSelector(at))), glob)
+
+
+def under(found, glob: str):
+    for p, name, folder in found:
+        if folder and "=" in name and name[0] not in "_.":
+            yield from listed(p, glob)
+        elif not folder and name[0] not in "_." and fnmatch.fnmatchcase(name, glob):
+            yield p
+
+
+def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(name, value): whole text files of the folders that a path (a pattern of Hadoop's) matches, which aren't descended into.
+
+    The driver knows the folders alone: a task lists each, and the files are dealt out evenly, since Spark's own source makes a
+    task of every 32 small files and the driver holds them all. Stores that pyarrow doesn't know are left to that source."""
+    ship(spark)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    roots = list(jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(jvm_path) or [])
+    folders = [r.getPath().toString() for r in roots]
+    folders = [f[5:] if f.startswith("file:/") else f for f in folders]  # local ones are plain paths
+    known = bool(roots)
+    try:
+        if known and not folders[0].startswith("/"):
+            place(folders[0])
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        known = False
+    if not known or any(r.isFile() for r in roots):  # a path that isn't there raises
+        return spark.read.text(path, wholetext=True, pathGlobFilter=glob).select(F.col("_metadata.file_name").alias("name"), "value")
+    own = spark.createDataFrame([(f,) for f in folders], "path string")
+
+    def names(batches):
+        waiting = []
+        for b in batches:
+            for root in b.column(0).to_pylist():
+                for p in listed(root, glob):
+                    waiting.append(p)
+                    if len(waiting) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(waiting)], ["path"])
+                        waiting = []
+        yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.string())], ["path"])
+
+    def texts(batches):
+        for b in batches:
+            name, value, size = [], [], 0
+            for p in b.column(0).to_pylist():
+                if p.startswith("/"):
+                    with open(p, "rb") as f:
+                        value.append(f.read())
+                else:
+                    fs, at = place(p)
+                    with fs.open_input_stream(at) as f:
+                        value.append(f.read())
+                name.append(p.rsplit("/", 1)[-1])
+                size += len(value[-1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(value)], ["name", "value"])
+                    name, value, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(value, pa.binary())], ["name", "value"])
+
+    return spread(own.mapInArrow(names, "path string")).mapInArrow(texts, "name string, value binary").withColumn("value", F.col("value").cast("string"))

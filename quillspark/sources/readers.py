@@ -15,6 +15,7 @@ from ..functions.text import detokenize, normalize_text, unicode_form
 from ..operators.evaluation import require_columns
 from ..operators.ranks import fresh, numbered
 from ..operators.relations import repeated_ids
+from .filetree import whole_texts
 
 #: Fixed value: the fields in which a structured prediction may hold its text, by priority.
 TEXT_FIELDS = ("rec_text", "text", "label", "transcription")
@@ -78,9 +79,8 @@ def decoder_output(spark: SparkSession, path: str, prefix: str = "", detokenized
 
 def transcripts(spark: SparkSession, path: str, form: str = "NFC") -> DataFrame:
     """S-09: one row for each .txt file of a folder: its stem and its normalised text."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    ship(spark)
-    return files.select(prediction_id(F.col("_metadata.file_name")).alias("ID"), unicode_form(normalize_text(F.col("value")), form).alias("Target"))
+    files = whole_texts(spark, path, "*.txt")
+    return files.select(prediction_id(F.col("name")).alias("ID"), unicode_form(normalize_text(F.col("value")), form).alias("Target"))
 
 
 def payload_text(s: str) -> str:

@@ -124,3 +124,20 @@ def test_symbol_line_number(spark, tmp_path):
     (tmp_path / "bad").write_text("<ctc> 0\n\nno number\n")
     with pytest.raises(Exception, match="not a symbol line: 3: no number"):
         readers.symbols(spark, str(tmp_path / "bad")).collect()
+
+
+def test_transcripts_of_many_folders(spark, tmp_path):
+    """What Spark's own source reads, in tasks that don't grow with the number of files."""
+    tmp_path = tmp_path / "a %41"
+    for k in range(300):
+        folder = tmp_path / "t" / (f"f{k % 3}" if k % 10 else "f0/part=1")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.v1.txt").write_bytes(f" A{k}\r\n\té ".encode() if k % 7 else b"")
+    for name in ("f0/_x.txt", "f0/.x.txt", "f1/x.csv", "f1/deep/x.txt", "x.txt"):
+        (tmp_path / "t" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "t" / name).write_text("no")
+    x = readers.transcripts(spark, f"{tmp_path}/t/f*")
+    assert x.rdd.getNumPartitions() <= 4
+    assert sorted(map(tuple, x.collect())) == sorted((f"{k}.v1", f"A{k} é" if k % 7 else "") for k in range(300))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.transcripts(spark, f"{tmp_path}/none").collect()
