@@ -11,12 +11,14 @@ from pyspark.sql.window import Window
 
 from .. import ship
 from ..functions.text import chars, ctc_collapse, normalize_text, repeats, resized_width, words
+from ..shared import spread
 from .ranks import median, number, quantiles
 
 
 def char_frequency(df: DataFrame, text: str, row: str) -> DataFrame:
-    """A-14: counts of each character and of the rows that hold it; partial counts precede the exchange."""
-    by_row = df.select(row, F.explode(chars(F.col(text))).alias("ch")).groupBy(row, "ch").agg(F.count("*").alias("n"))
+    """A-14: counts of each character and of the rows that hold it. Texts are dealt by row before they are counted, so that a
+    task holds the counts of some 50,000 rows at a time; a row of very many texts is one task, with an alphabet of counts."""
+    by_row = spread(df.select(row, text), row, rows=50_000).select(row, F.explode(chars(F.col(text))).alias("ch")).groupBy(row, "ch").agg(F.count("*").alias("n"))
     return by_row.groupBy("ch").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
 
 
@@ -44,12 +46,13 @@ def rare_lines(df: DataFrame, text: str, key: str, most: int = 10, rare: str | N
     """A-15: (key, text, rare_chars, rare_char_count, char_len) of the lines that hold a character with most
     occurrences at most (or one of rare): their rare characters sorted, and how many of them there are."""
     norm = df.select(key, normalize_text(F.col(text)).alias("text"))
-    found = norm.select(key, F.explode(chars(F.col("text"))).alias("ch")).groupBy(key, "ch").agg(F.count("*").alias("n"))
-    if rare is None:
-        wanted = norm.select(F.explode(chars(F.col("text"))).alias("ch")).groupBy("ch").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("ch")
-        found = found.join(wanted, "ch", "left_semi")
+    found = norm.select(key, F.explode(chars(F.col("text"))).alias("ch"))
+    if rare is None:  # rare ones are part of an alphabet; only they are counted by line
+        wanted = found.groupBy("ch").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("ch")
+        found = found.join(F.broadcast(wanted), "ch", "left_semi")
     else:
         found = found.where(F.col("ch").isin(list(rare)))
+    found = found.groupBy(key, "ch").agg(F.count("*").alias("n"))
     lines = found.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("rare_chars"), F.sum("n").alias("rare_char_count"))
     return norm.join(lines, key).select(key, "text", "rare_chars", "rare_char_count", F.length("text").cast("long").alias("char_len"))
 
