@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from .. import ship
 from ..functions.text import digit_ratio, normalize_text, punctuation_ratio, words
-from ..shared import written
+from ..shared import spread, written
 
 MATCH, SUBSTITUTE, DELETE, INSERT = range(4)
 NAMES = ("match", "substitute", "delete", "insert")
@@ -203,9 +203,10 @@ def kinds_udf(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def prepared(pairs: DataFrame) -> DataFrame:
-    """The normalised texts, and the pairs that differ for Python (null where equal, so that those stay in the JVM)."""
+    """The normalised texts, and the pairs that differ for Python (null where equal, so that those stay in the JVM). Pairs are
+    dealt out evenly, since edits are much work for few bytes."""
     ship(pairs.sparkSession)
-    p = pairs.select("ID", normalize_text(F.col("reference")).alias("reference"), normalize_text(F.col("prediction")).alias("prediction"))
+    p = spread(pairs).select("ID", normalize_text(F.col("reference")).alias("reference"), normalize_text(F.col("prediction")).alias("prediction"))
     return p.withColumns({c[0]: F.when(F.col("reference") != F.col("prediction"), F.col(c)) for c in ("reference", "prediction")})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, decoding, ensemble, evaluation, relations
-from ..shared import fresh_path, spread
+from ..shared import fresh_path, spread, written
 from ..sources import filetree, models, readers, writers
 from . import catalogue
 from .catalogue import SOURCES_SQL, manifest, pairs, sources, table
@@ -57,7 +57,7 @@ def j07_grouped_shapes(spark, sf_dir):
 def k02_row_errors(spark, sf_dir):
     """An evaluation as files: row errors in their order."""
     path = fresh_path(spark)
-    x = evaluation.row_errors(pairs(spark, sf_dir))
+    x = written(evaluation.row_errors(pairs(spark, sf_dir)))  # a summary and a sort, which samples first, read it
     writers.evaluation_bundle(evaluation.corpus_summary(x), x, evaluation.confusions(pairs(spark, sf_dir)), path)
     return readers.in_order(spark, f"{path}/row_errors", "ID string, reference string, prediction string, char_edits long, row_cer double").withColumns({"prediction": F.coalesce("prediction", F.lit("")), "row_cer": F.round("row_cer", 6)})
 

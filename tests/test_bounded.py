@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from quillspark.operators import audit
+from quillspark.operators import audit, evaluation
 
 
 def plan(df) -> list[str]:
@@ -36,3 +36,11 @@ def test_rare_lines(spark):
     assert sorted((r.k, r.text, r.rare_chars, r.rare_char_count) for r in x.collect()) == [(40, "abx", "xy", 2), (40, "yab", "xy", 2), (41, "xzz", "xz", 3)]
     lines = plan(x)
     assert at(lines, r"Aggregate \[k#\d+L?, ch#") < at(lines, "Join LeftSemi")
+
+
+def test_row_errors_dealt_out(spark):
+    """One task's pairs are aligned by several."""
+    pairs = spark.createDataFrame([(str(k), f"ab{k}", f"ac{k}") for k in range(100)], "ID string, reference string, prediction string").coalesce(1)
+    for x in (evaluation.row_errors(pairs), evaluation.confusions(pairs)):
+        assert at(plan(x), "ArrowEvalPython") < at(plan(x), "Repartition 4")
+    assert [r.char_edits for r in evaluation.row_errors(pairs).collect()] == [1] * 100
