@@ -65,7 +65,7 @@ def k02_row_errors(spark, sf_dir):
 def k03_grouped_files(spark, sf_dir):
     """The summary of groups as a file, in the order of its rows."""
     path = fresh_path(spark)
-    x = evaluation.slices(evaluation.row_errors(pairs(spark, sf_dir)).withColumn("aspect_ratio", F.expr("cast(ID as double) % 30")))
+    x = evaluation.slices(written(evaluation.row_errors(pairs(spark, sf_dir))).withColumn("aspect_ratio", F.expr("cast(ID as double) % 30")))
     writers.grouped_bundle(x, evaluation.grouped(x), path)
     return readers.in_order(spark, f"{path}/grouped_error_summary", "group_name string, group_value string, n long, mean_row_cer double, mean_char_edits double")
 

@@ -4,6 +4,8 @@ import re
 from collections import Counter
 
 from quillspark.operators import audit, evaluation
+from quillspark.plans import stored
+from quillspark.sources import writers
 
 
 def plan(df) -> list[str]:
@@ -44,3 +46,16 @@ def test_row_errors_dealt_out(spark):
     for x in (evaluation.row_errors(pairs), evaluation.confusions(pairs)):
         assert at(plan(x), "ArrowEvalPython") < at(plan(x), "Repartition 4")
     assert [r.char_edits for r in evaluation.row_errors(pairs).collect()] == [1] * 100
+
+
+def test_edits_once_for_several_files(spark, tmp_path):
+    """Row errors that a sort, a summary and groups read are written once, and read from there."""
+    part = spark.createDataFrame([(k, f"name {k}", f"TYPE {k % 7}", f"Brand#{k % 5}") for k in range(60)], "p_partkey long, p_name string, p_type string, p_brand string")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    seen = []
+    bundle, writers.grouped_bundle = writers.grouped_bundle, lambda rows, summary, path: (seen.extend((rows, summary)), bundle(rows, summary, path))
+    try:
+        assert stored.k03_grouped_files(spark, str(tmp_path)).count() > 0
+    finally:
+        writers.grouped_bundle = bundle
+    assert len(seen) == 2 and not any("ArrowEvalPython" in line for x in seen for line in plan(x))
