@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, charlm, decoding, ensemble, evaluation, images, integrity, profile, ranks, relations
 from ..shared import fresh_path
-from ..sources import datasets, imageheaders, manifests, readers
+from ..sources import datasets, filetree, imageheaders, manifests, readers
 from ..streaming import resume
 
 PAIRS_SQL = """(SELECT cast(p_partkey AS varchar) AS ID, p_name || ' ' || p_type || ' ' || p_brand AS reference,
@@ -406,7 +406,7 @@ def k12_line_files(spark, sf_dir):
     datasets.kraken_dataset(*line_manifests(spark, sf_dir), path, fold=1, height=16, fanout=8)
     split = F.element_at(F.split("image_path", "/"), -3)
     images_ = imageheaders.sizes(spark, path, "*.png").select("ID", split.alias("split"), "width", "height", "mode")
-    truth = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True, pathGlobFilter="*.gt.txt").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.gt\.txt$", 1).alias("own"), F.col("value").alias("truth"))
+    truth = filetree.whole_texts(spark, f"{path}/*/*", "*.gt.txt").select(F.regexp_extract("name", r"^(.*)\.gt\.txt$", 1).alias("own"), F.col("value").alias("truth"))
     return images_.join(truth, F.col("ID") == F.col("own"), "left").drop("own")
 
 

@@ -21,7 +21,7 @@ from ..functions.text import chars, normalize_text, symbol_list, tokenize, unico
 from ..operators.images import array, grey, resized
 from ..operators.ranks import numbered
 from ..operators.relations import repeated_ids, split_fold
-from ..shared import written
+from ..shared import spread, written
 from .filetree import names, write_files
 
 LINES = 10_000_000
@@ -86,6 +86,8 @@ def line_files(rows: DataFrame, tables: dict[str, Column], path: str) -> None:
 def images(rows: DataFrame, path: str, name: Column, height: int, mode: str, force: bool, truth: Column | None = None) -> None:
     """A PNG for each row, and its truth beside it if there is one. Images that exist are left as they are, unless forced."""
     ship(rows.sparkSession)
+    for key, most in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(4 << 20))):  # images at a time in a worker
+        rows.sparkSession.conf.set(f"spark.sql.execution.arrow.{key}", most)
     x = rows.withColumn("name", name)
     if not force:
         known = names(rows.sparkSession, path, "*.png").select(F.substring_index("path", "/", -3).alias("known"))
@@ -112,7 +114,7 @@ def one_file(rows: DataFrame, text: str, name: str, path: str) -> None:
 def kraken_dataset(train: DataFrame, test: DataFrame, path: str, fold: int, height: int = 128, mode: str = "L", form: str = "preserve", force: bool = False, fanout: int = 0) -> None:
     """K-12: {split}/ID.png and ID.gt.txt for train and val, images for test, {split}_files.txt with the images' paths,
     metadata.json. The truth is normalised text in a Unicode form, with a line feed."""
-    rows = written(splits(train, test, fold).select("ID", "Target", "split", "width", "height", "channels", "pixels"))
+    rows = written(spread(splits(train, test, fold).select("ID", "Target", "split", "width", "height", "channels", "pixels")))
     truth = F.when(F.col("split") != "test", F.concat(unicode_form(normalize_text(F.col("Target")), form), F.lit("\n")))
     images(rows, path, stem(fanout), height, mode, force, truth)
     line_files(rows.select("ID", "split"), {"{split}_files": F.concat(F.lit(f"{path.rstrip('/')}/"), stem(fanout), F.lit(".png"))}, path)
@@ -123,7 +125,7 @@ def pylaia_dataset(train: DataFrame, test: DataFrame, path: str, fold: int, heig
     """K-11: images/{split}/ID.png; for each split the table of names with symbols ({split}.txt), with text
     ({split}_text.txt) and of names alone ({split}_ids.txt), where those of test have names alone; syms.txt with the
     symbols of all training texts; metadata.json."""
-    rows = written(splits(train, test, fold).select("ID", "split", normalize_text(F.col("Target")).alias("text"), "width", "height", "channels", "pixels"))
+    rows = written(spread(splits(train, test, fold)).select("ID", "split", normalize_text(F.col("Target")).alias("text"), "width", "height", "channels", "pixels"))
     images(rows, f"{path}/images", stem(fanout), height, mode, force)
     name, labelled = stem(fanout), F.col("split") != "test"
     with_ = lambda c: F.when(labelled, F.concat(name, F.lit(" "), c)).otherwise(name)

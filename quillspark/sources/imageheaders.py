@@ -1,21 +1,22 @@
-"""The sizes of images from the first bytes of their files (S-02, S-05): a source that decodes nothing.
+"""The sizes of images from the first bytes of their files (S-02, S-05), without decoding.
 
-The driver lists the folder; files are dealt so that partitions have like numbers of bytes to skip. A task reads
+One task goes through the folders and holds few paths at a time; the files are dealt out evenly. A task reads
 a PNG's first chunk, or follows a JPEG's segments by their lengths up to the one that tells its frame."""
 
 from __future__ import annotations
 
 import fnmatch
+import os
 import struct
-from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import ship
+from ..shared import spread
 from .filetree import place
 from .readers import prediction_id
 
@@ -59,52 +60,50 @@ def header(f) -> tuple[int, int, str] | None:
         f.seek(f.tell() + size - 2)
 
 
-@dataclass
-class Paths(InputPartition):
-    files: list[tuple[str, int]]
-
-
-class HeaderReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.glob, self.each = options["path"], options.get("glob", "*"), int(options.get("files", 2000))
-
-    def partitions(self):
-        fs, root = place(self.path)
-        found = sorted(((f.size, f.path) for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if f.is_file and fnmatch.fnmatch(f.base_name, self.glob)), reverse=True)
-        n = -(-len(found) // self.each)
-        return [Paths([(p, s) for s, p in found[k::n]]) for k in range(n)] or [Paths([])]
-
-    def read(self, part):
-        fs, _ = place(self.path)
-        rows = []
-        for path, size in part.files:
-            try:
-                with fs.open_input_file(path) as f:
-                    got = header(f)
-            except OSError:
-                got = None
-            rows.append((path, size, *(got or (None, None, None))))
-        columns = zip(*rows) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["image_path", "bytes", "width", "height", "mode"])
-
-
-class ImageHeaders(DataSource):
-    @classmethod
-    def name(cls):
-        return "imageheaders"
-
-    def schema(self):
-        return "image_path string, bytes long, width int, height int, mode string"
-
-    def reader(self, schema):
-        return HeaderReader(self.options)
+def files_under(fs: pafs.FileSystem, root: str, glob: str):
+    """Paths of all files below a folder; local folders are gone through entry by entry."""
+    if isinstance(fs, pafs.LocalFileSystem):
+        waiting = [root]
+        while waiting:
+            with os.scandir(waiting.pop()) as found:
+                for e in found:
+                    if e.is_dir():
+                        waiting.append(e.path)
+                    elif fnmatch.fnmatch(e.name, glob):
+                        yield e.path
+    else:
+        for f in fs.get_file_info(pafs.FileSelector(root, recursive=True)):
+            if f.is_file and fnmatch.fnmatch(f.base_name, glob):
+                yield f.path
 
 
 def sizes(spark: SparkSession, path: str, glob: str = "*.jpg", files: int = 2000) -> DataFrame:
-    """S-02, S-05: (ID, image_path, bytes, width, height, aspect_ratio, area, mode, readable) of each image file, so many files a
-    task; unreadable ones have no size."""
+    """S-02, S-05: (ID, image_path, bytes, width, height, aspect_ratio, area, mode, readable) of each image file, with so many
+    paths at a time; unreadable ones have no size."""
     ship(spark)
-    spark.dataSource.register(ImageHeaders)
-    x = spark.read.format("imageheaders").option("glob", glob).option("files", files).load(path)
+
+    def names(batches):
+        for b in batches:
+            if b.num_rows:
+                every = files_under(*place(path), glob)
+                while some := list(islice(every, files)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some)], ["path"])
+
+    def read(batches):
+        fs, _ = place(path)
+        for b in batches:
+            rows = []
+            for f in fs.get_file_info(b.column(0).to_pylist()):
+                try:
+                    with fs.open_input_file(f.path) as opened:
+                        got = header(opened)
+                except OSError:
+                    got = None
+                rows.append((f.path, f.size, *(got or (None, None, None))))
+            columns = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["image_path", "bytes", "width", "height", "mode"])
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(names, "path string")
+    x = spread(listed).mapInArrow(read, "image_path string, bytes long, width int, height int, mode string")
     w, h = F.col("width"), F.col("height")
     return x.select(prediction_id(F.col("image_path")).alias("ID"), "image_path", "bytes", "width", "height", (w / h).alias("aspect_ratio"), (w.cast("long") * h).alias("area"), "mode", w.isNotNull().alias("readable"))

@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,13 @@ def test_sources_agree(spark):
     for other in (t("a", "c"), t("a"), t("a", "b", "c")):
         with pytest.raises(ValueError, match="z: .* order of x's, from place [12] on"):
             ensemble.require_same_order({"x": t("a", "b"), "y": t("a", "b"), "z": other})
+
+
+def test_sizes_by_tasks(spark, tmp_path):
+    """No partition is made by the driver for each so many files, and images go to Python in bounded batches."""
+    for k in range(40):
+        (tmp_path / f"{k % 3}").mkdir(exist_ok=True)
+        (tmp_path / f"{k % 3}" / f"{k}.png").write_bytes(png(np.zeros((2, k + 1, 1), np.uint8)))
+    x = imageheaders.sizes(spark, str(tmp_path), "*.png", files=3)
+    assert x.rdd.getNumPartitions() <= 4
+    assert sorted((int(r.ID), r.width, r.height) for r in x.collect()) == [(k, k + 1, 2) for k in range(40)]
