@@ -1,8 +1,8 @@
 """Language ID by interpolated Kneser-Ney character models, one for each language.
 
 A text's cross-entropy is that of its words, each read with a space before and after it, so that a
-word's score is found once per worker and reused. Training takes whole texts of all labelled documents outside the
-held-out fold. Spark counts their n-grams and makes the models level by level; arrays sorted by hash, in buckets of some
+word's score is found once per worker and reused. Training takes whole texts of all labelled documents, without the
+held-out fold where languages are told for a test. Spark counts their n-grams and makes the models level by level; arrays sorted by hash, in buckets of some
 hundred thousand n-grams, are in the shared folder, and workers map them into memory. The driver holds the
 languages' names."""
 
@@ -218,9 +218,10 @@ def judge(model: Model):
     return run
 
 
-def labelled() -> Column:
-    """Whether a row may be learned from."""
-    return F.col("lang").isNotNull() & F.col("text").isNotNull() & is_training(F.col("doc_id"))
+def labelled(every: bool = False) -> Column:
+    """Whether a row may be learned from; every: also one of the held-out fold."""
+    own = F.col("lang").isNotNull() & F.col("text").isNotNull()
+    return own if every else own & is_training(F.col("doc_id"))
 
 
 def sample(docs: DataFrame, docs_per_lang: int) -> DataFrame:
@@ -245,10 +246,10 @@ def levels(counts: DataFrame) -> dict[int, DataFrame]:
     return out
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of all labelled training documents. An n-gram's context has at most as many rows as the alphabet."""
+def train(docs: DataFrame, every: bool = False) -> Model:
+    """The model of all labelled documents, with those of the held-out fold if every. An n-gram's context has at most as many rows as the alphabet."""
     folder = shared_dir(docs.sparkSession)
-    counts = table(grams(docs.where(labelled())))
+    counts = table(grams(docs.where(labelled(every))))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model(folder, [], 0, 0.0)
@@ -318,10 +319,11 @@ def identify(docs: DataFrame, margin: float = 1.5) -> DataFrame:
     return told.select(F.col("row").alias("doc_id"), (~is_training(F.col("row"))).alias("held_out"), "lang_pred", score.alias("score"), F.coalesce(F.col("bits") > most, F.lit(True)).alias("rejected"))
 
 
-def keep_known(docs: DataFrame, margin: float = 1.5) -> DataFrame:
+def keep_known(docs: DataFrame, margin: float = 1.5, every: bool = False) -> DataFrame:
     """The documents in a learned language, with all their columns, judged where they are and written with their bits, which
-    the limit rests on. Rejected are those without a letter and those of more bits than it; all stay if nothing was learned."""
-    model = train(docs)
+    the limit rests on. Rejected are those without a letter and those of more bits than it; all stay if nothing was learned.
+    every: models and limit rest on all labelled documents, as where no fold is held out for a test."""
+    model = train(docs, every)
     if not model.langs:
         return docs
     judged, at, bits = judge(model), docs.columns.index("text"), fresh(docs, "bits")
@@ -333,5 +335,5 @@ def keep_known(docs: DataFrame, margin: float = 1.5) -> DataFrame:
 
     told = table(arrow_rows(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(bits, T.DoubleType())])))
     fits = fresh(told, "fits")
-    most = limit(told.withColumn(fits, labelled()), fits, bits, margin)
+    most = limit(told.withColumn(fits, labelled(every)), fits, bits, margin)
     return told.where(F.col(bits) <= most).drop(bits)

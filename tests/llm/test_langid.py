@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import corpus_pipeline
 from quillspark.llm import langid
 
 
@@ -80,3 +81,22 @@ def test_limit_of_all_documents(spark):
     own = dict(zip([k for k, _, _ in rows], langid.judge(model)([t for _, t, _ in rows])[1]))
     assert {k for k in got if got[k].rejected} == {k for k, x in own.items() if x > most + 1e-9}
     assert {r.doc_id for r in langid.keep_known(d, margin=1.0).collect()} == {k for k, r in got.items() if not r.rejected}
+
+
+def test_pipeline_learns_from_all(spark, monkeypatch):
+    """The pipeline's models and limit rest on every labelled document and on no sample: a language that only the
+    held-out fold has is known, and the limit is numpy's quantile of all."""
+    monkeypatch.delattr(langid, "sample")
+    rows = made(1500)
+    held = [k for k in range(5000, 5200) if zlib.crc32(str(k).encode()) % 5 == 0]
+    rows += [(k, "\u03b1\u03b2\u03b3 \u03b3\u03b1\u03b2\u03b2 \u03b2\u03b1", "el") for k in held] + [(6000, "\u4e2d\u6587\u5b57" * 40, None), (6001, None, "en"), (6002, "12 34", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, d, "").collect()}
+    assert kept == {k for k, _, _ in rows} - {6000, 6001, 6002}
+    every = [(lang, t) for _, t, lang in rows if lang is not None and t is not None]
+    model, want = langid.train(d, every=True), brute(every)
+    grams = sorted({s[max(0, e - 5) : e] for _, t in every[::9] for w in t.lower().split() for s in [f" {w} "] for e in range(2, len(s) + 1)})
+    assert model.langs == ["de", "el", "en", "xx"] and np.allclose(model.chars(grams), [[want(lang, g) for lang in model.langs] for g in grams], atol=1e-4)
+    bits = dict(zip([k for k, _, _ in rows], langid.judge(model)([t for _, t, _ in rows])[1]))
+    most = float(np.quantile([bits[k] for k, t, lang in rows if lang is not None and bits[k] is not None], 0.999))
+    assert {r.doc_id for r in langid.keep_known(d, margin=1.0, every=True).collect()} == {k for k, x in bits.items() if x is not None and x <= most + 1e-9}
