@@ -46,6 +46,8 @@ def rare_lines(df: DataFrame, text: str, key: str, most: int = 10, rare: str | N
     """A-15: (key, text, rare_chars, rare_char_count, char_len) of the lines that hold a character with most
     occurrences at most (or one of rare): their rare characters sorted, and how many of them there are."""
     norm = df.select(key, normalize_text(F.col(text)).alias("text"))
+    if rare is not None:  # given ones may be in every line, so lines are dealt by key as in char_frequency
+        norm = spread(norm, key, rows=50_000)
     found = norm.select(key, F.explode(chars(F.col("text"))).alias("ch"))
     if rare is None:  # rare ones are part of an alphabet; only they are counted by line
         wanted = found.groupBy("ch").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("ch")

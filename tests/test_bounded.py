@@ -40,6 +40,19 @@ def test_rare_lines(spark):
     assert at(lines, r"Aggregate \[k#\d+L?, ch#") < at(lines, "Join LeftSemi")
 
 
+def test_rare_lines_given(spark):
+    """Given characters may be in every line: lines are dealt by key before they are counted. An empty choice finds none."""
+    rows = [(k, "ab aab") for k in range(300)] + [(400, "xay"), (400, "ya"), (401, "xz"), (None, "a"), (402, None)]
+    d = spark.createDataFrame(rows, "k long, t string")
+    x = audit.rare_lines(d, "t", "k", rare="ay")
+    want = [(k, "ab aab", "a", 3, 6) for k in range(300)] + [(400, "xay", "ay", 4, 3), (400, "ya", "ay", 4, 2)]
+    assert sorted((r.k, r.text, r.rare_chars, r.rare_char_count, r.char_len) for r in x.collect()) == want
+    lines = plan(x)
+    below = lines[at(lines, r"Aggregate \[k#\d+L?, ch#"):]  # the other side of the join is above
+    assert 0 < at(below, "Generate explode") < at(below, "RepartitionBy")
+    assert audit.rare_lines(d, "t", "k", rare="").count() == 0
+
+
 def test_row_errors_dealt_out(spark):
     """One task's pairs are aligned by several."""
     pairs = spark.createDataFrame([(str(k), f"ab{k}", f"ac{k}") for k in range(100)], "ID string, reference string, prediction string").coalesce(1)
